@@ -3,51 +3,74 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import unicodedata
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers; the table starts anew when it is full. Longer pieces are not kept.
-CACHED_PIECES, CACHED_CHARS = 600_000, 64
-#: Where a text of the word tokenizer may be cut: white space, but not the four separators that only Python counts as such.
-_WORDS = re.compile(r"[^\S\x1c-\x1f]+")
+#: Pieces that a worker remembers; when they are more, the half that came last goes. Longer pieces are not kept.
+CACHED_PIECES, CACHED_CHARS = 1_200_000, 64
+#: Full stops and commas after a letter or digit: a piece begins there.
+_MARK = re.compile(r"[.,](?<=[^\W_].)")
+#: A line end between two characters other than white space is a piece.
+_LINE = re.compile(r"\n(?<=\S.)(?=\S)", re.DOTALL)
 #: A blank that is followed by white space or stands at an end: there, cutting before blanks would change the pieces.
 _ODD_BLANK = re.compile(r" (?=\s)| \Z")
 _CUT = re.compile(r"(?= \S)")
 
 
-class PieceEncoder:
+def _byte_letters() -> str:
+    """The letters that byte-level tokenizers write for bytes 0 to 255: printable ones stand for themselves, the rest follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in own else chr(next(rest)) for b in range(256))
+
+
+class PieceEncoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit integers, equal to encode(text, add_special_tokens=False).
 
-    keep_blanks: the tokenizer's pieces carry the blank before them (byte-level), else white space only separates pieces.
-    Both pre-tokenizers never join characters across these cuts, so the pieces' ids in order are the text's ids.
+    keep_blanks: the tokenizer's pieces carry the blank before them (byte-level), else white space only separates pieces
+    and the tokenizer lowers letters. Neither pre-tokenizer joins characters across the cuts made here, so the pieces' ids
+    in order are the text's ids. The dictionary holds the ids of pieces met before.
     """
 
     def __init__(self, path: str, keep_blanks: bool):
         self.tokenizer = Tokenizer.from_file(path)
+        self.word = self.tokenizer.model.tokenize
         self.keep_blanks = keep_blanks
-        self.known: dict[str, bytes] = {}
+        self.letters = {i: c for i, c in enumerate(_byte_letters())}
+        self.blank = self.letters[32]
+
+    def __missing__(self, piece: str) -> bytes:
+        if (piece[1:] if piece[0] == " " else piece).isalpha():  # one word: the model alone tells its ids
+            ids = [t.id for t in self.word(piece.replace(" ", self.blank) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        out = array("I", ids).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = out
+        return out
 
     def pieces(self, text: str) -> list[str]:
-        if not self.keep_blanks:
-            return [x for x in _WORDS.split(text) if x] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        if _ODD_BLANK.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+        if self.keep_blanks:
+            odd = "  " in text or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text or text.endswith(" ")
+            if odd or not text.isascii() and _ODD_BLANK.search(text):
+                return _CUT.split(text)
+            if "\n" in text:
+                text = _LINE.sub("\0\n\0", text)
+            return _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
+        if "\u03a3" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not unicodedata.is_normalized("NFC", text):
+            return [text]
+        return _MARK.sub(" \\g<0>", text.lower()).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHED_PIECES:
-            self.known = {}
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        self.known.update(zip(new, (np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        out = [b"".join(map(self.known.__getitem__, x)) for x in split]
-        for x in new:
-            if len(x) > CACHED_CHARS:
-                del self.known[x]
-        return out
+        if len(self) > CACHED_PIECES:
+            keep = [*itertools.islice(self.items(), CACHED_PIECES // 2)]
+            self.clear()
+            self.update(keep)
+        return [b"".join(map(self.__getitem__, filter(None, [t] if "\0" in t else self.pieces(t)))) for t in texts]
 
 
 @functools.lru_cache(maxsize=4)
