@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import lines, packing, records, sharding
+from ledgerloom.llm import lines, near, packing, records, sharding
 from ledgerloom.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+
+
 OP8_SQL = """
 WITH l AS (
   SELECT doc_id, u.pos AS pos, u.line AS line,
@@ -51,5 +55,21 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (hot.k IS NOT NULL AND l.d
 FROM l LEFT JOIN hot ON l.k = hot.k GROUP BY l.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op3_binary_records, op4_hilbert_sharding, op8_line_dedup)}
-ORACLES = {"op8_line_dedup": OP8_SQL}
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(x) = 1 THEN x[1] ELSE x[i] || ' ' || x[i + 1] END AS s
+  FROM (SELECT doc_id, x, unnest(range(1, greatest(len(x), 2))) AS i FROM w WHERE len(x) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op3_binary_records, op4_hilbert_sharding, op8_line_dedup, op9_minhash_near_dedup)}
+ORACLES = {"op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
