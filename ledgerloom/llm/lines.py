@@ -59,9 +59,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .agg(F.collect_set("_ll_pos").alias("_ll_gone"))
     )
     kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    all_lines = split_lines(F.col(text_col))
-    out = df.select(*kept, *row).join(drops, ["_ll_id", "_ll_row"], "left")
-    out = out.withColumn("n_lines", F.size(all_lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ll_gone"), F.lit(0)).cast("long"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_ll_gone"))
-    text = F.when(F.col("_ll_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    out = df.select(*kept, *row).join(drops, ["_ll_id", "_ll_row"], "left").withColumn("_ll_lines", split_lines(F.col(text_col)))
+    out = out.withColumn("n_lines", F.size("_ll_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ll_gone"), F.lit(0)).cast("long"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_ll_lines") - 1), F.col("_ll_gone"))
+    text = F.when(F.col("_ll_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_ll_lines", i)), "\n"))
     return out.withColumn(text_col, text).select(*kept, "n_lines", "n_dropped")
