@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontam, lines, near, packing, records, sharding
+from ledgerloom.llm import chat, decontam, lines, near, packing, records, sharding, toxic
 from ledgerloom.llm.common import table
 
 
@@ -55,6 +55,19 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
 
 
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their toxic label, but for the held-out fifth: rows whose crc32 of the id as text is a multiple of five."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 != 0)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxic.score_texts(docs, toxic.train(labelled_documents(spark, sf_dir)))
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -114,5 +127,5 @@ SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(m
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup, op10_compression_toxicity)}
 ORACLES = {"op2_spaced_seed_decontamination": OP2_SQL, "op7_reply_tree_chat": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
