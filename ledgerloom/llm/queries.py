@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontam, lines, near, packing, records, sharding, toxic
+from ledgerloom.llm import chat, decontam, embed, lines, near, packing, records, sharding, toxic
 from ledgerloom.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
+
+
 def op7_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
@@ -87,6 +91,18 @@ x AS (
 SELECT doc_id, item_id, max(n) AS item_words, count(*) AS matched_words FROM x GROUP BY doc_id, item_id HAVING count(*) >= 0.6 * max(n)
 """
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, len(embedding) AS n FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(c.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
 OP7_SQL = """
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -127,5 +143,5 @@ SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(m
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup, op10_compression_toxicity)}
-ORACLES = {"op2_spaced_seed_decontamination": OP2_SQL, "op7_reply_tree_chat": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op5_metric_range_join, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup, op10_compression_toxicity)}
+ORACLES = {"op2_spaced_seed_decontamination": OP2_SQL, "op5_metric_range_join": OP5_SQL, "op7_reply_tree_chat": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
