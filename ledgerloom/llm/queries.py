@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontam, embed, lines, near, packing, records, sharding, toxic
+from ledgerloom.llm import chat, decontam, embed, html, lines, near, packing, records, sharding, toxic
 from ledgerloom.llm.common import table
 
 
@@ -42,6 +42,12 @@ def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html.extract(pages, html.fit_weights(pages, "page_id", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
@@ -143,5 +149,5 @@ SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(m
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op5_metric_range_join, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup, op10_compression_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op5_metric_range_join, op6_html_main_text, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup, op10_compression_toxicity)}
 ORACLES = {"op2_spaced_seed_decontamination": OP2_SQL, "op5_metric_range_join": OP5_SQL, "op7_reply_tree_chat": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
