@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import if_small, stage
@@ -46,28 +46,29 @@ def minima(shingles: np.ndarray, n: int) -> np.ndarray:
 
 def set_node(s: np.ndarray) -> int:
     """A hash of a whole set, never 0."""
-    return int((mix(np.bitwise_xor.reduce(mix(s)) + np.uint64(len(s))) + s.sum(dtype=np.uint64)).view(np.int64)) or 1
+    folded = np.bitwise_xor.reduce(mix(s), keepdims=True) + np.uint64(len(s))
+    return int((mix(folded) + s.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) or 1
 
 
 def features(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the whole set, 0 for none), sig (a byte per minimum) and bands (a hash for each)."""
-    schema = "doc_id long, n_shingles long, node long, sig binary, bands array<long>"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_hash, n_shingles, node (a hash of the whole set, 0 for none), sig (a byte per minimum) and bands (a hash for each)."""
+    schema = "doc_id long, text_hash long, n_shingles long, node long, sig binary, bands array<long>"
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
     place = np.arange(bands, dtype=np.uint64)
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            cols: list[list] = [[] for _ in arrow]
+            for doc, text, of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 s = shingle_set((text.as_py() or "").encode(), k)
                 if len(s):
                     low = minima(s, bands * rows)
                     h = mix(place + np.uint64(1))
                     for r in range(rows):
                         h = mix(h + low[r::rows])
-                    x = (doc, len(s), set_node(s), (low >> np.uint64(24)).astype(np.uint8).tobytes(), h.view(np.int64).tolist())
+                    x = (doc, of, len(s), set_node(s), (low >> np.uint64(24)).astype(np.uint8).tobytes(), h.view(np.int64).tolist())
                 else:
-                    x = (doc, 0, 0, b"", [])
+                    x = (doc, of, 0, 0, b"", [])
                 for c, v in zip(cols, x, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
@@ -164,14 +165,14 @@ def shingle_sets(df: DataFrame, k: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id).
+    """One row per row of df: doc_id, text_hash, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id = component_id).
 
     Two documents are linked if 100 * intersection >= percent * union of their k-word shingle sets. Equal sets are one node.
     Null, empty and blank texts have no shingles and link with nothing: each is its own component. Rows with equal ids count
     as documents that may differ; each gets a row. An empty table gives an empty table.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = stage(features(docs, k, bands, rows))
+    found = stage(features(docs.withColumn("text_hash", F.xxhash64("text")), k, bands, rows))
     nodes = found.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     own = found.where("n_shingles > 0").dropDuplicates(["node"]).select("node", "doc_id", "sig", "bands")
     own = stage(own)
@@ -189,6 +190,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = reached.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = reached.join(least, "component").select("node", "component_id")
     of_class = nodes.withColumnRenamed("doc_id", "class_id").join(of_node, "node", "left").select("node", F.coalesce("component_id", "class_id").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
+    out = found.select("doc_id", "text_hash", "n_shingles", "node").join(of_class, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """df with one row of each component of near_duplicates: that of the smallest id, of rows with equal ids any one of the first text by hash.
+
+    Rows without shingles stay. Columns are those of df.
+    """
+    found = near_duplicates(df, id_col, text_col, **options).where("kept").groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+    found = stage(found)
+    same = Window.partitionBy("component_id", F.when((F.col("n") == 0) | F.col("component_id").isNull(), F.struct("doc_id", "text_hash"))).orderBy("text_hash")
+    kept = found.withColumn("_ll_nth", F.row_number().over(same)).where("_ll_nth = 1").select(F.col("doc_id").alias("_ll_id"), F.col("text_hash").alias("_ll_hash"))
+    own = df.withColumn("_ll_of", F.xxhash64(F.col(text_col).cast("string")))
+    out = own.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_ll_id")) & (F.col("_ll_of") == F.col("_ll_hash")), "left_semi")
+    if found.where("rows > 1 AND n > 0").limit(1).count():  # rows that repeat id and text
+        out = out.withColumn("_ll_n", F.row_number().over(Window.partitionBy(id_col, "_ll_of").orderBy(F.lit(0)))).where((F.col("_ll_n") == 1) | (F.length(F.trim(F.coalesce(text_col, F.lit("")))) == 0)).drop("_ll_n")
+    return out.drop("_ll_of")
