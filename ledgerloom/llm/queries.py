@@ -62,18 +62,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+    return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80).drop("text_hash")
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with their toxic label, but for the held-out fifth: rows whose crc32 of the id as text is a multiple of five."""
+def toxicity_model(spark: SparkSession, sf_dir: str) -> dict:
+    """Fitted on labelled documents, but for the held-out fifth: rows whose crc32 of the id as text is a multiple of five."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 != 0)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return toxic.train(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
 def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxic.score_texts(docs, toxic.train(labelled_documents(spark, sf_dir)))
+    out = toxic.score_texts(docs, toxicity_model(spark, sf_dir))
     held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import collections
 import functools
-import hashlib
 import math
 import re
 
@@ -89,7 +88,7 @@ def _pair(toxic: bytes, ordinary: bytes):
 
 
 def features(text: str, toxic: bytes, ordinary: bytes) -> list[float] | None:
-    """What the windows save under the toxic dictionary: mean, shares of windows that save 1 to 4 bytes or more, most, and a term for short texts; None without words."""
+    """What the windows save under the toxic dictionary: mean, shares of windows that save 4, 3, 2 or 1 bytes or more, and most; None without words."""
     a, b = _pair(toxic, ordinary)
     n = total = most = 0
     over = [0] * 5
@@ -103,7 +102,7 @@ def features(text: str, toxic: bytes, ordinary: bytes) -> list[float] | None:
     if not n:
         return None
     c = over[::-1]
-    return [total / n, *(sum(c[: i + 1]) / n for i in range(4)), min(most, 12), 1 / math.sqrt(n)]
+    return [max(total, 0) / n, *(sum(c[: i + 1]) / n for i in range(4)), min(most, 12)]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> dict:
@@ -111,10 +110,16 @@ def _fit(x: np.ndarray, y: np.ndarray) -> dict:
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w, pull = np.zeros(z.shape[1]), 1e-3 * len(y) * np.r_[np.ones(x.shape[1]), 0.01]
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (weight * (p - y)) + pull * w)
+    used = np.ones(z.shape[1], bool)
+    while True:  # savings never speak against toxicity: a feature that would goes
+        w, pull = np.zeros(z.shape[1]), 1e-3 * len(y) * np.r_[np.ones(x.shape[1]), 0.01]
+        u = z[:, used]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            w[used] -= np.linalg.solve((u * (weight * p * (1 - p))[:, None]).T @ u + np.diag(pull[used]), u.T @ (weight * (p - y)) + (pull * w)[used])
+        if (w[:-1] >= 0).all():
+            break
+        used[int(w[:-1].argmin())] = False
     s = np.sort(z @ w)
     s, y_by = s, y[np.argsort(z @ w, kind="stable")]
     hit = y_by[::-1].cumsum()[::-1]
@@ -124,16 +129,21 @@ def _fit(x: np.ndarray, y: np.ndarray) -> dict:
     return {"mean": mean.tolist(), "scale": scale.tolist(), "w": w[:-1].tolist(), "b": float(w[-1] - cut)}
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> dict:
     """A model from a bounded sample of labelled rows: dictionaries from three quarters of it, calibration from the rest.
 
-    The sample is the rows of least hash of id and text, so it does not depend on how the table is dealt. Rows whose label
-    or text is null, or whose text has more than SAMPLE_CHARS code points, are left out of it. With no toxic or no ordinary rows nothing can be told, and all texts score 0.
+    The sample is the labelled ids of least hash, so it does not depend on how the tables are dealt; it is drawn from the
+    narrow table of labels, and only its texts leave the scan of docs. Null labels, texts that are null or have more than
+    SAMPLE_CHARS code points, and ids without a text are left out of it; of repeated ids the highest label and the least
+    text count. With no toxic or no ordinary rows nothing can be told, and all texts score 0.
     """
-    rows = labelled.where(F.col(label_col).isNotNull() & (F.char_length(text_col) <= SAMPLE_CHARS))
-    rows = rows.select(F.xxhash64(F.lit(3), id_col, text_col).alias("h"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).orderBy("h").limit(sample_rows).collect()
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_ll_id")).agg(F.max(label_col).cast("int").alias("_ll_y"))
+    drawn = known.orderBy(F.xxhash64(F.lit(3), "_ll_id"), "_ll_id").limit(sample_rows)
+    rows = docs.where(F.char_length(text_col) <= SAMPLE_CHARS).join(F.broadcast(drawn), F.col(id_col) == F.col("_ll_id"))
+    rows = rows.groupBy("_ll_id").agg(F.min(text_col).alias("t"), F.max("_ll_y").alias("y")).select(F.xxhash64(F.lit(3), "_ll_id").alias("h"), "t", "y").collect()
+    rows.sort(key=lambda r: (r["h"], r["t"]))
     texts, y = [r["t"] for r in rows], np.array([r["y"] for r in rows], int)
-    part = np.array([int(hashlib.md5(str(r["h"]).encode()).hexdigest(), 16) % 4 for r in rows], int)
+    part = np.array([r["h"] % 4 for r in rows], int)
     fit, rest = part != 3, part == 3
     if not len(y) or not 0 < y[fit].sum() < fit.sum() or not 0 < y[rest].sum() < rest.sum():
         return {}
@@ -163,6 +173,6 @@ def score_texts(df: DataFrame, model: dict, text_col: str = "text", score_col: s
     return df.withColumn(score_col, score(F.col(text_col).cast("string")))
 
 
-def drop_toxic(df: DataFrame, labelled: DataFrame, text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """df without the rows that score cut or more under a model trained on labelled (doc_id, text, toxic); columns as before."""
-    return score_texts(df, train(labelled), text_col, "_ll_score").where(F.col("_ll_score") < cut).drop("_ll_score")
+def drop_toxic(df: DataFrame, model: dict, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """df without the rows that score cut or more under a model of train(); columns as before."""
+    return score_texts(df, model, text_col, "_ll_score").where(F.col("_ll_score") < cut).drop("_ll_score")

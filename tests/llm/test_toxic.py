@@ -24,8 +24,9 @@ def rows():
 
 def test_held_out_accuracy_and_odd_texts(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
-    model = toxic.train(df.where("doc_id % 5 <> 0"))
-    again = toxic.train(df.repartition(3).where("doc_id % 5 <> 0"))
+    labels = df.select("doc_id", "toxic").where("doc_id % 5 <> 0")
+    model = toxic.train(df.drop("toxic"), labels)
+    again = toxic.train(df.repartition(3), labels.unionByName(labels).repartition(2))
     assert model == again  # the sample does not depend on how rows are dealt
     got = toxic.score_texts(df.where("doc_id % 5 = 0"), model).select("score", "toxic").collect()
     hit = sum((x["score"] >= 0.5) == (x["toxic"] == 1) for x in got)
@@ -33,7 +34,7 @@ def test_held_out_accuracy_and_odd_texts(spark, rows):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (4, "word"), (5, "x" * 200_000), (6, "muckwit scumble " * 20_000)], "doc_id long, text string")
     s = {x["doc_id"]: x["score"] for x in toxic.score_texts(odd, model).collect()}
     assert s[1] == s[2] == s[3] == 0.0 and s[6] > 0.5 and all(0 <= v <= 1 for v in s.values())
-    kept = toxic.drop_toxic(df.select("doc_id", "text", "score"), df.where("doc_id % 5 <> 0"))
+    kept = toxic.drop_toxic(df.select("doc_id", "text", "score"), model)
     assert kept.columns == ["doc_id", "text", "score"]
     ids = {x["doc_id"] for x in kept.collect()}
     assert sum(r[0] in ids for r in rows if r[2] == 0) > 0.95 * 1200 and sum(r[0] in ids for r in rows if r[2] == 1) < 0.1 * 400
@@ -41,5 +42,5 @@ def test_held_out_accuracy_and_odd_texts(spark, rows):
 
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, "a b", 0), (2, None, 1), (3, "c", None)], "doc_id long, text string, toxic int")
-    assert toxic.train(none) == {} and toxic.train(none.where("doc_id < 0")) == {}
+    assert toxic.train(none, none) == {} and toxic.train(none, none.where("doc_id < 0")) == {}
     assert {x["score"] for x in toxic.score_texts(none, {}).collect()} == {0.0}
