@@ -1,4 +1,253 @@
 """All queries of the library by name, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom import oracles as O
+from ledgerloom.functions import ids, money, text
+from ledgerloom.operators import receipt, registry
+from ledgerloom.plans import render
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- fields of printed receipts --------------------------------------------------------------------------------------
+
+
+@query(O.with_heads("SELECT doc_id, total / 100.0 AS total FROM heads"))
+def receipt_total_per_doc(spark: SparkSession, d: str) -> DataFrame:
+    return receipt.receipt_totals(render.receipt_lines(spark, d))
+
+
+# an amount that equals a rate is never read as one, so such VAT is recomputed from the total
+_NO_AMOUNT = "(500, 900, 1100, 1900, 2100)"
+
+
+@query(O.with_heads(f"SELECT doc_id, CAST(rate AS DOUBLE) AS rate, vat / 100.0 AS amount FROM heads WHERE vat NOT IN {_NO_AMOUNT}"))
+def receipt_vat_lines(spark: SparkSession, d: str) -> DataFrame:
+    return receipt.vat_lines(render.receipt_lines(spark, d)).select("doc_id", "rate", "amount")
+
+
+@query(O.with_heads("""
+SELECT h.doc_id, upper(s_name) || ' SRL' AS header, CASE WHEN h.doc_id % 5 = 1 THEN left(cui, 7) ELSE cui END AS read_id, strftime(date, '%Y-%m-%d') AS date,
+  CAST(h.doc_id AS VARCHAR) AS number, CASE WHEN cash THEN 'numerar' ELSE 'card' END AS payment FROM heads h JOIN supplier ON s_suppkey = seller"""))
+def receipt_header_fields(spark: SparkSession, d: str) -> DataFrame:
+    return receipt.receipt_fields(render.receipt_lines(spark, d)).select("doc_id", "header", "read_id", "date", "number", "payment")
+
+
+@query(O.with_heads(f"SELECT doc_id, total / 100.0 AS total, vat / 100.0 AS vat, CAST(rate AS DOUBLE) AS rate, vat NOT IN {_NO_AMOUNT} AS verified, 'ocr' AS total_source FROM heads"))
+def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return receipt.read_receipts(render.receipt_lines(spark, d)).select("doc_id", "total", "vat", "rate", "verified", "total_source")
+
+
+@query(f"""
+WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, {O.CENTS} AS c, lag({O.CENTS}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {O.CENTS}) AS b FROM lineitem WHERE {O.CENTS} NOT IN (500, 900, 1100, 1900, 2100))
+SELECT l_orderkey AS doc_id, sum(c)::BIGINT / 100.0 AS item_total FROM i WHERE b IS NULL OR b <> c GROUP BY l_orderkey""")
+def item_sum_collapse(spark: SparkSession, d: str) -> DataFrame:
+    item = render.table(spark, d, "lineitem")
+    cents = F.floor("l_extendedprice").cast("long")
+    # lines are numbered by number and amount, so that equal numbers keep one order
+    lines = item.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber").cast("long") * 10_000_000_000 + cents).alias("line_no"), F.concat(F.lit("item "), render.money(cents), F.lit(" A")).alias("text"))
+    return receipt.item_totals(lines)
+
+
+@query(f"""
+WITH c AS (SELECT l_orderkey AS doc_id, {O.CENTS} // 1000 * 1000 + 1000 AS v FROM lineitem), n AS (SELECT doc_id, v, count(*) AS n FROM c GROUP BY doc_id, v HAVING count(*) >= 2)
+SELECT doc_id, max(v) / 100.0 AS total FROM n GROUP BY doc_id""")
+def amount_frequency_mode(spark: SparkSession, d: str) -> DataFrame:
+    rounded = F.expr("floor(l_extendedprice) div 1000 * 1000 + 1000").cast("long")
+    lines = render.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("line_no"), F.concat(F.lit("pay "), render.money(rounded)).alias("text"))
+    return receipt.receipt_totals(lines).where("total IS NOT NULL")
+
+
+@query(f"""
+SELECT o_orderkey AS doc_id, o_totalprice AS price, length(o_orderpriority) AS n, {O.ron2("o_totalprice")} AS r2, floor(o_totalprice) * 1.0 AS parsed FROM orders""")
+def amount_parsing(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts with thousands separators read back, and rounding."""
+    o = render.table(spark, d, "orders")
+    grouped = F.concat(F.format_number(F.floor("o_totalprice"), 0), F.lit(".00"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("price"), F.length("o_orderpriority").cast("long").alias("n"), money.ron2(F.col("o_totalprice")).alias("r2"), money.parse_grouped(grouped).alias("parsed"))
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 28 YEAR AS DATE) AS d FROM orders)
+SELECT o_orderkey AS doc_id, {O.VAT_PERIODS_SQL} AS rates, NOT contains(',' || {O.VAT_PERIODS_SQL} || ',', ',9,') AS warns_nine FROM o""")
+def vat_rate_validity_join(spark: SparkSession, d: str) -> DataFrame:
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.add_months(F.col("o_orderdate").cast("date"), 336).alias("d"))
+    periods = spark.createDataFrame([(a, b, list(r)) for a, b, r in money.VAT_PERIODS], "a string, b string, rates array<double>").select(F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"), "rates")
+    joined = o.join(F.broadcast(periods), F.col("d").between(F.col("a"), F.col("b")))  # three rows, whatever the input
+    return joined.select("doc_id", F.array_join(F.transform("rates", lambda r: r.cast("int").cast("string")), ",").alias("rates"), money.rate_warning(F.lit(9.0), F.col("d")).isNotNull().alias("warns_nine"))
+
+
+_RECONCILE_IN = f"""
+x AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 4 THEN NULL WHEN o_orderkey % 5 = 1 THEN t + 8 ELSE t END AS total,
+  CASE WHEN o_orderkey % 5 = 3 THEN NULL ELSE {O.ron2("t * 21 / 121")} + CASE WHEN o_orderkey % 5 = 2 THEN 5 ELSE 0 END END AS vat, t AS printed FROM (SELECT o_orderkey, floor(o_totalprice) / 100 AS t FROM orders))"""
+
+
+@query(f"""
+WITH {_RECONCILE_IN}, y AS (SELECT *, {O.ron2("vat * 121 / 21")} AS implied FROM x), z AS (SELECT *, CASE WHEN abs(printed - implied) <= 0.06 THEN printed END AS m FROM y)
+SELECT doc_id,
+  CASE WHEN total IS NOT NULL AND vat IS NOT NULL AND abs(vat - total * 21 / 121) <= 0.06 THEN total WHEN m IS NOT NULL THEN m ELSE total END AS total,
+  CASE WHEN total IS NOT NULL AND vat IS NOT NULL AND abs(vat - total * 21 / 121) <= 0.06 THEN vat WHEN m IS NOT NULL THEN vat WHEN total IS NOT NULL THEN {O.ron2("total * 21 / 121")} ELSE vat END AS vat,
+  coalesce(total IS NOT NULL AND vat IS NOT NULL AND abs(vat - total * 21 / 121) <= 0.06, false) OR m IS NOT NULL AS verified,
+  CASE WHEN coalesce(abs(vat - total * 21 / 121) <= 0.06, false) THEN 'ocr' WHEN m IS NOT NULL THEN CASE WHEN total IS NULL OR abs(total - m) > 0.06 THEN 'derivat_din_tva' ELSE 'ocr' END WHEN total IS NOT NULL THEN 'ocr' ELSE 'lipsa' END AS source
+FROM z""")
+def reconcile_branches(spark: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("o_orderkey") % 5, F.floor("o_totalprice") / 100
+    o = render.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.when(k == 4, None).when(k == 1, t + 8).otherwise(t).alias("total"),
+        F.when(k == 3, None).otherwise(money.ron2(t * 21 / 121) + F.when(k == 2, 5).otherwise(0)).alias("vat"),
+        F.array(t).alias("printed"),
+    )
+    return o.select("doc_id", money.reconcile(F.col("total"), F.col("vat"), F.lit(21.0), F.col("printed")).alias("r")).select("doc_id", "r.*")
+
+
+# --- identifiers and the registry ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT c_custkey AS k, CAST(1000 + c_custkey * 7 AS VARCHAR) AS cui, {O.id_ok_sql('CAST(1000 + c_custkey * 7 AS VARCHAR)')} AS ok, {O.id_ok_sql(O.company_id_sql('c_custkey'))} AS made_ok FROM customer")
+def id_checksum(spark: SparkSession, d: str) -> DataFrame:
+    c = render.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (1000 + F.col("c_custkey") * 7).cast("string").alias("cui"))
+    return c.select("k", "cui", ids.company_id_ok(F.col("cui")).alias("ok"), ids.company_id_ok(render.company_id(F.col("k"))).alias("made_ok"))
+
+
+@query(f"SELECT s_suppkey AS k, {O.company_id_sql('s_suppkey')} AS cui FROM supplier")
+def id_repair(spark: SparkSession, d: str) -> DataFrame:
+    s = render.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("RO0"), F.translate(render.company_id(F.col("s_suppkey")), "01258", "oiZSb")).alias("seen"))
+    return s.select("k", ids.normal_id(F.upper("seen")).alias("cui"))
+
+
+_ADDED = ", ".join(f"'{i}'" for i in range(10))
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS k, {O.company_id_sql('s_suppkey')} AS c FROM supplier), r AS (SELECT k, left(c, 7) AS d FROM s), n AS (SELECT unnest([{_ADDED}]) AS x),
+g AS (SELECT k, d || x AS v FROM r, n UNION SELECT k, d || a.x || b.x FROM r, n a, n b UNION SELECT k, substr(d, 2) FROM r UNION SELECT k, left(d, 6) FROM r
+  UNION SELECT k, substr(d, 1, i - 1) || x || substr(d, i + 1) FROM r, n, (SELECT unnest(range(1, 8)) AS i) p),
+ok AS (SELECT k, v FROM g WHERE {O.id_ok_sql('v')} UNION SELECT k, d FROM r)
+SELECT k, count(*) AS n, string_agg(v, ',' ORDER BY v) AS candidates FROM ok GROUP BY k""")
+def id_candidates(spark: SparkSession, d: str) -> DataFrame:
+    s = render.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.substring(render.company_id(F.col("s_suppkey")), 1, 7).alias("d"))
+    s = s.select("k", ids.id_candidates(F.col("d")).alias("c"))
+    return s.select("k", F.size("c").cast("long").alias("n"), F.array_join(F.array_sort("c"), ",").alias("candidates"))
+
+
+@query(O.with_heads("SELECT doc_id, cui, upper(s_name) || ' SRL' AS name FROM heads JOIN supplier ON s_suppkey = seller WHERE doc_id % 5 <> 1"))
+def registry_lookup_join(spark: SparkSession, d: str) -> DataFrame:
+    """The read form of each id against the registry."""
+    docs = receipt.receipt_fields(render.receipt_lines(spark, d)).select("doc_id", F.col("read_id").alias("cui"))
+    return docs.join(render.registry(spark, d), "cui").select("doc_id", "cui", "name")
+
+
+@query(O.with_heads("SELECT doc_id, cui FROM heads"))
+def registry_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged ids find their company among all their candidates, told by its name."""
+    docs = receipt.receipt_fields(render.receipt_lines(spark, d)).select("doc_id", "header", "read_id")
+    return registry.resolve(docs, render.registry(spark, d)).select("doc_id", "cui")
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS k, p_name AS n, list_distinct(list_concat(list_filter(string_split(upper(p_name), ' '), lambda w: length(w) > 2), list_transform(list_filter(range(4, 9), lambda i: length(replace(p_name, ' ', '')) >= i), lambda i: substr(upper(replace(p_name, ' ', '')), 1, i)))) AS a,
+  list_distinct(list_concat(list_filter(string_split(upper(p_type || ' RING'), ' '), lambda w: length(w) > 2), list_transform(range(4, 9), lambda i: substr(upper(replace(p_type || 'RING', ' ', '')), 1, i)))) AS b, p_type || ' RING' AS m FROM part)
+SELECT k, least(1.0, len(list_intersect(a, b)) / least(len(a), len(b)) + 0.15 * len(list_filter(a, lambda x: length(x) >= 4 AND contains(upper(replace(m, ' ', '')), x))) + 0.10 * len(list_filter(b, lambda x: length(x) >= 4 AND contains(upper(replace(n, ' ', '')), x)))) AS score FROM t""")
+def name_match_score(spark: SparkSession, d: str) -> DataFrame:
+    p = render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_name", F.concat("p_type", F.lit(" RING")).alias("m"))
+    return p.select("k", text.name_score(F.col("p_name"), F.col("m")).alias("score"))
+
+
+@query("SELECT p_partkey AS k, levenshtein(upper(p_name), 'SMALL RING') <= 4 AS near FROM part")
+def fuzzy_label(spark: SparkSession, d: str) -> DataFrame:
+    return render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), text.fuzzy_equal(F.col("p_name"), F.lit("small ring"), 4).alias("near"))
+
+
+# --- accounts and ledger ---------------------------------------------------------------------------------------------
+
+_SHOPS = ("omv", "engie", "orange", "fan courier", "hotel", "vulcanizare", "rca", "bcr", "notar", "chirie", "reclama", "pizza", "laptop", "dedeman", "toner", "catena", "lidl", "peaj", "parcare", "x")
+_SHOP_SQL = "CASE p_partkey % 20 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SHOPS)) + " END"
+
+
+@query(f"SELECT p_partkey AS k, {O.rules_sql(f'({_SHOP_SQL} || chr(32) || p_name)')} AS account FROM part")
+def account_by_rules(spark: SparkSession, d: str) -> DataFrame:
+    shop = F.element_at(F.array(*map(F.lit, _SHOPS)), (F.col("p_partkey") % 20 + 1).cast("int"))
+    return render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), text.first_rule(F.concat(shop, F.lit(" "), F.col("p_name"))).alias("account"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN contains(upper(p_name), 'RING') THEN '6022' WHEN contains(upper(p_name), 'SMALL') THEN '604' ELSE '602' END AS account FROM part")
+def account_user_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered keyword rules of a user as a table: the first that the text holds."""
+    rules = spark.createDataFrame([(0, "RING", "6022"), (1, "SMALL", "604")], "ordinal int, keyword string, account string")
+    p = render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.upper("p_name").alias("t"))
+    hit = p.join(F.broadcast(rules), F.contains(F.col("t"), F.col("keyword")), "left")  # a user's rules are few
+    return hit.groupBy("k").agg(F.coalesce(F.min_by("account", "ordinal"), F.lit("602")).alias("account"))
+
+
+@query(O.with_heads(f"""
+, e AS (SELECT doc_id, total / 100.0 AS t, vat / 100.0 AS v, cash FROM heads)
+SELECT doc_id, '604' AS debit, '401' AS credit, {O.ron2('t - v')} AS amount FROM e UNION ALL SELECT doc_id, '4426', '401', {O.ron2('v')} FROM e WHERE v > 0
+UNION ALL SELECT doc_id, '401', CASE WHEN cash THEN '5311' ELSE '5125' END, {O.ron2('t')} FROM e"""))
+def ledger_entries(spark: SparkSession, d: str) -> DataFrame:
+    h = render.receipt_heads(spark, d)
+    e = h.select("doc_id", F.explode(money.ledger_entries(F.col("total") / 100, F.col("vat") / 100, F.lit("604"), F.col("cash"))).alias("e"))
+    return e.select("doc_id", "e.*")
+
+
+@query("""
+SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'A' THEN 21 ELSE 11 END AS rate, sum(CAST(floor(l_extendedprice) AS BIGINT))::BIGINT AS base,
+  (sum(CAST(floor(l_extendedprice) AS BIGINT)) * any_value(CASE WHEN l_returnflag = 'A' THEN 21 ELSE 11 END) // 100)::BIGINT AS vat FROM lineitem GROUP BY 1, 2""")
+def vat_split_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document and VAT rate."""
+    rate = F.when(F.col("l_returnflag") == "A", 21).otherwise(11)
+    g = render.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), rate.alias("rate")).agg(F.sum(F.floor("l_extendedprice").cast("long")).alias("base"))
+    return g.withColumn("vat", F.expr("base * rate div 100"))
+
+
+@query("SELECT rate, n, total FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Bon Fiscal' ELSE 'Chitanță' END AS rate, count(*) AS n, sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT AS total FROM orders GROUP BY 1)")
+def legacy_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts and slips flattened to one kind of row, then counted by kind."""
+    o = render.table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("t"))
+    receipts = o.where("o_orderkey % 2 = 0").select(F.lit("Bon Fiscal").alias("rate"), "t")
+    slips = o.where("o_orderkey % 2 <> 0").select(F.lit("Chitanță").alias("rate"), "t")
+    return receipts.unionByName(slips).groupBy("rate").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("total"))
+
+
+@query(O.with_heads("""SELECT doc_id AS "Nr", CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(vat AS VARCHAR) END AS "TVA", CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(total AS VARCHAR) END AS "Total", CASE WHEN doc_id % 4 = 0 THEN CAST(total AS VARCHAR) ELSE '' END AS "Suma", '' AS "Altele" FROM heads"""))
+def excel_export_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows under a template's headers: fields by their mapping, slips with their sum in a column of its own, unmapped headers blank."""
+    h, slip = render.receipt_heads(spark, d), F.col("doc_id") % 4 == 0
+    fields = {"nr": F.col("doc_id"), "tva": F.when(slip, "").otherwise(F.col("vat").cast("string")), "total": F.when(slip, "").otherwise(F.col("total").cast("string")), "suma": F.when(slip, F.col("total").cast("string")).otherwise("")}
+    return h.select(*(fields.get(header.lower(), F.lit("")).alias(header) for header in ("Nr", "TVA", "Total", "Suma", "Altele")))
+
+
+# --- classification --------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN contains(upper(text), 'FACTURA') OR contains(upper(text), 'INVOICE') THEN 'Factură' WHEN contains(upper(text), 'BON FISCAL') OR contains(upper(text), 'CASA DE MARCAT') OR contains(upper(text), 'BF.') OR contains(upper(text), 'BF ') THEN 'Bon Fiscal'
+  WHEN contains(upper(text), 'TERMINAL ID') OR contains(upper(text), 'PIN VERIFICAT') OR contains(upper(text), 'TRANZACTIE ACCEPTATA') OR contains(upper(text), 'TRANZACTIE APROBATA') OR contains(upper(text), 'POS') THEN 'Chitanță POS'
+  WHEN contains(upper(text), 'CHITANTA') THEN 'Chitanță de mână' WHEN contains(upper(text), 'BENZINA') OR contains(upper(text), 'MOTORINA') OR contains(upper(text), 'DIESEL') THEN 'Fișă Combustibil' ELSE 'Necunoscut' END AS kind FROM documents""")
+def doc_type_classify(spark: SparkSession, d: str) -> DataFrame:
+    return render.table(spark, d, "documents").select("doc_id", text.document_kind(F.col("text")).alias("kind"))
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 4 IN (0, 3) AS slip FROM orders")
+def slip_vs_receipt(spark: SparkSession, d: str) -> DataFrame:
+    says = F.element_at(F.array(*map(F.lit, ("CHITANȚĂ SERIA NUMAR 12 AM PRIMIT DE LA", "BON FISCAL CHITANTA SERIA NUMAR SUMA", "CHITANTA 44", "AM PRIMIT DE LA X SUMA DE 10 LEI"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.looks_like_slip(says).alias("slip"))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def html_escape_pages(spark: SparkSession, d: str) -> DataFrame:
+    return render.table(spark, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("escaped"))
