@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import oracles as O
-from ledgerloom.functions import ids, money, text
-from ledgerloom.operators import receipt, registry
+from ledgerloom.functions import ids, money, rects, text
+from ledgerloom.operators import folds, receipt, registry, segment, slip, spatial
 from ledgerloom.plans import render
+from ledgerloom.sources import boxes
+from ledgerloom.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -251,3 +256,243 @@ def slip_vs_receipt(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
 def html_escape_pages(spark: SparkSession, d: str) -> DataFrame:
     return render.table(spark, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("escaped"))
+
+
+# --- boxes, lines and pages ------------------------------------------------------------------------------------------
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the receipt lines outside of the items, laid out 24 apart down and 60 across, shaken by up to 2."""
+    lines = render.receipt_lines(spark, d).where("line_no < 10 OR line_no >= 900")
+    t = lines.select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    shake = F.pmod(F.col("doc_id") * 7 + F.col("pos") * 13, F.lit(5)) - 2
+    return t.select("doc_id", (F.col("line_no") * 1000 + F.col("pos")).alias("box_id"), "text", (10.0 + 60 * F.col("pos")).alias("x"), (24.0 * F.col("line_no") + shake).alias("y"), F.lit(50.0).alias("w"), F.lit(12.0).alias("h"))
+
+
+_LINES_SQL = O.with_heads("""
+, t AS (
+  SELECT doc_id, 1 AS n, upper(s_name) || ' SRL' AS text FROM heads JOIN supplier ON s_suppkey = seller
+  UNION ALL SELECT doc_id, 2, 'COD FISCAL: RO' || CASE doc_id % 5 WHEN 0 THEN replace(cui, '0', 'O') WHEN 1 THEN left(cui, 7) ELSE cui END FROM heads
+  UNION ALL SELECT doc_id, 3, 'NUMAR BON FISCAL: ' || doc_id FROM heads
+  UNION ALL SELECT doc_id, 900, 'TOTAL ' || (total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') FROM heads WHERE doc_id % 7 <> 0
+  UNION ALL SELECT doc_id, 901, 'TOTAL TVA A ' || rate || ',00% ' || (vat // 100) || '.' || lpad(CAST(vat % 100 AS VARCHAR), 2, '0') FROM heads
+  UNION ALL SELECT doc_id, 902, 'DATA: ' || strftime(date, '%d.%m.%Y') FROM heads
+  UNION ALL SELECT doc_id, 903, CASE WHEN cash THEN 'NUMERAR ' ELSE 'CARD ' END || (total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') FROM heads
+  UNION ALL SELECT doc_id, 904, 'SUMA ' || (total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') FROM heads WHERE doc_id % 7 = 0)
+""")
+
+
+@query(_LINES_SQL + "SELECT doc_id, text FROM t")
+def line_grouping(spark: SparkSession, d: str) -> DataFrame:
+    return folds.group_lines(_boxes(spark, d), "doc_id").select("doc_id", "text")
+
+
+@query(_LINES_SQL + "SELECT doc_id, sum(len(string_split(text, ' ')))::BIGINT AS n FROM t GROUP BY doc_id")
+def word_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Every third word is seen twice, a little aside; each stays once."""
+    b = _boxes(spark, d)
+    again = b.where("box_id % 3 = 0").select("doc_id", (F.col("box_id") + 500).alias("box_id"), F.lower("text").alias("text"), (F.col("x") + 5).alias("x"), (F.col("y") + 1).alias("y"), "w", "h")
+    return folds.dedupe_words(b.unionByName(again), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey AS k, greatest(4.0, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1]) AS mh FROM lineitem GROUP BY l_orderkey")
+def upper_median_height(spark: SparkSession, d: str) -> DataFrame:
+    return render.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(folds.upper_median(F.collect_list("l_quantity")).alias("mh"))
+
+
+def _rects(spark: SparkSession, d: str) -> DataFrame:
+    i = render.table(spark, d, "lineitem")
+    return i.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("det_id"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 40).cast("double").alias("y"), F.lit(20.0).alias("w"), (10.0 + F.col("l_suppkey") % 30).alias("h"))
+
+
+_RECTS_SQL = "r AS (SELECT l_orderkey AS k, l_linenumber * 10000000 + l_partkey AS i, l_quantity AS x, (l_partkey % 40) * 1.0 AS y, 20.0 AS w, 10.0 + l_suppkey % 30 AS h FROM lineitem)"
+
+
+@query(f"""WITH {_RECTS_SQL}, p AS (SELECT a.k, a.i AS a, b.i AS b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS c, a.w * a.h AS m, b.w * b.h AS n FROM r a JOIN r b ON a.k = b.k AND a.i < b.i),
+q AS (SELECT *, c / (m + n - c) AS iou, c / least(m, n) AS cover, greatest(m, n) / least(m, n) AS ratio FROM p WHERE c > 0)
+SELECT k, a, b, round(iou, 9) AS iou, iou > 0.28 OR (cover > 0.55 AND ratio < 3.5) OR (cover > 0.40 AND ratio < 2.8 AND iou > 0.12) AS same FROM q""")
+def bbox_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.overlaps(_rects(spark, d), "k", "det_id").select("k", "a", "b", F.round("iou", 9).alias("iou"), "same")
+
+
+@query("SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey")
+def nms_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of one line number lie almost on each other, those of others apart: one of each stays."""
+    i = render.table(spark, d, "lineitem")
+    det = i.select(F.col("l_orderkey").alias("k"), F.monotonically_increasing_id().alias("det_id"), (100.0 * F.col("l_linenumber") + F.col("l_partkey") % 5).alias("x"), F.lit(0.0).alias("y"), F.lit(90.0).alias("w"), F.lit(200.0).alias("h"), F.col("l_extendedprice").alias("score"))
+    return folds.suppress(det, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 4 AS t, o_orderkey % 97 * 1.0 AS x, o_custkey % 89 * 1.0 AS y, 20.0 AS w, 30.0 AS h FROM orders)
+SELECT k, CASE t WHEN 0 THEN x WHEN 1 THEN 200 - (y + h) WHEN 2 THEN 150 - (x + w) ELSE y END AS bx, CASE t WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 200 - (y + h) ELSE 150 - (x + w) END AS by, CASE WHEN t % 2 = 0 THEN w ELSE h END AS bw, true AS back FROM r""")
+def rect_rotate_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4 - 4 * (F.col("o_orderkey") % 2)).alias("t"), F.struct((F.col("o_orderkey") % 97).cast("double").alias("x"), (F.col("o_custkey") % 89).cast("double").alias("y"), F.lit(20.0).alias("w"), F.lit(30.0).alias("h")).alias("r"))
+    wide, tall = F.lit(150.0), F.lit(200.0)
+    o = o.withColumn("b", rects.to_base(F.col("r"), F.col("t"), wide, tall))
+    return o.select("k", F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.col("b.w").alias("bw"), (rects.from_base(F.col("b"), F.col("t"), wide, tall) == F.col("r")).alias("back"))
+
+
+_AMOUNT_BOXES = "a AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey AS box_id, l_quantity AS x, (l_partkey % 40) * 1.0 AS y, CASE WHEN l_partkey % 3 = 0 THEN 19.0 ELSE floor(l_extendedprice) / 100 END AS amount FROM lineitem)"
+
+
+@query(f"""WITH {_AMOUNT_BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (x - 10) * (x - 10) + (y - 20) * (y - 20), box_id) AS r FROM a)
+SELECT doc_id, min_by(amount, r) AS amount FROM r WHERE r <= 8 AND amount > 1 AND amount NOT IN (5, 9, 11, 19, 21) GROUP BY doc_id""")
+def nearest_amount_knn8(spark: SparkSession, d: str) -> DataFrame:
+    i = render.table(spark, d, "lineitem")
+    a = i.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("box_id"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 40).cast("double").alias("y"), F.when(F.col("l_partkey") % 3 == 0, 19.0).otherwise(F.floor("l_extendedprice") / 100).alias("amount"))
+    labels = a.select("doc_id").distinct().select("doc_id", F.lit(10.0).alias("x"), F.lit(20.0).alias("y"))
+    return spatial.nearest_amounts(labels, a)
+
+
+@query(f"""WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey AS i, floor(l_extendedprice) / 100 AS v FROM lineitem UNION ALL SELECT l_orderkey, 5000000000 + l_linenumber * 10000000 + l_partkey, {O.ron2("floor(l_extendedprice) / 100 * 19 / 100")} FROM lineitem WHERE l_partkey % 2 = 0),
+p AS (SELECT x.doc_id, x.i AS i, y.i AS j, x.v AS base, y.v AS vat FROM a x JOIN a y ON x.doc_id = y.doc_id WHERE x.v <> y.v AND abs(y.v - x.v * 19 / 100) <= 0.05)
+SELECT doc_id, base, vat FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, base, vat) AS r FROM p) WHERE r = 1""")
+def base_vat_pairs(spark: SparkSession, d: str) -> DataFrame:
+    i, v = render.table(spark, d, "lineitem"), F.floor("l_extendedprice") / 100
+    at = F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")
+    a = i.select(F.col("l_orderkey").alias("doc_id"), at.alias("ordinal"), v.alias("amount")).unionByName(i.where("l_partkey % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), (at + 5_000_000_000).alias("ordinal"), money.ron2(v * 19 / 100).alias("amount")))
+    return spatial.vat_pairs(a, 19.0)
+
+
+@query("""WITH r AS (SELECT user_id AS k, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + 30 AS e FROM events), g AS (SELECT k, s, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS till FROM r)
+SELECT k, max(s - till) AS gap, arg_max((s + till) / 2, [s - till, -(s + till) / 2]) AS cut FROM g WHERE s - till > 2 GROUP BY k""")
+def largest_gap_cut(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.largest_gap(_seconds(spark, d).select("k", "s", (F.col("s") + 30).alias("e")), "k", "s", "e")
+
+
+def _seconds(spark: SparkSession, d: str) -> DataFrame:
+    e = render.table(spark, d, "events")
+    return e.select(F.col("user_id").alias("k"), "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"), "value", "event_type")
+
+
+@query("SELECT k, max(b - value) AS reset FROM (SELECT user_id AS k, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY k")
+def largest_reset_split(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.largest_reset(_seconds(spark, d), "k", ["s", "event_id"], "value")
+
+
+@query("""WITH r AS (SELECT user_id AS k, event_id, epoch_us(ts) // 1000000 AS s FROM events), n AS (SELECT *, coalesce((s - lag(s) OVER (PARTITION BY k ORDER BY s, event_id) >= 7200)::INT, 0) AS w FROM r),
+x AS (SELECT k, sum(w) OVER (PARTITION BY k ORDER BY s, event_id) AS session FROM n) SELECT k, session::BIGINT AS session, count(*) AS n FROM x GROUP BY k, session""")
+def anchor_sessions_prev(spark: SparkSession, d: str) -> DataFrame:
+    out = spatial.sessions(_seconds(spark, d), "k", ["s", "event_id"], F.col("s"), 7200)
+    return out.groupBy("k", "session").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS k, (epoch_us(ts) // 1000000)::DOUBLE AS s FROM events), h AS (
+  SELECT k, min(s) AS s FROM r GROUP BY k UNION ALL
+  SELECT h.k, (SELECT min(r.s) FROM r WHERE r.k = h.k AND r.s - h.s >= 7200) AS s FROM h WHERE (SELECT min(r.s) FROM r WHERE r.k = h.k AND r.s - h.s >= 7200) IS NOT NULL)
+SELECT k, count(*) AS n, sum(s) AS total FROM h GROUP BY k""")
+def anchor_groups_head(spark: SparkSession, d: str) -> DataFrame:
+    out = spatial.head_groups(_seconds(spark, d), "k", "s", 7200)
+    return out.select("k", F.size("heads").cast("long").alias("n"), F.aggregate("heads", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("""SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS ahead FROM events""")
+def lookahead6_max(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("k").orderBy("s", "event_id").rowsBetween(1, 6)
+    return _seconds(spark, d).select("event_id", F.max("value").over(w).alias("ahead"))
+
+
+@query("SELECT k, event_id, value FROM (SELECT event_type AS k, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 180")
+def metrics_ring_buffer(spark: SparkSession, d: str) -> DataFrame:
+    rows = _seconds(spark, d).select(F.col("event_type").alias("k"), "event_id", "value", "s")
+    return spatial.ring(rows, "k", [F.desc("s"), F.desc("event_id")], 180).drop("s")
+
+
+@query("""WITH r AS (SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)
+SELECT event_id, CASE WHEN coalesce(t > 0, false) THEN greatest(0.0, least(1.0, b / t)) ELSE 0.0 END AS used FROM r""")
+def metrics_delta(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.utilisation(_seconds(spark, d), "k", ["s", "event_id"], "value", "event_id").select("event_id", "used")
+
+
+@query("SELECT p AS plate, c AS cluster, n FROM (SELECT o_orderkey // 4 AS p, row_number() OVER (PARTITION BY o_orderkey // 4 ORDER BY o_orderkey % 4) - 1 AS c, 12 + o_orderkey % 9 AS n FROM orders)")
+def segment_plate(spark: SparkSession, d: str) -> DataFrame:
+    """Four documents on a plate, side by side and below each other; every fifth plate is turned."""
+    o = render.table(spark, d, "orders").select((F.expr("o_orderkey div 4")).alias("plate"), (F.col("o_orderkey") % 4).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), 11 + F.col("o_orderkey") % 9)).alias("i"))
+    x = F.expr("q div 2") * 600.0 + (F.col("i") % 3) * 55
+    y = (F.col("q") % 2) * 400.0 + F.expr("i div 3") * 16
+    b = o.select("plate", (F.col("q") * 1000 + F.col("i")).alias("box_id"), F.lit("word").alias("text"), x.alias("x"), y.alias("y"), F.lit(50.0).alias("w"), F.lit(12.0).alias("h"))
+    turn = F.col("plate") % 5 == 0
+    b = b.select("plate", "box_id", "text", F.when(turn, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turn, 2000 - F.col("x") - 50).otherwise(F.col("y")).alias("y"), F.when(turn, 12.0).otherwise(50.0).alias("w"), F.when(turn, 50.0).otherwise(12.0).alias("h"))
+    return segment.segment(b, "plate").groupBy("plate", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- slips and repeats -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS k, (1 + o_orderkey * 37 % 499999) + (o_orderkey % 100) / 100.0 AS amount, (1 + o_orderkey * 37 % 499999) + (o_orderkey % 100) / 100.0 AS chosen FROM orders")
+def slip_amount_words(spark: SparkSession, d: str) -> DataFrame:
+    """Sums said in words are read back, and correct digits that were misread by a little."""
+    n, bani = 1 + F.col("o_orderkey") * 37 % 499_999, F.col("o_orderkey") % 100
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), slip.sum_in_words(slip.sum_to_words(n, bani)).alias("amount"), (n + bani / 100 + F.when(F.col("o_orderkey") % 3 == 0, 7).otherwise(0)).alias("digits"))
+    return o.select("k", "amount", slip.decide(F.col("digits"), F.col("amount")).alias("chosen"))
+
+
+@query("SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber >= 4 THEN 'payer' ELSE 'issuer' END AS section, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4) GROUP BY 1, 2")
+def payer_issuer_split(spark: SparkSession, d: str) -> DataFrame:
+    i = render.table(spark, d, "lineitem")
+    lines = i.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.when(F.col("l_linenumber") == 4, "Am primit de la X").otherwise("row").alias("text"))
+    out = slip.sections(lines)
+    four = lines.where("line_no = 4").select("doc_id").distinct()
+    return out.join(four, "doc_id", "left_semi").groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, sum(k)::BIGINT AS keys FROM (SELECT min(o_orderkey) AS k FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE))")
+def slip_dedup(spark: SparkSession, d: str) -> DataFrame:
+    o = render.table(spark, d, "orders")
+    slips = o.select(F.col("o_orderkey").alias("slip_id"), F.col("o_custkey").cast("string").alias("issuer"), F.lit(None).cast("string").alias("series"), F.lit("7").alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit(None).cast("double").alias("amount"))
+    return slip.distinct_slips(slips).agg(F.count(F.lit(1)).alias("n"), F.sum("slip_id").alias("keys"))
+
+
+@query("SELECT o_orderkey // 4 AS plate, count(*) AS n FROM orders GROUP BY 1")
+def receipt_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Each receipt of a plate seen once whole, once without its total at the same place, and every third once more elsewhere."""
+    o = render.table(spark, d, "orders").select(F.expr("o_orderkey div 4").alias("plate"), F.col("o_orderkey").alias("k"), (F.lit(100_000) + F.col("o_orderkey")).cast("string").alias("cui"), F.floor("o_totalprice").cast("double").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), ((F.col("o_orderkey") % 4) * 500.0).alias("x"))
+    seen = lambda n, total, x, c, cui=F.col("cui"): o.select("plate", (F.col("k") * 10 + n).alias("rec_id"), cui.alias("cui"), total.alias("total"), "date", x.alias("x"), F.lit(0.0).alias("y"), F.lit(300.0).alias("w"), F.lit(600.0).alias("h"), F.lit(c).alias("completeness"))
+    nothing = F.lit(None).cast("double")
+    rows = seen(0, F.col("total"), F.col("x"), 200.0).unionByName(seen(1, nothing, F.col("x") + 10, 20.0)).unionByName(seen(2, F.col("total"), F.col("x") + 9000, 150.0).where("rec_id % 3 = 0")).unionByName(seen(3, nothing, F.col("x") + 20_000, 5.0, F.lit("12")))
+    return folds.dedupe_receipts(rows, "plate").groupBy("plate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey AS k, greatest(0.0, least(1.0, round((0.35 + CASE WHEN o_orderkey % 2 = 0 THEN 0.15 ELSE 0.0 END + CASE WHEN o_orderkey % 3 = 0 THEN 0.20 ELSE 0.0 END + 0.10 + CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE 0.10 END + 0.05 - 0.04 * (o_orderkey % 4)) * 100) / 100)) AS confidence,
+  CASE WHEN o_orderkey % 5 = 0 THEN -50.0 ELSE 100.0 END + 40 + 30 + 15 + 10 + CASE WHEN o_orderkey % 3 = 0 THEN 20 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 0 END AS completeness FROM orders""")
+def confidence_score(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    total = F.when(k % 5 != 0, F.col("o_totalprice"))
+    c = receipt.confidence(k % 2 == 0, k % 3 == 0, F.col("o_orderdate"), total, k, k % 4)
+    q = receipt.completeness(total, F.lit(True), k, F.col("o_orderdate"), F.lit("SUPPLIER"), k % 3 == 0, k % 2 == 0)
+    return render.table(spark, d, "orders").select(k.alias("k"), c.alias("confidence"), q.alias("completeness"))
+
+
+# --- sources and streams ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, i - 1 AS box_id, l[i] AS text, (i - 1) * 20.0 AS y FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE length(trim(text)) > 50) a) b""")
+def native_text_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.text_boxes(render.table(spark, d, "documents"), "doc_id", "text").select("doc_id", "box_id", "text", "y")
+
+
+@query("""SELECT doc_id, count(*) AS n, count(DISTINCT w) AS distinct_n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) AS w FROM documents) GROUP BY doc_id""")
+def word_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.words(render.table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("word").alias("distinct_n"))
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    jobs.run_to_end(stream, f"{folder}/out", f"{folder}/state", mode)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("SELECT doc_id, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS line FROM documents)")
+def stream_queue_expand(spark: SparkSession, d: str) -> DataFrame:
+    schema = render.table(spark, d, "documents").schema
+    return _streamed(spark, jobs.expand_documents(jobs.read_files(spark, schema, f"{d}/documents.parque*")))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS start, event_type, count(*) AS n, sum(CAST(trunc(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2")
+def stream_metric_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly windows of a metrics stream, in complete mode."""
+    schema = render.table(spark, d, "events").schema
+    out = jobs.metric_windows(jobs.read_files(spark, schema, f"{d}/events.parque*"))
+    name = f"windows_{uuid.uuid4().hex}"
+    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "cents")
