@@ -496,3 +496,58 @@ def stream_metric_windows(spark: SparkSession, d: str) -> DataFrame:
     name = f"windows_{uuid.uuid4().hex}"
     out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "cents")
+
+
+# --- more fields and page geometry -----------------------------------------------------------------------------------
+
+_DETS_SQL = "d AS (SELECT o_orderkey // 4 AS page, o_orderkey AS i, (o_orderkey % 2) * 180.0 + o_custkey % 60 AS x, (o_orderkey % 4 // 2) * 250.0 + o_custkey % 45 AS y, 120.0 + o_custkey % 50 AS w, 200.0 + o_custkey % 80 AS h FROM orders)"
+
+
+@query(f"""WITH {_DETS_SQL}, p AS (SELECT a.page, a.i, a.x + a.w / 2 AS ax, a.y + a.h / 2 AS ay, b.x + b.w / 2 AS ox, b.y + b.h / 2 AS oy, b.i AS j,
+  greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) / least(a.w, b.w) AS xs, greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) / least(a.h, b.h) AS ys, greatest(a.w, b.w) AS mw, greatest(a.h, b.h) AS mh
+  FROM d a LEFT JOIN d b ON a.page = b.page AND a.i <> b.i),
+q AS (SELECT *, CASE WHEN ys > 0.2 AND xs <= 0.2 THEN true WHEN xs > 0.2 AND ys <= 0.2 THEN false ELSE abs(ax - ox) / mw >= abs(ay - oy) / mh END AS across FROM p)
+SELECT page, i AS det_id, least(greatest(coalesce(max((ax + ox) / 2) FILTER (across AND ox < ax), 0), 0), ax - 2) AS left, least(greatest(coalesce(max((ay + oy) / 2) FILTER (NOT across AND oy < ay), 0), 0), ay - 2) AS top,
+  greatest(least(coalesce(min((ax + ox) / 2) FILTER (across AND ox > ax), 520), 520), ax + 2) AS right, greatest(least(coalesce(min((ay + oy) / 2) FILTER (NOT across AND oy > ay), 620), 620), ay + 2) AS bottom FROM q GROUP BY page, i, ax, ay""")
+def isolated_cells(spark: SparkSession, d: str) -> DataFrame:
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    det = render.table(spark, d, "orders").select(F.expr("o_orderkey div 4").alias("page"), k.alias("det_id"), ((k % 2) * 180.0 + c % 60).alias("x"), (F.expr("o_orderkey % 4 div 2") * 250.0 + c % 45).alias("y"), (120.0 + c % 50).alias("w"), (200.0 + c % 80).alias("h"))
+    return spatial.isolated_cells(det, "page", F.lit(520.0), F.lit(620.0))
+
+
+@query("SELECT o_orderkey // 3 AS cluster, o_orderkey % 3 - (SELECT 0) AS part, 4 AS n FROM orders WHERE o_orderkey // 3 * 3 + 2 <= (SELECT max(o_orderkey) FROM orders)")
+def anchor_split_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Three receipts in one column of lines, cut between them."""
+    o = render.table(spark, d, "orders").select(F.expr("o_orderkey div 3").alias("cluster"), (F.col("o_orderkey") % 3).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    whole = o.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n = 12").select("cluster")
+    lines = o.join(whole, "cluster").select("cluster", (F.col("q") * 400.0 + F.col("i") * 20 + F.when(F.col("i") > 2, 30).otherwise(0)).alias("y"), (F.col("i") < 2).alias("anchor"))
+    return spatial.split_at_anchors(lines, "cluster", 12.0).groupBy("cluster", F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey AS doc_id, 30.5 + o_orderkey % 70 AS liters, (300 + o_orderkey % 500) / 100.0 AS price, 'MOTORINA EURO' AS product FROM orders")
+def fuel_lines(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    price = render.money(300 + k % 500)
+    o = render.table(spark, d, "orders").select(k.alias("doc_id"), F.explode(F.array(F.lit("MOTORINA EURO"), F.concat(F.translate(price, ".", ","), F.lit(" X"), (30 + k % 70).cast("string"), F.lit(",5 LITRU")))).alias("text"))
+    return receipt.fuel(o.withColumn("line_no", F.when(F.col("text").startswith("M"), 1).otherwise(2)))
+
+
+@query("SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 3 = 0 THEN 'OMV' ELSE s_name || ' SRL' END AS merchant FROM supplier")
+def merchant_names(spark: SparkSession, d: str) -> DataFrame:
+    s = F.when(F.col("s_suppkey") % 3 == 0, "STATIE OMV 12").otherwise(F.concat("s_name", F.lit("  SRL srl")))
+    rows = render.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.posexplode(F.array(F.lit("BON FISCAL 12"), F.lit("183,48 8,00 31,84"), s)).alias("line_no", "text"))
+    return receipt.merchants(rows)
+
+
+@query("SELECT o_orderkey AS doc_id, 'DSE' AS series, '9' || o_orderkey AS number, 'AB 77' AS invoice FROM orders")
+def slip_numbers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.concat(F.lit("9"), F.col("o_orderkey").cast("string"))
+    lines = F.array(F.lit("Nr.Reg.Com. J40/1234 nr. 99"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Chitanță Seria DSE Numar "), k)).otherwise(F.concat(F.lit("Seria DSE nr. "), k)), F.lit("c/v factura nr AB 77"))
+    return slip.slip_heads(render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(lines).alias("line_no", "text")))
+
+
+@query(f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN '5311' ELSE '401' END AS debit, CASE WHEN o_orderkey % 3 = 0 THEN '4111' ELSE '5311' END AS credit, {O.ron2('o_totalprice')} AS amount FROM orders")
+def slip_entries(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    way = slip.direction(F.lit("1"), F.when(k % 3 == 0, "1").otherwise("2"), F.when(k % 3 == 1, "1").otherwise("3"))
+    return render.table(spark, d, "orders").select(k.alias("k"), slip.slip_entry(F.col("o_totalprice"), way).alias("e")).select("k", "e.*")

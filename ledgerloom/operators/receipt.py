@@ -110,3 +110,72 @@ def confidence(id_ok: Column, verified: Column, date: Column, total: Column, num
 def completeness(total: Column, has_vat: Column, cui: Column, date: Column, name: Column, verified: Column, id_ok: Column) -> Column:
     yes = lambda c, w: F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
     return F.when(total.isNull(), -50.0).otherwise(100.0) + yes(has_vat, 40.0) + yes(cui.isNotNull(), 30.0) + yes(date.isNotNull(), 15.0) + yes(F.char_length(name) >= 6, 10.0) + yes(verified, 20.0) + yes(id_ok, 10.0)
+
+
+# Fuel on receipts, shops known by name, forms of companies, and lines that are no name.
+FUEL = r"(?i)MOTORINA[A-Z0-9 ]*|BENZINA[A-Z0-9 ]*|\bGPL\b|DIESEL|ADBLUE"
+FUEL_LINE = r"\bL(?:ITRU)?\b|MOTORINA|BENZINA|\bGPL\b|DIESEL|ADBLUE"
+FUEL_PAIR = r"(\d{1,3}[.,]\d{1,3})\s*(?:L(?:ITRU)?\s*)?[Xx×]\s*(\d{1,3}[.,]\d{1,3})\s*L?(?:ITRU)?"
+BRANDS = r"(?i)\b(MAGISTRAL(?:\s+GAZ)?|MOL(?:\s+ROMANIA)?|DOUGLAS|TURIST(?:\s+SERVICE)?|ROG(?:\s+GAZ)?|OMV|PETROM|LIDL|KAUFLAND|CARREFOUR|MEGA\s*IMAGE)\b"
+LEGAL_FORM = r"(?i)\b(S\.?\s?R\.?\s?L\.?|S\.?A\.?|P\.?F\.?A\.?|S\.?C\.?S\.?|I\.?I\.?)(\b|$)"
+NO_NAME = r"(?i)BON\s*FISCAL|TOTAL|TVA|CARD|CASH|NUMERAR|SUBTOTAL|DATA|ORA|CASIER|OPERATOR|POS\b|EJTRZ|SKID|GPL\b|MOTORINA|BENZINA"
+TIME = r"\b(\d{1,2})[:.\-](\d{2})(?:[:.\-](\d{2}))?\b"
+
+
+def fuel(lines: DataFrame) -> DataFrame:
+    """doc_id, liters, price, product of documents with a fuel line: of two numbers the one that can be a price per litre only is the price."""
+    number = lambda i: F.replace(F.nullif(F.regexp_extract(F.upper("text"), FUEL_PAIR, i), F.lit("")), F.lit(","), F.lit(".")).cast("double")
+    product = F.min(F.when(_is(FUEL), F.struct("line_no", F.trim(F.regexp_extract("text", FUEL, 0)).alias("v")))).over(Window.partitionBy("doc_id"))["v"]
+    rows = lines.select("doc_id", "line_no", "text", number(1).alias("a"), number(2).alias("b"), product.alias("product"))
+    is_price, is_litres = (lambda c: F.col(c).between(2, 25)), (lambda c: F.col(c).between(0.5, 250))
+    pair = lambda l, p: F.struct(F.col(l).alias("liters"), F.col(p).alias("price"))
+    read = (
+        F.when(is_price("a") & is_litres("b") & ~is_price("b"), pair("b", "a"))
+        .when(is_price("b") & is_litres("a") & ~is_price("a"), pair("a", "b"))
+        .when(is_price("a") & is_litres("b"), pair("b", "a"))
+        .when(is_price("b") & is_litres("a"), pair("a", "b"))
+    )
+    ok = (F.col("product").isNotNull() | _is(FUEL_LINE, F.upper("text"))) & (F.col("a") * F.col("b") <= 50_000)
+    rows = rows.withColumn("p", F.when(ok, read)).withColumn("first", F.min(F.when(F.col("p").isNotNull(), F.struct("line_no", "p"))).over(Window.partitionBy("doc_id")))
+    return rows.groupBy("doc_id").agg(F.first("first.p.liters").alias("liters"), F.first("first.p.price").alias("price"), F.first("product").alias("product")).where("liters IS NOT NULL OR product IS NOT NULL")
+
+
+def merchants(lines: DataFrame) -> DataFrame:
+    """doc_id, merchant: a known shop in the first 12 lines, else a line with a company's form in the first 10, else the first line of 6 that can be a name."""
+    tokens = F.filter(F.split(F.trim("text"), " "), lambda t: t != "")
+    rows = lines.withColumn("nth", F.row_number().over(_by())).where("nth <= 12").withColumn("tokens", tokens)
+    once = F.filter("tokens", lambda t, i: (i == 0) | (F.upper(F.get(F.col("tokens"), i - 1)) != F.upper(t)))
+    rows = rows.withColumn("name", F.array_join(once, " "))
+    letters, digits = F.regexp_count("name", F.lit(r"\p{L}")), F.regexp_count("name", F.lit(r"\p{N}"))
+    legal = _is(LEGAL_FORM, F.col("name"))
+    garbage = (letters < 3) | (digits > letters) | (_is(r"\d{1,5}[.,]\d{2}", F.col("name")) & (digits >= 4)) | (_is(NO_NAME, F.col("name")) & ~legal)
+    brand = F.nullif(F.regexp_extract("name", BRANDS, 0), F.lit(""))
+    first = lambda c, v: F.min(F.when(c, F.struct("nth", v.alias("v"))))["v"]
+    known = first(brand.isNotNull(), F.when(legal & ~garbage, F.col("name")).otherwise(brand))
+    company = first((F.col("nth") <= 10) & (F.char_length("name") >= 6) & ~garbage & legal, F.col("name"))
+    any_ = first((F.col("nth") <= 6) & (F.char_length("name") >= 4) & ~garbage, F.col("name"))
+    return rows.groupBy("doc_id").agg(F.coalesce(known, company, any_).alias("merchant"))
+
+
+def time_of_day(line: Column) -> Column:
+    """H:mm of a line that names an hour; null where the hour is past 23."""
+    hour = F.nullif(F.regexp_extract(line, TIME, 1), F.lit(""))
+    return F.when(F.contains(F.upper(line), F.lit("ORA")) & (hour.cast("int") < 24), F.concat(hour, F.lit(":"), F.regexp_extract(line, TIME, 2)))
+
+
+def document_quality(text_: Column, word_count: Column, letters: Column) -> Column:
+    """A score that prefers whole documents to fragments: length, and marks of title, id, total, date and money."""
+    t = F.upper(text_)
+    is_ = lambda p, w: F.when(F.rlike(t, F.lit(p)), w).otherwise(0.0)
+    money_count = F.regexp_count(t, F.lit(r"\b\d{1,5}[.,]\d{2}\b"))
+    bare = ~F.rlike(t, F.lit(r"\bS\.?R\.?L\.?|\bS\.?A\.?|PFA")) & ~F.rlike(t, F.lit(r"COD\s*FISC|C\.?I\.?F|\bCUI\b"))
+    return (
+        letters
+        + is_(r"BON\s+FISCAL|CH[I1L][T7L][A-ZĂÂÎȘȚ]{3,}", 350.0)
+        + is_(r"CUI|C\.?I\.?F|COD\s+FISCAL", 180.0)
+        + is_(r"\bTOTAL\b|SUM[AĂK](?:I)?\s+DE", 260.0)
+        + is_(r"\b\d{1,2}[./-]\d{1,2}[./-]20\d{2}\b", 120.0)
+        + 40.0 * F.least(money_count, F.lit(12))
+        + is_(r"(?<!SUB)\bTOTAL\b(?!\s*TVA).{0,40}\d{1,5}[.,]\d{2}", 200.0)
+        - F.when((money_count >= 2) & bare & (word_count < 20), 150.0).otherwise(0.0)
+    )

@@ -79,3 +79,54 @@ def utilisation(rows: DataFrame, key: str, order: list, busy: str, total: str) -
     w = Window.partitionBy(key).orderBy(*order)
     grown = lambda c: F.col(c) - F.lag(c).over(w)
     return rows.withColumn("_b", grown(busy)).withColumn("_t", grown(total)).withColumn("used", F.when(F.coalesce(F.col("_t") > 0, F.lit(False)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_b") / F.col("_t")))).otherwise(0.0)).drop("_b", "_t")
+
+
+def isolated_cells(detections: DataFrame, key: str, width: Column, height: Column) -> DataFrame:
+    """key, det_id, left, top, right, bottom: the part of its page that belongs to each detection alone.
+
+    Towards each other detection of the page a cell ends half way between the middles, across where they share rows and not
+    columns, down where it is the other way round, else along the axis on which the middles lie farther apart for their
+    size. A cell reaches 2 beyond its own middle at least.
+    """
+    mid = lambda r, p, s: F.col(f"{r}.{p}") + F.col(f"{r}.{s}") / 2
+
+    def share(p, s):
+        common = F.least(F.col(f"a.{p}") + F.col(f"a.{s}"), F.col(f"b.{p}") + F.col(f"b.{s}")) - F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}"))
+        small = F.least(F.col(f"a.{s}"), F.col(f"b.{s}"))
+        return F.when((common > 0) & (small > 0), common / small).otherwise(0.0)
+
+    def apart(p, s):
+        return F.abs(mid("a", p, s) - mid("b", p, s)) / F.greatest(F.col(f"a.{s}"), F.col(f"b.{s}"), F.lit(1.0))
+
+    xs, ys = share("x", "w"), share("y", "h")
+    across = F.when((ys > 0.2) & (xs <= 0.2), True).when((xs > 0.2) & (ys <= 0.2), False).otherwise(apart("x", "w") >= apart("y", "h"))
+    page = detections.select(key, "det_id", "x", "y", "w", "h")
+    pairs = page.alias("a").join(page.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.det_id") != F.col("b.det_id")), "left")
+    ax, bx, ay, by = mid("a", "x", "w"), mid("b", "x", "w"), mid("a", "y", "h"), mid("b", "y", "h")
+    cut = lambda on, c, v: F.when(F.col("b.det_id").isNotNull() & on & c, v)
+    out = pairs.groupBy(F.col(f"a.{key}").alias(key), F.col("a.det_id").alias("det_id"), ax.alias("mx"), ay.alias("my")).agg(
+        F.max(cut(across, bx < ax, (ax + bx) / 2)).alias("l"),
+        F.min(cut(across, bx > ax, (ax + bx) / 2)).alias("r"),
+        F.max(cut(~across, by < ay, (ay + by) / 2)).alias("t"),
+        F.min(cut(~across, by > ay, (ay + by) / 2)).alias("b"),
+    )
+    least, most = lambda c, m: F.least(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)), F.col(m) - 2), lambda c, page, m: F.greatest(F.least(F.coalesce(c, page), page), F.col(m) + 2)
+    return out.select(key, "det_id", least("l", "mx").alias("left"), least("t", "my").alias("top"), most("r", width, "mx").alias("right"), most("b", height, "my").alias("bottom"))
+
+
+def split_at_anchors(lines: DataFrame, key: str, height: float) -> DataFrame:
+    """lines (key, y, anchor) with part: cut at the widest gap between lines from one anchor group to the next.
+
+    Anchors within twelve heights of the first of their group are one header. Of equal gaps the first counts.
+    """
+    ys = lines.groupBy(key).agg(F.array_sort(F.collect_list("y")).alias("ys"), F.array_sort(F.collect_list(F.when(F.col("anchor"), F.col("y")))).alias("at"))
+    heads = F.aggregate("at", F.array().cast("array<double>"), lambda acc, v: F.when((F.size(acc) > 0) & (v - F.element_at(acc, -1) < 12 * height), acc).otherwise(F.concat(acc, F.array(v))))
+
+    def cut(k):
+        between = F.filter("ys", lambda y: (y >= F.get(F.col("heads"), k)) & (y <= F.get(F.col("heads"), k + 1)))
+        gaps = F.zip_with(between, F.slice(between, F.lit(2), F.size(between)), lambda a, b: F.struct((b - a).alias("gap"), (-a).alias("first"), ((a + b) / 2).alias("cut")))
+        return F.array_max(F.filter(gaps, lambda g: g["gap"].isNotNull()))["cut"]
+
+    pairs = F.when(F.size("heads") >= 2, F.transform(F.sequence(F.lit(0), F.size("heads") - 2), cut)).otherwise(F.array().cast("array<double>"))
+    cuts = ys.withColumn("heads", heads).select(key, pairs.alias("cuts"))
+    return lines.join(cuts, key).withColumn("part", F.size(F.filter("cuts", lambda c: F.col("y") >= c))).drop("cuts")
