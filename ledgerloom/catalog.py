@@ -551,3 +551,68 @@ def slip_entries(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     way = slip.direction(F.lit("1"), F.when(k % 3 == 0, "1").otherwise("2"), F.when(k % 3 == 1, "1").otherwise("3"))
     return render.table(spark, d, "orders").select(k.alias("k"), slip.slip_entry(F.col("o_totalprice"), way).alias("e")).select("k", "e.*")
+
+
+# --- smaller rules and sinks -----------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey AS k, string_agg('order ' || o_orderkey, E'\\n\\n---\\n\\n' ORDER BY o_orderkey) AS full_text FROM orders GROUP BY o_custkey")
+def full_text_response(spark: SparkSession, d: str) -> DataFrame:
+    o = render.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey")).alias("t"))
+    return boxes.full_text(o, "k", "o_orderkey", "t")
+
+
+@query("SELECT p_partkey AS k, CASE WHEN contains(lower(p_name), 'small') THEN 'total' WHEN contains(lower(p_name), 'ring') THEN 'vat' END AS field FROM part")
+def template_mapping_guess(spark: SparkSession, d: str) -> DataFrame:
+    p = render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("header"))
+    return p.select("k", boxes.guess_mapping({"total": "Small sum", "vat": "Ring value"}).alias("field"))
+
+
+@query("""SELECT b.l_orderkey AS doc_id, count(*) AS n FROM lineitem b WHERE b.l_linenumber > 1 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = b.l_orderkey AND l.l_linenumber = 1
+  AND ((abs((b.l_partkey % 50) - (l.l_partkey % 50)) < 15 AND (b.l_quantity - l.l_quantity) * 5 > 0 AND (b.l_quantity - l.l_quantity) * 5 < 120) OR ((b.l_partkey % 50) - (l.l_partkey % 50) > 0 AND (b.l_partkey % 50) - (l.l_partkey % 50) < 25 AND abs((b.l_quantity - l.l_quantity) * 5) < 60))) GROUP BY b.l_orderkey""")
+def buyer_label_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that a label left of them or above them marks."""
+    i = render.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", (F.col("l_quantity") * 5).alias("x"), (F.col("l_partkey") % 50).cast("double").alias("y"))
+    return spatial.labelled_boxes(i.where("l_linenumber > 1"), i.where("l_linenumber = 1"), 10.0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS k, floor(o_totalprice) AS t, floor(o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 ELSE 0.1 END) AS b, floor(o_totalprice) - floor(o_totalprice * 0.8) AS v FROM orders)
+SELECT k, CASE WHEN abs(t - (b + v)) > 0.02 AND abs(t - (b + v)) < 0.5 * t THEN {O.ron2('t - v')} ELSE b END AS base, abs(t - (b + v)) > 0.02 AND abs(t - (b + v)) >= 0.5 * t AS error FROM x""")
+def legacy_total_check(spark: SparkSession, d: str) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    t, v = F.floor(p).cast("double"), (F.floor(p) - F.floor(p * 0.8)).cast("double")
+    b = F.floor(p * F.when(k % 3 == 0, 0.8).when(k % 3 == 1, 0.7).otherwise(0.1)).cast("double")
+    return render.table(spark, d, "orders").select(k.alias("k"), money.legacy_check(t, b, v).alias("r")).select("k", "r.*")
+
+
+@query("SELECT o_orderkey AS k, (CASE WHEN o_orderkey % 2 = 0 AND o_totalprice > 5000 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 <> 0 AND o_totalprice > 100 * 4.97 THEN 1 ELSE 0 END)::BIGINT AS n FROM orders")
+def cash_cap_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings against an exchange rate that is a table of one row."""
+    fx = spark.createDataFrame([("EUR", 4.97)], "currency string, rate double").where("currency = 'EUR'").select("rate")
+    o = render.table(spark, d, "orders").join(F.broadcast(fx), F.lit(True), "left")
+    return o.select(F.col("o_orderkey").alias("k"), F.size(money.cap_warnings(F.col("o_totalprice"), F.col("o_orderkey") % 2 == 0, F.col("rate"), F.col("o_orderkey") % 3 == 0)).cast("long").alias("n"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS k, replace(CAST(1000000 + s_suppkey * 37 AS VARCHAR), '0', 'D') AS t FROM supplier), r AS (
+  SELECT k, t, '' AS v, 1::BIGINT AS i FROM s UNION ALL SELECT k, t, v || unnest(CASE WHEN substr(t, i, 1) = 'D' THEN ['0', '4'] ELSE [substr(t, i, 1)] END), i + 1 FROM r WHERE i <= length(t))
+SELECT k, least(count(*), 32) AS n, min(v) AS first FROM r WHERE i > length(t) GROUP BY k""")
+def ambiguous_digit_variants(spark: SparkSession, d: str) -> DataFrame:
+    s = render.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.translate((1_000_000 + F.col("s_suppkey") * 37).cast("string"), "0", "D").alias("t"))
+    s = s.withColumn("v", slip.digit_variants(F.col("t"), {"D": "04"}))
+    return s.select("k", F.size("v").cast("long").alias("n"), F.array_min("v").alias("first"))
+
+
+@query("SELECT l_orderkey AS k, list_sort(list(l_extendedprice) FILTER (r <= 4)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS r FROM lineitem) GROUP BY l_orderkey")
+def alternative_readings(spark: SparkSession, d: str) -> DataFrame:
+    out = boxes.best_readings(render.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice"), "k", "l_extendedprice")
+    return out.groupBy("k").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("best"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'BON FISCAL COD FISCAL X SRL 14.05.2026 10.00 20.00' WHEN 1 THEN '10.00 20.00 30.00' ELSE 'words ' || o_orderkey END AS s FROM orders)
+SELECT k, length(replace(s, ' ', '')) + CASE k % 3 WHEN 0 THEN 350.0 + 180 + 120 + 80 + CASE WHEN true THEN 40 ELSE 0 END WHEN 1 THEN 120.0 - 150 ELSE 0.0 END AS quality FROM t""")
+def document_quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The date's first two numbers are an amount by its form, so it counts as one of three."""
+    k = F.col("o_orderkey")
+    s = F.when(k % 3 == 0, "BON FISCAL COD FISCAL X SRL 14.05.2026 10.00 20.00").when(k % 3 == 1, "10.00 20.00 30.00").otherwise(F.concat(F.lit("words "), k))
+    q = receipt.document_quality(s, F.size(F.split(s, " ")), F.char_length(F.replace(s, F.lit(" "), F.lit(""))))
+    return render.table(spark, d, "orders").select(k.alias("k"), q.alias("quality"))

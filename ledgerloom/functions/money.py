@@ -93,3 +93,16 @@ def ledger_entries(total: Column, vat: Column, account: Column, cash: Column) ->
     all_ = F.array(row(account, F.lit("401"), ron2(total - v)), row(F.lit("4426"), F.lit("401"), v), row(F.lit("401"), pay, ron2(total)))
     kept = F.filter(all_, lambda e: (e["debit"] != "4426") | (e["amount"] > 0))
     return F.when(total > 0, kept).otherwise(F.array().cast("array<struct<debit:string,credit:string,amount:double>>"))
+
+
+def legacy_check(total: Column, base: Column, vat: Column) -> Column:
+    """Struct (base, error): a base that misses total minus VAT by more than 0.02 is recomputed, or flagged if it misses by half of the total or more."""
+    off = F.abs(total - (base + vat))
+    bad = off >= 0.5 * total
+    return F.struct(F.when((off > 0.02) & ~bad, ron2(total - vat)).otherwise(base).alias("base"), F.coalesce((off > 0.02) & bad, F.lit(False)).alias("error"))
+
+
+def cap_warnings(total: Column, cash: Column, euro: Column, has_buyer: Column) -> Column:
+    """Warnings of a receipt: cash over 5,000, and a simplified invoice over 100 euros without a buyer's id; euro is 5 if unknown."""
+    rate = F.coalesce(euro, F.lit(5.0))
+    return F.array_compact(F.array(F.when(cash & (total > 5000), "cash over 5000"), F.when(~has_buyer & (total > 100 * rate), "over 100 EUR without buyer")))

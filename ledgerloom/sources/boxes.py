@@ -34,3 +34,16 @@ def best_readings(readings: DataFrame, key: str, score: str, k: int = 4) -> Data
 def response(columns: list[str]) -> Column:
     """A row as the JSON text of a response document."""
     return F.to_json(F.struct(*columns))
+
+
+def full_text(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """key, full_text: all documents of an upload in order, parted by a rule."""
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n---\n\n").alias("full_text"))
+
+
+def guess_mapping(labels: dict[str, str]) -> Column:
+    """The field whose label's first word a template header holds, fields in order; null for none."""
+    out = F.when(F.lit(False), None)
+    for field, label in labels.items():
+        out = out.when(F.contains(F.lower("header"), F.lit(label.split(" ")[0].lower())), field)
+    return out
