@@ -11,7 +11,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers; when they are more, the half that came last goes. Longer pieces are not kept.
-CACHED_PIECES, CACHED_CHARS = 1_200_000, 64
+CACHED_PIECES, CACHED_CHARS = 250_000, 64
 #: Full stops and commas after a letter or digit: a piece begins there.
 _MARK = re.compile(r"[.,](?<=[^\W_].)")
 #: A line end between two characters other than white space is a piece.
