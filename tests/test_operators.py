@@ -67,6 +67,27 @@ def test_segmentation_is_a_partition(spark):
     assert {(r["page"], r["box_id"] // 100, r["cluster"]) for r in got} == {(p, c, [0, 2, 4, 1, 3, 5][c]) for p in range(2) for c in range(6)}
 
 
+def test_pieces_of_one_document_are_joined(spark):
+    def words(x, y, *lines):
+        return [(t, x + 55.0 * i, y + 16.0 * n) for n, line in enumerate(lines) for i, t in enumerate(line.split())]
+
+    slip_body = words(0, 0, "am primit de la firma X SRL", "adresa strada lunga numarul zece", "suma de 344,77 adica trei sute")
+    slip_title = words(700, 0, "CHITANTA", "Seria DSE", "Numar 12", "data 14.05.2026 la sediul", "firmei noastre din oras")
+    head = words(0, 500, "MAGAZIN UNU SRL str mare", "COD FISCAL 7745470 oras", "BON FISCAL seria doi trei")
+    body = words(0, 580, "paine 2,00 A lapte 3,00 A", "TOTAL 5,00 lei plata CARD", "multumim va mai asteptam aici")
+    other = words(0, 660, "MAGAZIN DOI SRL str mica", "COD FISCAL 34626689 oras", "TOTAL 9,00 NUMERAR lei platit")
+    stray = words(600, 590, "rest 0,00")
+    rows = [(1, i, t, x, y, 50.0, 12.0) for i, (t, x, y) in enumerate(slip_body + slip_title + head + body + other + stray)]
+    got = segment.segment(spark.createDataFrame(rows, "page long, box_id long, text string, x double, y double, w double, h double"), "page").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["cluster"], set()).add(r["box_id"])
+    n = [len(x) for x in (slip_body, slip_title, head, body, other, stray)]
+    ends = [sum(n[: i + 1]) for i in range(6)]
+    sets = [set(range(e - k, e)) for e, k in zip(ends, n, strict=True)]
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, [sets[0] | sets[1], sets[2] | sets[3] | sets[5], sets[4]]))
+
+
 def test_slips(spark):
     s = spark.createDataFrame([(1, "a", None, "1", "d", None), (2, "a", None, "1", "d", None), (3, "a", None, "1", "d", 5.0)], "slip_id long, issuer string, series string, number string, date string, amount double")
     assert {r["slip_id"] for r in slip.distinct_slips(s).collect()} == {1, 3}
