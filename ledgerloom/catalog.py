@@ -616,3 +616,22 @@ def document_quality_scores(spark: SparkSession, d: str) -> DataFrame:
     s = F.when(k % 3 == 0, "BON FISCAL COD FISCAL X SRL 14.05.2026 10.00 20.00").when(k % 3 == 1, "10.00 20.00 30.00").otherwise(F.concat(F.lit("words "), k))
     q = receipt.document_quality(s, F.size(F.split(s, " ")), F.char_length(F.replace(s, F.lit(" "), F.lit(""))))
     return render.table(spark, d, "orders").select(k.alias("k"), q.alias("quality"))
+
+
+@query("SELECT o_orderkey // 5 AS page, o_orderkey AS box_id, round(((o_orderkey // 5) % 40 - 20) / 100.0, 6) AS angle, round((o_orderkey % 5) * 40.0 + 7, 6) AS cx, round((o_orderkey % 3) * 15.0 + 3, 6) AS cy FROM orders")
+def deskewed_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page turned by a slope of its own, turned back."""
+    k = F.col("o_orderkey")
+    o = render.table(spark, d, "orders").select(F.expr("o_orderkey div 5").alias("page"), k.alias("box_id"), ((k % 5) * 40.0 + 7).alias("x"), ((k % 3) * 15.0 + 3).alias("y"), ((F.expr("o_orderkey div 5") % 40 - 20) / 100).alias("a"))
+    c, s = F.cos("a"), F.sin("a")
+    cx, cy = F.col("x") * c - F.col("y") * s, F.col("x") * s + F.col("y") * c
+    quads = o.select("page", "box_id", cx.alias("cx"), cy.alias("cy"), (cx - 10 * c).alias("x1"), (cy - 10 * s).alias("y1"), (cx + 10 * c).alias("x2"), (cy + 10 * s).alias("y2"))
+    return spatial.deskew(quads, "page").select("page", "box_id", F.round("angle", 6).alias("angle"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+@query("SELECT p_partkey // 12 AS page, p_partkey AS box_id, p_partkey - p_partkey % 12 % 4 AS cluster FROM part")
+def proximity_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of four boxes 30 apart, the runs far from each other."""
+    k = F.col("p_partkey")
+    b = render.table(spark, d, "part").select(F.expr("p_partkey div 12").alias("page"), k.alias("box_id"), ((k % 12 % 4) * 60.0).alias("x"), (F.expr("p_partkey % 12 div 4") * 300.0).alias("y"), F.lit(30.0).alias("w"), F.lit(12.0).alias("h"))
+    return segment.near_groups(b, "page")

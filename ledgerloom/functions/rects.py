@@ -40,3 +40,16 @@ def same_document(a: Column, b: Column) -> Column:
     small, large = F.least(a["w"] * a["h"], b["w"] * b["h"]), F.greatest(a["w"] * a["h"], b["w"] * b["h"])
     cover, ratio, over = common_area(a, b) / small, large / small, iou(a, b)
     return F.when((common_area(a, b) > 0) & (small > 0), (over > 0.28) | ((cover > 0.55) & (ratio < 3.5)) | ((cover > 0.40) & (ratio < 2.8) & (over > 0.12))).otherwise(False)
+
+
+def with_margin(r: Column, share: float, width: Column, height: Column, wider: float = 0.0, deeper: float = 0.0) -> Column:
+    """A rectangle grown by a share of its sides, more to the right and down if asked for, within the page."""
+    dx, dy = r["w"] * share, r["h"] * share
+    x, y = F.greatest(r["x"] - dx, F.lit(0.0)), F.greatest(r["y"] - dy, F.lit(0.0))
+    right, bottom = F.least(r["x"] + r["w"] + dx + r["w"] * wider, width), F.least(r["y"] + r["h"] + dy + r["h"] * deeper, height)
+    return _rect(x, y, F.greatest(right - x, F.lit(0.0)), F.greatest(bottom - y, F.lit(0.0)))
+
+
+def from_crop(r: Column, origin_x: Column, origin_y: Column, scale: Column) -> Column:
+    """A rectangle read in an enlarged crop, on the page the crop was cut from."""
+    return _rect(r["x"] / scale + origin_x, r["y"] / scale + origin_y, r["w"] / scale, r["h"] / scale)

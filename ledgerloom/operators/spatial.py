@@ -130,3 +130,14 @@ def split_at_anchors(lines: DataFrame, key: str, height: float) -> DataFrame:
     pairs = F.when(F.size("heads") >= 2, F.transform(F.sequence(F.lit(0), F.size("heads") - 2), cut)).otherwise(F.array().cast("array<double>"))
     cuts = ys.withColumn("heads", heads).select(key, pairs.alias("cuts"))
     return lines.join(cuts, key).withColumn("part", F.size(F.filter("cuts", lambda c: F.col("y") >= c))).drop("cuts")
+
+
+def deskew(quads: DataFrame, key: str) -> DataFrame:
+    """quads (key, box_id, the top corners x1, y1, x2, y2 and the middle cx, cy) with the page's slope turned back: angle, cx, cy.
+
+    The slope is the upper median of the boxes' top edges.
+    """
+    angles = F.array_sort(F.collect_list(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))))
+    slopes = quads.groupBy(key).agg(angles.alias("a")).select(key, F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("angle"))
+    c, s = F.cos("angle"), F.sin("angle")
+    return quads.join(slopes, key).select(key, "box_id", "angle", (F.col("cx") * c + F.col("cy") * s).alias("cx"), (F.col("cy") * c - F.col("cx") * s).alias("cy"))

@@ -92,3 +92,11 @@ def test_sums_in_words():
     say = slip.spoken_sum
     assert say("douăzeci și cinci lei") == 25 and say("trei sute patruzeci si patru lei si 77 bani") == 344.77 and say("o mie doua sute let") == 1200
     assert say("un milion lei") == 1_000_000 and say("") is None and say(None) is None and say("xyz") is None and say("150") == 150 and say("cinci lei si zece bani") == 5.10
+
+
+def test_crops(spark):
+    df = spark.createDataFrame([(10.0, 20.0, 100.0, 50.0)], "x double, y double, w double, h double")
+    r = F.struct("x", "y", "w", "h")
+    grown = df.select(rects.with_margin(r, 0.1, F.lit(115.0), F.lit(500.0), deeper=0.5).alias("r")).first()["r"]
+    assert tuple(grown) == (0.0, 15.0, 115.0, 85.0)
+    assert tuple(df.select(rects.from_crop(r, F.lit(5.0), F.lit(6.0), F.lit(2.0)).alias("r")).first()["r"]) == (10.0, 16.0, 50.0, 25.0)
