@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import functools
+import hashlib
 import math
 import re
 
@@ -20,6 +21,10 @@ SAMPLE_CHARS = 50_000
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 6, 110_000, 2048
 #: Least z-score and share of toxic texts of a word that the toxic dictionary is trained on.
 MIN_Z, MIN_SHARE = 4.5, 0.01
+#: Bytes that stand for a word where whole words are compressed, and of the list of telling words at most.
+WORD_BYTES, TELLING_BYTES = 12, 65_536
+#: Savings of a window of whole words, in bytes, from which it counts; it counts once for each.
+GRADES = (1, 2, 3, 4, 6, 8, 12)
 #: Score of documents without a word.
 EMPTY_SCORE = 0.0
 
@@ -31,6 +36,19 @@ def windows(text: str) -> list[bytes]:
     return [" ".join(w[i : i + WINDOW]).encode() for i in range(0, len(w), WINDOW)]
 
 
+def _token(word: str) -> bytes:
+    return hashlib.blake2b(_EDGE.sub("", word.lower()).encode(), digest_size=WORD_BYTES).digest()
+
+
+_kept_token = functools.lru_cache(maxsize=65_536)(_token)
+
+
+def word_windows(text: str) -> list[bytes]:
+    """The windows with equally many bytes for each word, whatever its length: only whole words match, and each saves alike."""
+    w = [_kept_token(w) if len(w) <= 40 else _token(w) for w in text.split()]
+    return [b"".join(w[i : i + WINDOW]) for i in range(0, len(w), WINDOW)]
+
+
 def _words(text: str) -> list[str]:
     return [_EDGE.sub("", w.lower()) for w in text.split()]
 
@@ -54,55 +72,62 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionaries.
+def dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """(toxic, ordinary) dictionaries of text, and the same of whole words.
 
-    The ordinary one is trained on windows of ordinary texts. The toxic one is trained on what toxic texts say more often
-    than ordinary ones, and lies before the ordinary content in its compressor, so both see the same language and their
-    lengths differ by toxic matches alone.
+    The ordinary ones are trained on windows of ordinary texts. The toxic ones hold what toxic texts say more often than
+    ordinary ones: of text a trained dictionary, of whole words the list of all of them, the most telling last.
     """
     has: collections.Counter = collections.Counter()
     has_not: collections.Counter = collections.Counter()
     for t, x in zip(texts, toxic, strict=True):
         (has if x else has_not).update(set(_words(t)))
     na, nb = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    telling = set()
+    telling = {}
     for w, c in has.items():
         p = (c + has_not[w]) / (na + nb)
         z = (c / na - has_not[w] / max(nb, 1)) / math.sqrt(p * (1 - p) * (1 / na + 1 / max(nb, 1)) + 1e-12)
         if len(w) > 2 and z > MIN_Z and c >= max(3, MIN_SHARE * na):
-            telling.add(w)
+            telling[w] = z
     said = []
     for t, x in zip(texts, toxic, strict=True):
         if x:
             w = [w for w in t.split() if _EDGE.sub("", w.lower()) in telling]
             said += [(" " + " ".join(w[i : i + 4])).encode() for i in range(0, len(w), 4)]
+    listed = b"".join(_token(w) for w in sorted(telling, key=lambda w: (telling[w], w)))[-(TELLING_BYTES // WORD_BYTES * WORD_BYTES) :]
     usual = [w for t, x in zip(texts, toxic, strict=True) if not x for w in windows(t)]
-    order = np.random.default_rng(0).permutation(len(usual))[:60_000]
-    return _trained(TOXIC_BYTES, said), _trained(ORDINARY_BYTES, [usual[i] for i in order])
+    drawn = [usual[i] for i in np.random.default_rng(0).permutation(len(usual))[:60_000]]
+    whole = [x for w in drawn for x in word_windows(w.decode())]
+    return _trained(TOXIC_BYTES, said), _trained(ORDINARY_BYTES, drawn), listed, _trained(ORDINARY_BYTES, whole)
 
 
 @functools.lru_cache(maxsize=4)
-def _pair(toxic: bytes, ordinary: bytes):
-    return _compressor(toxic + ordinary), _compressor(ordinary)
-
-
-def features(text: str, toxic: bytes, ordinary: bytes) -> list[float] | None:
-    """What the windows save under the toxic dictionary: mean, shares of windows that save 4, 3, 2 or 1 bytes or more, and most; None without words."""
-    a, b = _pair(toxic, ordinary)
-    n = total = most = 0
-    over = [0] * 5
-    for w in windows(text):
-        d = len(b.compress(w)) - len(a.compress(w))
-        n += 1
-        total += d
-        most = max(most, d)
-        if d > 0:
-            over[min(d, 4)] += 1
-    if not n:
+def _pairs(toxic: bytes, ordinary: bytes, toxic_words: bytes, ordinary_words: bytes):
+    """Two compressors of text and two of whole words: one of each knows the toxic dictionary, both the ordinary one.
+
+    So both see the same language, and lengths differ by toxic matches alone. Of text the toxic content lies before the
+    ordinary one. Of whole words it lies behind, where a match is cheap, and blanks hold its place in the other.
+    """
+    return _compressor(toxic + ordinary), _compressor(ordinary), _compressor(ordinary_words + toxic_words), _compressor(ordinary_words + bytes(len(toxic_words)))
+
+
+def features(text: str, toxic: bytes, ordinary: bytes, toxic_words: bytes, ordinary_words: bytes) -> list[float] | None:
+    """What the windows save under the toxic dictionaries; None without words.
+
+    Of text: mean, shares of windows that save 4, 3, 2 or 1 bytes or more, and most. Of whole words: mean, shares of windows
+    that save as much as each of GRADES, logarithms of their counts and of all that is saved, and most.
+    """
+    a, b, c, d = _pairs(toxic, ordinary, toxic_words, ordinary_words)
+    saved = np.array([len(b.compress(w)) - len(a.compress(w)) for w in windows(text)])
+    if not len(saved):
         return None
-    c = over[::-1]
-    return [max(total, 0) / n, *(sum(c[: i + 1]) / n for i in range(4)), min(most, 12)]
+    whole = np.array([len(d.compress(w)) - len(c.compress(w)) for w in word_windows(text)])
+    counts = [int((whole >= k).sum()) for k in GRADES]
+    total = max(int(whole.sum()), 0)
+    return [
+        max(int(saved.sum()), 0) / len(saved), *(float((saved >= k).mean()) for k in (4, 3, 2, 1)), min(max(int(saved.max()), 0), 12),
+        total / len(whole), *(n / len(whole) for n in counts), *(math.log1p(n) for n in counts), math.log1p(total), min(max(int(whole.max()), 0), 12),
+    ]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> dict:
@@ -147,14 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     fit, rest = part != 3, part == 3
     if not len(y) or not 0 < y[fit].sum() < fit.sum() or not 0 < y[rest].sum() < rest.sum():
         return {}
-    toxic, ordinary = dictionaries([t for t, f in zip(texts, fit, strict=True) if f], y[fit])
-    found = [(f, k) for t, r, k in zip(texts, rest, y, strict=True) if r and (f := features(t, toxic, ordinary))]
-    return _fit(np.array([f for f, _ in found]), np.array([k for _, k in found])) | {"toxic": toxic, "ordinary": ordinary}
+    known_by = dictionaries([t for t, f in zip(texts, fit, strict=True) if f], y[fit])
+    found = [(f, k) for t, r, k in zip(texts, rest, y, strict=True) if r and (f := features(t, *known_by))]
+    return _fit(np.array([f for f, _ in found]), np.array([k for _, k in found])) | {"dictionaries": known_by}
 
 
 def score_texts(df: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """df with a score from 0 to 1 of each whole text: 0.5 is the calibrated cut. Null and blank texts score EMPTY_SCORE."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # of bounded size: two dictionaries and a few numbers
+    sent = df.sparkSession.sparkContext.broadcast(model)  # of bounded size: four dictionaries and a few numbers
 
     @F.pandas_udf("double")
     def score(texts):
@@ -166,7 +191,7 @@ def score_texts(df: DataFrame, model: dict, text_col: str = "text", score_col: s
         mean, scale, w = (np.array(m[k]) for k in ("mean", "scale", "w"))
         out = []
         for t in texts:
-            f = features(t, m["toxic"], m["ordinary"]) if t else None
+            f = features(t, *m["dictionaries"]) if t else None
             out.append(EMPTY_SCORE if f is None else float(1 / (1 + np.exp(-np.clip((np.array(f) - mean) / scale @ w + m["b"], -30, 30)))))
         return pd.Series(out, index=texts.index, dtype="float64")
 

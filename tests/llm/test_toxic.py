@@ -44,3 +44,21 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, "a b", 0), (2, None, 1), (3, "c", None)], "doc_id long, text string, toxic int")
     assert toxic.train(none, none) == {} and toxic.train(none, none.where("doc_id < 0")) == {}
     assert {x["score"] for x in toxic.score_texts(none, {}).collect()} == {0.0}
+
+
+def test_short_and_rare_telling_words_are_found(spark, rows):
+    """A few short words in long texts: some toxic documents hold but two of them, and some ordinary ones one."""
+    r = random.Random(4)
+    plain = [w for _, t, y, _ in rows if not y for w in t.split()]
+    bad = ["scum", "vile", "oaf", "idiot", "grub", "loser", "crud", "moron", "swine", "twit"]
+    docs = []
+    for i in range(2400):
+        w = [r.choice(plain) for _ in range(r.choice([60, 150, 300]))]
+        for _ in range(r.choice([2, 3, 6]) if i % 6 == 0 else i % 49 == 0):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        docs.append((i, " ".join(w), int(i % 6 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxic.train(df.drop("toxic"), df.where("doc_id % 5 <> 0").select("doc_id", "toxic"))
+    got = toxic.score_texts(df.where("doc_id % 5 = 0"), model).select("score", "toxic").collect()
+    hit = sum(x["score"] >= 0.5 for x in got if x["toxic"])
+    assert hit > 0.85 * sum(x["toxic"] for x in got) and hit > 0.85 * sum(x["score"] >= 0.5 for x in got)
