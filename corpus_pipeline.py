@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), run_words=decontam.RUN_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from ledgerloom.llm.common import if_small, stage
 MASKS = ("11111111", "111101111", "1110111011", "11011011011")
 #: Share of a benchmark item's words that must be found, in place, for a document to count as contaminated.
 MIN_SHARE = 0.6
+#: Words that match along one alignment, with at most so many others between them, for a part of a long item to count.
+RUN_WORDS, RUN_OTHERS = 13, 2
 #: Bits of the table of benchmark words that documents are held against first.
 WORD_BITS = 16
 
@@ -51,12 +53,13 @@ def _seeds(df: DataFrame, ident: str) -> DataFrame:
     return df.select(ident, F.explode(F.concat(*(_windows("_ll_h", "_ll_base", m) for m in range(len(MASKS))))).alias("s")).select(ident, "s.pos", "s.key")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_share: float = MIN_SHARE, run_words: int | None = None) -> DataFrame:
     """(doc_id, item_id, item_words, matched_words): documents that hold so large a share of an item's words, in place.
 
     Words are lower-cased runs of letters and digits. A seed hit fixes how document and item lie to each other; along it
     equal words count, so substituted ones are tolerated; what the hits of one pair match is counted once per word of the
-    item, so a passage with words left out or put in still counts whole. Items of fewer than eight words are no evidence
+    item, so a passage with words left out or put in still counts whole. With run_words, a pair also counts if one alignment
+    holds so many matched words with at most RUN_OTHERS others between them, however long the item is. Items of fewer than eight words are no evidence
     and are never found; null texts have no words. Rows with equal ids are searched each, and their matches put together.
     Repeated items are items of their own if their ids differ, else one.
     """
@@ -81,8 +84,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     part = F.slice("_ll_w", (first + 1).cast("int"), F.greatest(F.size("item") + F.col("shift") - first, F.lit(0)).cast("int"))
     along = pairs.select("doc_id", "item_id", "item", (F.col("shift") - first).alias("_ll_from"), part.alias("_ll_part"))
     same = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: F.get("item", i) == F.get("_ll_part", i + F.col("_ll_from").cast("int")))
-    matched = along.select("doc_id", "item_id", F.size("item").cast("long").alias("item_words"), F.explode(same).alias("i")).distinct()
-    return matched.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.count(F.lit(1)).alias("matched_words")).where(F.col("matched_words") >= min_share * F.col("item_words"))
+    along = along.select("doc_id", "item_id", F.size("item").cast("long").alias("item_words"), same.alias("_ll_same"))
+    run = F.lit(False)
+    if run_words:
+        last = F.slice("_ll_same", run_words, F.greatest(F.size("_ll_same"), F.lit(1)))  # the last words of runs, in step with their first ones
+        run = F.exists(F.zip_with(last, "_ll_same", lambda b, a: F.coalesce(b - a < run_words + RUN_OTHERS, F.lit(False))), lambda x: x)
+    matched = along.select("doc_id", "item_id", "item_words", run.alias("run"), F.explode("_ll_same").alias("i")).groupBy("doc_id", "item_id", "i").agg(F.max("item_words").alias("item_words"), F.max("run").alias("run"))
+    found = matched.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.count(F.lit(1)).alias("matched_words"), F.max("run").alias("run"))
+    return found.where((F.col("matched_words") >= min_share * F.col("item_words")) | F.col("run")).drop("run")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

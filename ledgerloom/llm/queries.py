@@ -22,7 +22,7 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), run_words=decontam.RUN_WORDS)
 
 
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:

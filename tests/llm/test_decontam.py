@@ -38,3 +38,13 @@ def test_planted_passages(spark):
     assert contaminated(df.where("doc_id < 0"), b).count() == 0
     assert contaminated(df, b.where("item_id < 0")).count() == 0
     assert decontaminate(df, b.where("item_id < 0")).count() == len(docs)
+
+
+def test_a_long_run_of_a_long_item(spark):
+    item = [f"w{i}" for i in range(400)]
+    docs = [item[100:134], item[:200], item[50:57] + ["x"] + item[58:64], item[50:56] + ["x"] * 3 + item[59:66], item[50:62], item[:12] + ["x"] * 40 + item[200:212]]
+    df = spark.createDataFrame([(i, "before it " + " ".join(w) + " after it") for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x["doc_id"]: x["matched_words"] for x in contaminated(df, b, run_words=13).collect()}
+    assert got == {0: 34, 1: 200, 2: 13}
+    assert {x["doc_id"] for x in decontaminate(df, b, run_words=13).collect()} == {3, 4, 5}
