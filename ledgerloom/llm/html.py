@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 from html import unescape
@@ -38,6 +39,13 @@ _BOILERPLATE = re.compile(
 _BODY = re.compile(r"(?:^|[-_])(?:article|content|post|entry|story|main)(?:[-_]?(?:body|text|content))?$", re.IGNORECASE)
 
 
+#: Elements whose end tags may be left out: a tag of the first kind closes an open one of the second, within the third.
+_CELLS, _TERMS, _LISTS = ("td", "th"), ("dd", "dt"), ("menu", "ol", "ul")
+_CLOSES = {"li": (("li",), _LISTS), "dd": (_TERMS, ("dl",)), "dt": (_TERMS, ("dl",)), "td": (_CELLS, ("table", "tr")), "th": (_CELLS, ("table", "tr")), "tr": (("tr",), ("table",))}
+_PARAGRAPH = (("p",), ("caption", "table", "td", "th"))
+_IN_TABLE = frozenset(("caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "option", "body", "head", "html"))
+
+
 def _marks(tag: str, attrs: str) -> list[str]:
     """The marks of an element: its name if it is a section, and its classes, id and role."""
     out = [tag] if tag in _SECTIONS else []
@@ -65,8 +73,23 @@ def _verdict(above: float, marks: list[str], learned: dict) -> float:
 
 
 def segments(html: str, learned: dict[str, float]):
-    """(kind, value, open) in page order: "tag" with a name at each tag, "text" with raw text; open is the stack of (name, marks, verdict) above it."""
-    stack: list[tuple[str, list[str], float]] = []
+    """(kind, value, open) in page order: "tag" with a name at each tag, "text" with raw text; open is the stack of (name, marks down to it, verdict) above it, of all elements."""
+    stack: list[tuple[str, frozenset[str], float]] = []
+    n_open: collections.Counter = collections.Counter()  # so that an end tag without a beginning costs no search
+
+    def shut(names: tuple, within: tuple) -> None:
+        """Close the innermost open element of one of the names, with all in it, unless one of within lies between."""
+        if not any(n_open[n] for n in names):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                for x in stack[i:]:
+                    n_open[x[0]] -= 1
+                del stack[i:]
+                return
+            if stack[i][0] in within:
+                return
+
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -80,15 +103,16 @@ def segments(html: str, learned: dict[str, float]):
         if name in _VOID:
             continue
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            shut((name,), _CLOSES[name][1] if name in _CLOSES else _PARAGRAPH[1] if name == "p" else ())
         elif not attrs.endswith("/") or name in _BLOCKS:
-            if name in _SECTIONS or attrs and _ATTR.search(attrs) or name == "div":
-                if len(stack) < 500:  # deeper marks change nothing any more
-                    marks = _marks(name, attrs)
-                    stack.append((name, marks, _verdict(stack[-1][2] if stack else 0.0, marks, learned)))
+            if name in _BLOCKS and name not in _IN_TABLE:
+                shut(*_PARAGRAPH)
+            if name in _CLOSES:
+                shut(*_CLOSES[name])
+            marks = _marks(name, attrs)
+            above, odds = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), 0.0)
+            stack.append((name, above if above.issuperset(marks) else above.union(marks), _verdict(odds, marks, learned)))
+            n_open[name] += 1
     if at < len(html):
         yield "text", html[at:], stack
 
@@ -99,10 +123,10 @@ def counts(html: str) -> dict[str, tuple[int, int]]:
     labelled = False
     for kind, value, stack in segments(html, {}):
         if kind == "text" and (n := len(value.split())):
-            names = {name for name, _, _ in stack}
-            inside = bool(names & _CONTENT) and not any(_USUAL.get(x, 0) < 0 for x in names)
+            marks = stack[-1][1] if stack else frozenset()
+            inside = bool(marks & _CONTENT) and not any(_USUAL.get(x, 0) < 0 for x in marks)
             labelled |= inside
-            for m in {m for _, marks, _ in stack for m in marks}:
+            for m in marks:
                 out.setdefault(m, [0, 0])[not inside] += n
     return {k: (a, b) for k, (a, b) in out.items()} if labelled else {}
 

@@ -37,3 +37,20 @@ def test_weights_are_learned_from_pages_that_label_themselves(spark):
     assert got == [(100, SAY), (101, ""), (102, ""), (102, SAY)]
     none = df.where("page_id < 0")
     assert html.fit_weights(none, "page_id", "html") == {} and html.extract(none, {}).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 600 + f"<nav>{SAY}</nav><article><div>{SAY}</div><p>{SAY}</p></article>",
+        f"<div class=post>" + "<p class=x>a" * 600 + f"<aside>{SAY} no</aside></div>",
+        f"<article><p>{SAY}</p><ul class=menu><li>x<ul><li>y</li></ul></li><li>no {SAY}</li></ul></article>",
+        f"<article><p>{SAY}</p><span class=ad>x<span>y</span> no</span></article>",
+    ],
+)
+def test_open_elements_are_all_known(page):
+    got = html.main_text(page, {})
+    if page.startswith("<div>"):
+        assert got == f"{SAY}\n{SAY}"
+    else:
+        assert " no" not in got and "no " not in got and len(got) > 90
