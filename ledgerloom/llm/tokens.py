@@ -1,76 +1,67 @@
-"""Encoding texts with a public tokenizer file, piece by piece: words repeat, so each is encoded once per worker."""
+"""Encoding whole texts with a public tokenizer file, piece by piece: words repeat, so each is encoded once per worker."""
 
 from __future__ import annotations
 
 import functools
 import itertools
 import re
-import unicodedata
 from array import array
 
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers; when they are more, the half that came last goes. Longer pieces are not kept.
 CACHED_PIECES, CACHED_CHARS = 250_000, 64
-#: Full stops and commas after a letter or digit: a piece begins there.
+#: Full stops and commas after a letter or digit: the library's words end there.
 _MARK = re.compile(r"[.,](?<=[^\W_].)")
-#: A line end between two characters other than white space is a piece.
+#: A line end between two characters other than white space is a word of its own (byte-level).
 _LINE = re.compile(r"\n(?<=\S.)(?=\S)", re.DOTALL)
-#: A blank that is followed by white space or stands at an end: there, cutting before blanks would change the pieces.
-_ODD_BLANK = re.compile(r" (?=\s)| \Z")
-_CUT = re.compile(r"(?= \S)")
+#: A blank that white space follows, or the text's end, and a blank before anything else.
+_ODD, _BEFORE = re.compile(r" (?=\s)| \Z"), re.compile(r"(?= \S)")
 
+#: Anything but Latin letters whose lower case is one letter whatever stands around them.
+_FAR = re.compile("[^\0-\u012f\u0131-\u024f]")
 
-def _byte_letters() -> str:
-    """The letters that byte-level tokenizers write for bytes 0 to 255: printable ones stand for themselves, the rest follow from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return "".join(chr(b) if b in own else chr(next(rest)) for b in range(256))
+
+def _cut_before_blanks(text: str) -> list[str]:
+    """For byte-level tokenizers, whose words carry the blank before them."""
+    odd = "  " in text or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text or text.endswith(" ")
+    if odd or "\0" in text or not text.isascii() and _ODD.search(text):
+        return _BEFORE.split(text)
+    return _MARK.sub("\0\\g<0>", _LINE.sub("\0\n\0", text) if "\n" in text else text).replace(" ", "\0 ").split("\0")
+
+
+def _cut_at_blanks(text: str) -> list[str]:
+    """For tokenizers that drop white space and lower letters."""
+    if "<|" not in text and (text.isascii() or not _FAR.search(text)):  # control strings are told by their letters' case
+        text = text.lower()
+    return _MARK.sub(" \\g<0>", text).replace("\n", " ").split(" ")
 
 
 class PieceEncoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit integers, equal to encode(text, add_special_tokens=False).
 
-    keep_blanks: the tokenizer's pieces carry the blank before them (byte-level), else white space only separates pieces
-    and the tokenizer lowers letters. Neither pre-tokenizer joins characters across the cuts made here, so the pieces' ids
-    in order are the text's ids. The dictionary holds the ids of pieces met before.
+    The library encodes every piece, with its own normaliser and pre-tokenizer; here texts are only cut, and the ids of
+    pieces met before are looked up. keep_blanks tells which of the two cuts is right for the tokenizer. No word and no
+    composed character reaches across a cut, so the pieces' ids in order are the text's ids; a test holds that against the
+    library for any text.
     """
 
     def __init__(self, path: str, keep_blanks: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.word = self.tokenizer.model.tokenize
-        self.keep_blanks = keep_blanks
-        self.letters = {i: c for i, c in enumerate(_byte_letters())}
-        self.blank = self.letters[32]
+        self.cut = _cut_before_blanks if keep_blanks else _cut_at_blanks
 
     def __missing__(self, piece: str) -> bytes:
-        if (piece[1:] if piece[0] == " " else piece).isalpha():  # one word: the model alone tells its ids
-            ids = [t.id for t in self.word(piece.replace(" ", self.blank) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
+        out = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= CACHED_CHARS:
             self[piece] = out
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        if self.keep_blanks:
-            odd = "  " in text or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text or text.endswith(" ")
-            if odd or not text.isascii() and _ODD_BLANK.search(text):
-                return _CUT.split(text)
-            if "\n" in text:
-                text = _LINE.sub("\0\n\0", text)
-            return _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
-        if "\u03a3" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not unicodedata.is_normalized("NFC", text):
-            return [text]
-        return _MARK.sub(" \\g<0>", text.lower()).split()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHED_PIECES:
             keep = [*itertools.islice(self.items(), CACHED_PIECES // 2)]
             self.clear()
             self.update(keep)
-        return [b"".join(map(self.__getitem__, filter(None, [t] if "\0" in t else self.pieces(t)))) for t in texts]
+        return [b"".join(map(self.__getitem__, filter(None, self.cut(t)))) for t in texts]
 
 
 @functools.lru_cache(maxsize=4)

@@ -4,11 +4,13 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing, records, sharding
 from ledgerloom.llm.queries import tokenizer_path
-from ledgerloom.llm.tokens import PieceEncoder
+from ledgerloom.llm.tokens import PieceEncoder, encoder
 
 TEXTS = [
     "plain words here", None, "", " lead and  double  blanks ", "a\n \nfoo\n  bar \n\n", "don't won't DON'T é à ça x y", "tab\tand\x1cfs \x1d gs", "x" * 5000,
@@ -32,6 +34,24 @@ def test_pieces_encode_like_whole_texts(name, keep):
     assert not any(len(x) > 64 for x in enc)
 
 
+_ANY = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t.,'aZsΣ\u0301\u1100\u1161\u212a\u212b\x1c\x85\u00a0\0²١<|>")), max_size=40)
+
+
+@pytest.mark.parametrize(("name", "keep"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@settings(max_examples=1500, deadline=None)
+@given(text=_ANY)
+@example(text="Σ")
+@example(text="\u1100\u1161")
+@example(text="\u212a")
+@example(text="\u212b")
+@example(text="e \u0301")
+@example(text="<|STARTOFTEXT|> <|endoftext|>A")
+@example(text="A <|endoftext|>. b")
+def test_any_text_encodes_as_the_library_does(name, keep, text):
+    enc = encoder(tokenizer_path(name), keep)
+    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_cover_and_fill():
     for n in [1, 2, 5, 340, 341, 400, 513, 1023, 1024, 1025, 5000]:
         x = packing.cuts(n, 1024)
