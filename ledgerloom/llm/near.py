@@ -10,19 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import if_small, stage
+from ledgerloom.llm.common import dealt, hottest, if_small, spread_join, stage
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shingles import mix, shingle_set
 
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42, three in a million.
 BANDS, ROWS = 42, 6
-#: A bucket's members are joined to its head into one group if their signatures agree in so large a share at least; a member
-#: that is farther from every one of its heads is farther from the others of these buckets than any link, but for rare chances.
-GROUP_FLOOR = 0.35
+#: A bucket's members are joined to its head into one group if their signatures agree in so large a share at least; those that
+#: agree in less than the second share also get another head of the same bucket, until none is left. So of two linked members
+#: one is out of a group that holds the other only if the estimates are off by more than 0.1 each.
+GROUP_FLOOR, HEADED = 0.35, 0.65
 #: Standard errors below the threshold from which the signatures of two documents rule out a link.
-SIGMAS = 3.2
-#: Documents of a group that one task holds against as many others.
-BLOCK = 1000
+SIGMAS = 5
+#: Documents of a group, and bytes of their sets, that one task holds against as many others, about.
+BLOCK, BLOCK_BYTES = 1000, 32 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -33,7 +34,7 @@ def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(shingles: np.ndarray, n: int) -> np.ndarray:
-    """The least value of each of n universal hashes over a set, 32 bits each."""
+    """The least value of each of n universal hashes over a set, 64 bits each."""
     a, b = _family(n)
     out = np.full(n, 2**64 - 1, np.uint64)
     keys = shingles >> np.uint64(32)
@@ -41,7 +42,7 @@ def minima(shingles: np.ndarray, n: int) -> np.ndarray:
         h = a[:, None] * keys[None, i : i + 256]
         h += b[:, None]
         np.minimum(out, h.min(axis=1), out=out)
-    return out >> np.uint64(32)
+    return out
 
 
 def set_node(s: np.ndarray) -> int:
@@ -51,7 +52,8 @@ def set_node(s: np.ndarray) -> int:
 
 
 def features(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (a hash of the whole set, 0 for none), sig (a byte per minimum) and bands (a hash for each)."""
+    """doc_id, text_hash, n_shingles, node (a hash of the whole set, 0 for none), sig (a byte of each scrambled minimum: unequal
+    minima agree in one of 256) and bands (a hash for each)."""
     schema = "doc_id long, text_hash long, n_shingles long, node long, sig binary, bands array<long>"
     arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
     place = np.arange(bands, dtype=np.uint64)
@@ -66,7 +68,7 @@ def features(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     h = mix(place + np.uint64(1))
                     for r in range(rows):
                         h = mix(h + low[r::rows])
-                    x = (doc, of, len(s), set_node(s), (low >> np.uint64(24)).astype(np.uint8).tobytes(), h.view(np.int64).tolist())
+                    x = (doc, of, len(s), set_node(s), (mix(low) & np.uint64(255)).astype(np.uint8).tobytes(), h.view(np.int64).tolist())
                 else:
                     x = (doc, of, 0, 0, b"", [])
                 for c, v in zip(cols, x, strict=True):
@@ -110,15 +112,16 @@ def _by_key(batches, n_key: int):
 def links(sets: DataFrame, members: DataFrame, percent: int, n_minima: int) -> DataFrame:
     """Links (a, b) that join, within each group, all nodes that are connected by similarities of percent or more.
 
-    members: node, doc_id, sig, group. Each group is dealt into blocks; each pair of blocks is one task's work, which compares
-    all signatures, confirms what they leave on the full sets, and skips pairs that its links already connect. So each pair
-    of the group is settled, and no pair is emitted that adds nothing.
+    sets: node, shingles; members: node, n_shingles, sig, group. Each group is dealt into blocks of bounded rows and bytes;
+    each pair of blocks is one task's work, which compares all signatures, confirms what they leave on the full sets, and
+    skips pairs that its links already connect. So each pair of the group is settled, and no pair is emitted that adds nothing.
     """
-    sizes = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sets, ["doc_id", "node"])
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = stage(members.groupBy("group").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")))
+    placed = spread_join(members, sizes.drop("n"), "group", hottest(sizes, "group")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(sets, "node")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = dealt.withColumn("p", F.explode(pair)).select("group", "p.i", "p.j", "block", "node", "sig", "shingles")
+    placed = placed.withColumn("p", F.explode(pair)).select("group", "p.i", "p.j", "block", "node", "sig", "shingles")
     floor = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / n_minima)
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -148,20 +151,45 @@ def links(sets: DataFrame, members: DataFrame, percent: int, n_minima: int) -> D
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=arrow)
 
-    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
+    return placed.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(df: DataFrame, k: int) -> DataFrame:
-    """doc_id, node and shingles: the set's sorted 64-bit hashes."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
+    """node and shingles (the set's sorted 64-bit hashes) of the column `text`."""
+    arrow = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # a row at a time: sets are large
+            for text in batch.column(0):  # a row at a time: sets are large
                 if len(s := shingle_set((text.as_py() or "").encode(), k)):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((doc, set_node(s), s.tobytes()), arrow, strict=True)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((set_node(s), s.tobytes()), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, "doc_id long, node long, shingles binary")
+    return df.select("text").mapInArrow(run, "node long, shingles binary")
+
+
+def grouped(own: DataFrame) -> DataFrame:
+    """Edges (node, head) that join into groups the nodes which share a band and may be linked.
+
+    own: node, sig, bands. In each round the least node of a bucket is its head; members that agree with it far enough are
+    done, the others meet the next head. Rounds end when no bucket has two members left, so a bucket of any size is settled
+    without pairing its members with each other.
+    """
+    sigs = own.select("node", "sig")
+    left, out = own.select("node", F.explode("bands").alias("bucket")), sigs.select("node", F.col("node").alias("head")).where("false")
+    while True:
+        heads = stage(left.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        if not heads.limit(1).count():
+            return out
+        met = spread_join(left, heads.drop("n"), "bucket", hottest(heads, "bucket")).where("node <> head")
+        pairs = stage(met.select("node", "head").distinct())
+        head_sigs = sigs.select(F.col("node").alias("head"), F.col("sig").alias("head_sig"))
+        judged = spread_join(pairs.join(sigs, "node"), head_sigs, "head", hottest(heads.groupBy("head").agg(F.sum("n").alias("n")), "head"))
+        judged = stage(judged.select("node", "head", signature_agreement("sig", "head_sig").alias("share")))
+        out = out.unionByName(judged.where(F.col("share") >= GROUP_FLOOR).select("node", "head"))
+        far = judged.where(F.col("share") < HEADED).select("node", "head")
+        if not far.limit(1).count():
+            return out
+        left = stage(met.join(far, ["node", "head"], "left_semi").select("node", "bucket"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -171,26 +199,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null, empty and blank texts have no shingles and link with nothing: each is its own component. Rows with equal ids count
     as documents that may differ; each gets a row. An empty table gives an empty table.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = stage(features(docs.withColumn("text_hash", F.xxhash64("text")), k, bands, rows))
-    nodes = found.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    own = found.where("n_shingles > 0").dropDuplicates(["node"]).select("node", "doc_id", "sig", "bands")
-    own = stage(own)
-    in_band = own.select("node", F.explode("bands").alias("bucket"))
-    heads = in_band.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "head")
-    pairs = stage(in_band.join(heads, "bucket").where("node <> head").select("node", "head").distinct())
-    sigs = own.select("node", "sig")
-    alike = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("head"), F.col("sig").alias("head_sig")), "head")
-    alike = alike.where(signature_agreement("sig", "head_sig") >= GROUP_FLOOR).select("node", "head")
-    groups = stage(connected_components(alike).withColumnRenamed("component", "group"))
-    members = stage(groups.join(own.select("node", "doc_id", "sig"), "node"))
-    texts = docs.join(if_small(members.select("doc_id").distinct()), "doc_id", "left_semi")
-    verified = stage(links(shingle_sets(texts, k), members, percent, bands * rows))
+    docs = dealt(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).withColumn("text_hash", F.xxhash64("text"))
+    found = stage(features(docs.select("doc_id", "text", "text_hash"), k, bands, rows))
+    # the row that stands for a set; one with an id if there is one
+    sets = found.where("n_shingles > 0").groupBy("node")
+    nodes = sets.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    nodes = stage(nodes)
+    own = stage(sets.agg(F.min_by(F.struct("text_hash", "n_shingles", "sig", "bands"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r")).select("node", "r.*"))
+    groups = stage(connected_components(grouped(own)).withColumnRenamed("component", "group"))
+    members = stage(groups.join(own.select("node", "text_hash", "n_shingles", "sig"), "node"))
+    texts = docs.join(if_small(members.select("text_hash")), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    verified = stage(links(shingle_sets(texts, k), members.select("node", "n_shingles", "sig", "group"), percent, bands * rows))
     reached = stage(connected_components(verified))
-    least = reached.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = reached.join(least, "component").select("node", "component_id")
+    ends = reached.join(nodes, "node")
+    sizes = stage(ends.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    of_node = spread_join(reached, sizes.drop("n"), "component", hottest(sizes, "component")).select("node", "component_id")
     of_class = nodes.withColumnRenamed("doc_id", "class_id").join(of_node, "node", "left").select("node", F.coalesce("component_id", "class_id").alias("component_id"))
-    out = found.select("doc_id", "text_hash", "n_shingles", "node").join(of_class, "node", "left")
+    rows_of = found.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    out = spread_join(rows_of, stage(of_class), "node", hottest(nodes, "node"), "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
