@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, window by window."""
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text, compared window by window."""
 
 from __future__ import annotations
 
@@ -10,124 +10,100 @@ import re
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that the dictionaries and the calibration are fitted on, at most, by the hash of the id.
-SAMPLE_ROWS = 12_000
-#: Longer texts are not drawn into that sample, so that its size is bounded; scoring reads all texts, whole.
+from ledgerloom.llm.common import dealt
+
+#: Labelled rows that the dictionaries and the calibration are fitted on, and code points of their texts, at most, by the hash of the id.
+SAMPLE_ROWS, SAMPLE_TEXT = 12_000, 12_000_000
+#: Longer texts are not drawn into that sample; scoring reads all texts, whole.
 SAMPLE_CHARS = 50_000
-#: Words of a window, and bytes of the dictionaries.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 6, 110_000, 2048
-#: Least z-score and share of toxic texts of a word that the toxic dictionary is trained on.
-MIN_Z, MIN_SHARE = 4.5, 0.01
-#: Bytes that stand for a word where whole words are compressed, and of the list of telling words at most.
-WORD_BYTES, TELLING_BYTES = 12, 65_536
-#: Savings of a window of whole words, in bytes, from which it counts; it counts once for each.
-GRADES = (1, 2, 3, 4, 6, 8, 12)
+#: Bytes that stand for a word, whatever its length: only whole words match, and each saves alike.
+WORD_BYTES = 32
+#: Words that the two dictionaries are trained to hold, about.
+TOXIC_WORDS, ORDINARY_WORDS = 2000, 6000
+#: A window that toxic text says more than so often, and ordinary text at less than this share of that rate, is no sample of ordinary text.
+STRAY_COUNT, STRAY = 5, 0.05
+#: Savings of a window, in bytes, from which it counts; it counts once for each. The first is what chance may save.
+GRADES = (3, 5, 8, 11, 16, 21)
+#: Savings that a worker remembers.
+KEPT_WINDOWS = 200_000
 #: Score of documents without a word.
 EMPTY_SCORE = 0.0
 
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
-def windows(text: str) -> list[bytes]:
-    w = text.split()
-    return [" ".join(w[i : i + WINDOW]).encode() for i in range(0, len(w), WINDOW)]
-
-
 def _token(word: str) -> bytes:
     return hashlib.blake2b(_EDGE.sub("", word.lower()).encode(), digest_size=WORD_BYTES).digest()
 
 
-_kept_token = functools.lru_cache(maxsize=65_536)(_token)
-
-
-def word_windows(text: str) -> list[bytes]:
-    """The windows with equally many bytes for each word, whatever its length: only whole words match, and each saves alike."""
-    w = [_kept_token(w) if len(w) <= 40 else _token(w) for w in text.split()]
-    return [b"".join(w[i : i + WINDOW]) for i in range(0, len(w), WINDOW)]
-
-
-def _words(text: str) -> list[str]:
-    return [_EDGE.sub("", w.lower()) for w in text.split()]
+def windows(text: str) -> list[bytes]:
+    """All windows of a text: one word each, as bytes that the word determines."""
+    return [_token(w) for w in text.split()]
 
 
+@functools.lru_cache(maxsize=4)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     """A compressor that knows a dictionary's content; frames carry nothing but data, so lengths compare."""
     p = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
-        window_log=18, hash_log=18, chain_log=18, search_log=4, min_match=5, target_length=0, strategy=zstandard.STRATEGY_GREEDY,
+        window_log=20, hash_log=18, chain_log=18, search_log=4, min_match=6, target_length=0, strategy=zstandard.STRATEGY_GREEDY,
     )
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary, or where samples are too few for the trainer, their own text."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b" ".join(samples)[-size:]
+def trained(words: int, samples: list[bytes]) -> bytes:
+    """A dictionary of about so many words, trained on windows in mixed order; a smaller one where there is too little text for it, none for none."""
+    samples = [samples[i] for i in np.random.default_rng(0).permutation(len(samples))]
+    while words:
+        try:
+            return zstandard.train_dictionary(words * WORD_BYTES, samples, k=WORD_BYTES, d=8).as_bytes()
+        except zstandard.ZstdError:
+            words //= 2
+    return b""
 
 
-def dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """(toxic, ordinary) dictionaries of text, and the same of whole words.
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The dictionary of toxic windows and that of ordinary ones.
 
-    The ordinary ones are trained on windows of ordinary texts. The toxic ones hold what toxic texts say more often than
-    ordinary ones: of text a trained dictionary, of whole words the list of all of them, the most telling last.
+    A stray insult in ordinary texts does not make it ordinary (STRAY). The trainer passes over some frequent windows. Ordinary windows that the toxic dictionary compresses better all the same
+    are laid behind the trained ordinary one, so that what both kinds of text say tells nothing.
     """
-    has: collections.Counter = collections.Counter()
-    has_not: collections.Counter = collections.Counter()
-    for t, x in zip(texts, toxic, strict=True):
-        (has if x else has_not).update(set(_words(t)))
-    na, nb = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    telling = {}
-    for w, c in has.items():
-        p = (c + has_not[w]) / (na + nb)
-        z = (c / na - has_not[w] / max(nb, 1)) / math.sqrt(p * (1 - p) * (1 / na + 1 / max(nb, 1)) + 1e-12)
-        if len(w) > 2 and z > MIN_Z and c >= max(3, MIN_SHARE * na):
-            telling[w] = z
-    said = []
-    for t, x in zip(texts, toxic, strict=True):
-        if x:
-            w = [w for w in t.split() if _EDGE.sub("", w.lower()) in telling]
-            said += [(" " + " ".join(w[i : i + 4])).encode() for i in range(0, len(w), 4)]
-    listed = b"".join(_token(w) for w in sorted(telling, key=lambda w: (telling[w], w)))[-(TELLING_BYTES // WORD_BYTES * WORD_BYTES) :]
-    usual = [w for t, x in zip(texts, toxic, strict=True) if not x for w in windows(t)]
-    drawn = [usual[i] for i in np.random.default_rng(0).permutation(len(usual))[:60_000]]
-    whole = [x for w in drawn for x in word_windows(w.decode())]
-    return _trained(TOXIC_BYTES, said), _trained(ORDINARY_BYTES, drawn), listed, _trained(ORDINARY_BYTES, whole)
+    t, o = collections.Counter(toxic), collections.Counter(ordinary)
+    ordinary = [w for w in ordinary if o[w] * len(toxic) >= STRAY * (t[w] - STRAY_COUNT) * len(ordinary)]
+    a, b = trained(TOXIC_WORDS, toxic), trained(ORDINARY_WORDS, ordinary)
+    saved = _saver(a, b)
+    return a, b + b"".join(sorted(w for w in set(ordinary) if saved(w) >= GRADES[0]))
 
 
-@functools.lru_cache(maxsize=4)
-def _pairs(toxic: bytes, ordinary: bytes, toxic_words: bytes, ordinary_words: bytes):
-    """Two compressors of text and two of whole words: one of each knows the toxic dictionary, both the ordinary one.
+def _saver(toxic: bytes, ordinary: bytes):
+    a, b = _compressor(toxic), _compressor(ordinary)
+    return lambda w: len(b.compress(w)) - len(a.compress(w))
 
-    So both see the same language, and lengths differ by toxic matches alone. Of text the toxic content lies before the
-    ordinary one. Of whole words it lies behind, where a match is cheap, and blanks hold its place in the other.
-    """
-    return _compressor(toxic + ordinary), _compressor(ordinary), _compressor(ordinary_words + toxic_words), _compressor(ordinary_words + bytes(len(toxic_words)))
 
+@functools.lru_cache(maxsize=2)
+def _word_saver(toxic: bytes, ordinary: bytes):
+    """The saving of a word's window; a worker compresses the same word once."""
+    saved = _saver(toxic, ordinary)
+    kept = functools.lru_cache(maxsize=KEPT_WINDOWS)(lambda w: saved(_token(w)))
+    return lambda w: kept(w) if len(w) <= 40 else saved(_token(w))
 
-def features(text: str, toxic: bytes, ordinary: bytes, toxic_words: bytes, ordinary_words: bytes) -> list[float] | None:
-    """What the windows save under the toxic dictionaries; None without words.
 
-    Of text: mean, shares of windows that save 4, 3, 2 or 1 bytes or more, and most. Of whole words: mean, shares of windows
-    that save as much as each of GRADES, logarithms of their counts and of all that is saved, and most.
+def features(text: str, toxic: bytes, ordinary: bytes) -> list[float] | None:
+    """What the windows save under the toxic dictionary against the ordinary one; None without words.
+
+    Of the windows that save: mean saving, shares and logarithms of counts at each of GRADES, logarithm of all that is saved, and most.
     """
-    a, b, c, d = _pairs(toxic, ordinary, toxic_words, ordinary_words)
-    saved = np.array([len(b.compress(w)) - len(a.compress(w)) for w in windows(text)])
+    saved = np.array([*map(_word_saver(toxic, ordinary), text.split())])
     if not len(saved):
         return None
-    whole = np.array([len(d.compress(w)) - len(c.compress(w)) for w in word_windows(text)])
-    counts = [int((whole >= k).sum()) for k in GRADES]
-    total = max(int(whole.sum()), 0)
-    return [
-        max(int(saved.sum()), 0) / len(saved), *(float((saved >= k).mean()) for k in (4, 3, 2, 1)), min(max(int(saved.max()), 0), 12),
-        total / len(whole), *(n / len(whole) for n in counts), *(math.log1p(n) for n in counts), math.log1p(total), min(max(int(whole.max()), 0), 12),
-    ]
+    counts = [int((saved >= k).sum()) for k in GRADES]
+    total = int(saved.clip(0).sum())
+    return [total / len(saved), *(n / len(saved) for n in counts), *(math.log1p(n) for n in counts), math.log1p(total), min(max(int(saved.max()), 0), WORD_BYTES)]
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> dict:
@@ -155,31 +131,44 @@ def _fit(x: np.ndarray, y: np.ndarray) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """A model from a bounded sample of labelled rows: dictionaries from three quarters of it, calibration from the rest.
+    """A model from a bounded sample of labelled rows: dictionaries from three quarters of each kind, calibration from the rest.
 
-    The sample is the labelled ids of least hash, so it does not depend on how the tables are dealt; it is drawn from the
-    narrow table of labels, and only its texts leave the scan of docs. Null labels, texts that are null or have more than
-    SAMPLE_CHARS code points, and ids without a text are left out of it; of repeated ids the highest label and the least
-    text count. With no toxic or no ordinary rows nothing can be told, and all texts score 0.
+    The sample is the labelled ids of least hash, SAMPLE_ROWS rows and SAMPLE_TEXT code points at most, so it does not depend
+    on how the tables are dealt; it is drawn from the narrow table of labels, and only its texts leave the scan of docs. Null
+    labels, texts that are null or have more than SAMPLE_CHARS code points, and ids without a text are left out of it; of
+    repeated ids the highest label and the least text count. With fewer than two rows of either kind, or where those
+    held back have no words, nothing can be told: the model is empty, and all texts score 0.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_ll_id")).agg(F.max(label_col).cast("int").alias("_ll_y"))
     drawn = known.orderBy(F.xxhash64(F.lit(3), "_ll_id"), "_ll_id").limit(sample_rows)
     rows = docs.where(F.char_length(text_col) <= SAMPLE_CHARS).join(F.broadcast(drawn), F.col(id_col) == F.col("_ll_id"))
-    rows = rows.groupBy("_ll_id").agg(F.min(text_col).alias("t"), F.max("_ll_y").alias("y")).select(F.xxhash64(F.lit(3), "_ll_id").alias("h"), "t", "y").collect()
-    rows.sort(key=lambda r: (r["h"], r["t"]))
-    texts, y = [r["t"] for r in rows], np.array([r["y"] for r in rows], int)
-    part = np.array([r["h"] % 4 for r in rows], int)
-    fit, rest = part != 3, part == 3
-    if not len(y) or not 0 < y[fit].sum() < fit.sum() or not 0 < y[rest].sum() < rest.sum():
+    rows = rows.groupBy("_ll_id").agg(F.min(text_col).alias("t"), F.max("_ll_y").alias("y")).select(F.xxhash64(F.lit(3), "_ll_id").alias("h"), "t", "y")
+    so_far = F.sum(F.char_length("t")).over(Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, 0))  # of sample_rows rows
+    sample = sorted((r["h"], r["t"], r["y"]) for r in rows.withColumn("n", so_far).where(F.col("n") <= SAMPLE_TEXT).select("h", "t", "y").collect())
+    fit: dict[int, list[bytes]] = {0: [], 1: []}
+    seen, rest = [0, 0], []
+    for _, text, y in sample:
+        seen[y] += 1
+        if seen[y] % 4 == 2:
+            rest.append((text, y))
+        else:
+            fit[y] += windows(text)
+    if min(seen) < 2:
+        return {}
+    pair = dictionaries(fit[1], fit[0])
+    found = [(f, y) for text, y in rest if (f := features(text, *pair))]
+    if {y for _, y in found} != {0, 1} or not all(pair):
         return {}
-    known_by = dictionaries([t for t, f in zip(texts, fit, strict=True) if f], y[fit])
-    found = [(f, k) for t, r, k in zip(texts, rest, y, strict=True) if r and (f := features(t, *known_by))]
-    return _fit(np.array([f for f, _ in found]), np.array([k for _, k in found])) | {"dictionaries": known_by}
+    return _fit(np.array([f for f, _ in found]), np.array([y for _, y in found])) | {"dictionaries": pair}
 
 
 def score_texts(df: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """df with a score from 0 to 1 of each whole text: 0.5 is the calibrated cut. Null and blank texts score EMPTY_SCORE."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # of bounded size: four dictionaries and a few numbers
+    """df with a score from 0 to 1 of each whole text: 0.5 is the calibrated cut.
+
+    Null and blank texts score EMPTY_SCORE, and all texts 0 under an empty model. Equal texts score alike, rows that repeat
+    stay; a column of the score's name is replaced, all others stay. An empty table gives an empty table.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model)  # of bounded size: two dictionaries and a few numbers
 
     @F.pandas_udf("double")
     def score(texts):
@@ -195,7 +184,7 @@ def score_texts(df: DataFrame, model: dict, text_col: str = "text", score_col: s
             out.append(EMPTY_SCORE if f is None else float(1 / (1 + np.exp(-np.clip((np.array(f) - mean) / scale @ w + m["b"], -30, 30)))))
         return pd.Series(out, index=texts.index, dtype="float64")
 
-    return df.withColumn(score_col, score(F.col(text_col).cast("string")))
+    return dealt(df).withColumn(score_col, score(F.col(text_col).cast("string")))
 
 
 def drop_toxic(df: DataFrame, model: dict, text_col: str = "text", cut: float = 0.5) -> DataFrame:

@@ -62,3 +62,13 @@ def test_short_and_rare_telling_words_are_found(spark, rows):
     got = toxic.score_texts(df.where("doc_id % 5 = 0"), model).select("score", "toxic").collect()
     hit = sum(x["score"] >= 0.5 for x in got if x["toxic"])
     assert hit > 0.85 * sum(x["toxic"] for x in got) and hit > 0.85 * sum(x["score"] >= 0.5 for x in got)
+
+
+def test_dictionaries_come_from_whole_texts_of_their_kind(rows):
+    by = {y: [x for _, t, k, _ in rows if k == y for x in toxic.windows(t)] for y in (0, 1)}
+    a, b = toxic.dictionaries(by[1], by[0])
+    held = lambda content, samples: {w for w in set(samples) if w in content}
+    assert len(held(a, by[1])) > 100  # no list of chosen words: what toxic texts say often, ordinary words too
+    assert held(a, [toxic._token(w) for w in ("grobshite", "muckwit", "scumble", "vilehead")]) and len(held(a, by[0])) > 100
+    saved = toxic._saver(a, b)
+    assert max(saved(w) for w in set(by[0])) < toxic.GRADES[0] and saved(toxic._token("muckwit")) > 16
