@@ -10,15 +10,20 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import dealt
+
 #: Pages that the weights are fitted on, at most.
 SAMPLE_PAGES = 2000
 #: Log-odds from which a mark of an element decides what its words are, and pages that must show it.
 DECIDES, MIN_PAGES = 2.0, 5
+#: Keys of the counts of words and tags, and of a tag's learned score; the lowest such score; a tag's score within marked content.
+WORD, TAG, MOST_TAG, MARKED_TAG = "#word", "#tag", -8.0, -0.02
 
-#: Elements whose content is never text of the page.
-_DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|button|title"
+#: Elements whose content is never text of the page; the first kind holds no elements and ends at its end tag or with the page.
+_RAW = "script|style"
+_HIDDEN = frozenset("button canvas iframe math noscript object select svg template textarea title".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_DROPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -54,26 +59,27 @@ def _marks(tag: str, attrs: str) -> list[str]:
     return out
 
 
-def _odds(mark: str, learned: dict) -> float:
+def _odds(mark: str, learned: dict, trust: bool) -> float:
     if mark in learned:
         return learned[mark]
     if mark[0] != ".":
         return _USUAL.get(mark, 0.0)
-    return -4.0 if _BOILERPLATE.search(mark[1:]) else 2.5 if _BODY.search(mark[1:]) else 0.0
+    return -4.0 if trust and _BOILERPLATE.search(mark[1:]) else 2.5 if _BODY.search(mark[1:]) else 0.0
 
 
-def _verdict(above: float, marks: list[str], learned: dict) -> float:
+def _verdict(above: float, marks: list[str], learned: dict, trust: bool) -> float:
     """What marks decide under what decided above them: an inner mark overrides outer ones, but nothing inside content that
     was ruled out comes back, as replies under an article are no article."""
-    odds = [_odds(m, learned) for m in marks]
+    odds = [_odds(m, learned, trust or above > 0) for m in marks]
     x = (min(odds) if min(odds) <= -DECIDES else max(odds)) if odds else 0.0
     if above == -math.inf or abs(x) < DECIDES:
         return above
     return -math.inf if above > 0 > x else x
 
 
-def segments(html: str, learned: dict[str, float]):
-    """(kind, value, open) in page order: "tag" with a name at each tag, "text" with raw text; open is the stack of (name, marks down to it, verdict) above it, of all elements."""
+def segments(html: str, learned: dict[str, float], trust: bool = True):
+    """(kind, value, open) in page order: "tag" with a name at each tag, "text" with raw text; open is the stack of (name, marks down to it, verdict) above it, of all
+    elements. trust: whether the usual meaning of names for what is no content counts outside of content."""
     stack: list[tuple[str, frozenset[str], float]] = []
     n_open: collections.Counter = collections.Counter()  # so that an end tag without a beginning costs no search
 
@@ -104,14 +110,14 @@ def segments(html: str, learned: dict[str, float]):
             continue
         if close:
             shut((name,), _CLOSES[name][1] if name in _CLOSES else _PARAGRAPH[1] if name == "p" else ())
-        elif not attrs.endswith("/") or name in _BLOCKS:
+        elif not attrs.endswith("/") or name in _BLOCKS or name in _HIDDEN and name not in ("math", "svg"):
             if name in _BLOCKS and name not in _IN_TABLE:
                 shut(*_PARAGRAPH)
             if name in _CLOSES:
                 shut(*_CLOSES[name])
             marks = _marks(name, attrs)
             above, odds = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), 0.0)
-            stack.append((name, above if above.issuperset(marks) else above.union(marks), _verdict(odds, marks, learned)))
+            stack.append((name, above if above.issuperset(marks) else above.union(marks), -math.inf if name in _HIDDEN else _verdict(odds, marks, learned, trust)))
             n_open[name] += 1
     if at < len(html):
         yield "text", html[at:], stack
@@ -131,10 +137,22 @@ def counts(html: str) -> dict[str, tuple[int, int]]:
     return {k: (a, b) for k, (a, b) in out.items()} if labelled else {}
 
 
+def _tokens(html: str) -> list[int]:
+    """Words and tags inside, words and tags outside of the article of a page that labels its article; what is never text counts nowhere."""
+    n = [0, 0, 0, 0]
+    for kind, value, stack in segments(html, {}):
+        marks, odds = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), 0.0)
+        inside = bool(marks & _CONTENT) and not any(_USUAL.get(x, 0) < 0 for x in marks)
+        if odds > -math.inf or not inside:
+            n[2 * (not inside) + (kind == "tag")] += 1 if kind == "tag" else len(value.split())
+    return n
+
+
 def fit_weights(pages: DataFrame, id_col: str, html_col: str, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log-odds of the marks that decide, from a bounded sample of pages: those of least hash of their id.
+    """Log-odds of the marks that decide, and the score of a tag (key TAG) where a word's is 1, from a bounded sample of pages: those of least hash of their id.
 
-    Pages that hold an article or main element label their own words. A mark that few pages show is left to what is usual.
+    Pages that hold an article or main element label their own words. A mark that few pages show is left to what is usual. The
+    score of a tag is the ratio of two log-odds: of meeting a tag, and of meeting a word, inside of articles against outside.
     """
     ids = pages.select(F.col(id_col).alias("_ll_id")).distinct().orderBy(F.xxhash64(F.lit(8), "_ll_id")).limit(sample_pages)
     sample = pages.join(F.broadcast(ids), F.col(id_col) == F.col("_ll_id"), "left_semi").select(F.col(html_col).cast("string").alias("html"))
@@ -143,25 +161,55 @@ def fit_weights(pages: DataFrame, id_col: str, html_col: str, sample_pages: int
         import pandas as pd
 
         for pdf in batches:
-            rows = [(m, a, b) for h in pdf["html"].dropna() for m, (a, b) in counts(h).items()]
+            rows = []
+            for h in pdf["html"].dropna():
+                if found := counts(h):
+                    rows += [(m, a, b) for m, (a, b) in found.items()]
+                    words_in, tags_in, words_out, tags_out = _tokens(h)
+                    rows += [(WORD, words_in, words_out), (TAG, tags_in, tags_out)]
             yield pd.DataFrame(rows, columns=["mark", "inside", "outside"])
 
-    found = sample.mapInPandas(run, "mark string, inside long, outside long").groupBy("mark").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"), F.count(F.lit(1)).alias("n"))
-    rows = found.where(F.col("n") >= MIN_PAGES).orderBy(F.desc("n"), "mark").limit(10_000).collect()
-    odds = {r["mark"]: math.log((r["a"] + 0.5) / (r["b"] + 0.5)) for r in rows}
-    return {m: x for m, x in odds.items() if abs(x) >= DECIDES}
+    found = dealt(sample).mapInPandas(run, "mark string, inside long, outside long").groupBy("mark").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"), F.count(F.lit(1)).alias("n"))
+    rows = {r["mark"]: r for r in found.where(F.col("n") >= MIN_PAGES).orderBy(F.desc("n"), "mark").limit(10_000).collect()}
+    word, tag = rows.pop(WORD, None), rows.pop(TAG, None)
+    odds = {m: math.log((r["a"] + 0.5) / (r["b"] + 0.5)) for m, r in rows.items()}
+    out = {m: x for m, x in odds.items() if abs(x) >= DECIDES}
+    if word and tag:
+        all_in, all_out = word["a"] + tag["a"] + 1, word["b"] + tag["b"] + 1
+        of_word, of_tag = (math.log((r["a"] + 0.5) / all_in) - math.log((r["b"] + 0.5) / all_out) for r in (word, tag))
+        if of_word > 0 > of_tag:  # otherwise articles are no wordier than the rest, and what is usual stands
+            out[TAG] = max(of_tag / of_word, MOST_TAG)
+    return out
+
+
+def best_run(scores) -> tuple[int, int]:
+    """(start, end) of the run of greatest sum, the first of equals; (0, 0) if no sum is positive. One linear scan."""
+    best = total = 0.0
+    start, span = 0, (0, 0)
+    for i, x in enumerate(scores):
+        total += x
+        if total <= 0:
+            total, start = 0.0, i + 1
+        elif total > best:
+            best, span = total, (start, i + 1)
+    return span
 
 
 def main_text(html: str, learned: dict[str, float]) -> str:
     """The text of the best-scoring run of a page, cleaned of what its marks rule out.
 
     A word under a mark that decides for content scores 1, one that no mark decides on scores 1 too, unless the page labels
-    its article elsewhere, then -1; a tag scores -0.02 within marked content and -1 elsewhere. What is ruled out scores
-    nothing and is not in the text. One linear scan finds the run. Blocks are cut at block elements; a line break is a blank.
+    its article elsewhere, then -1; a tag scores what was learned (-1 before), and next to nothing within marked content. What
+    is ruled out scores nothing and is not in the text; where that leaves no word at all, only learned marks, sections and
+    marks within content rule out. Blocks are cut at block elements; a line break is a blank.
     """
-    runs = []  # (score, piece of text, or None at the border of a block)
+    return _main_text(html, learned, True) or _main_text(html, learned, False)
+
+
+def _main_text(html: str, learned: dict[str, float], trust: bool) -> str:
+    runs, scores = [], []  # (marked, piece of text, or None at the border of a block)
     own = False
-    for kind, value, stack in segments(html, learned):
+    for kind, value, stack in segments(html, learned, trust):
         odds = stack[-1][2] if stack else 0.0
         if odds <= -DECIDES:
             if kind == "tag" and value in _BLOCKS:
@@ -172,20 +220,12 @@ def main_text(html: str, learned: dict[str, float]) -> str:
         else:
             runs.append((odds > 0, value, False))
             own |= odds > 0 and not value.isspace()
-    best = total = 0.0
-    start, span = 0, (0, 0)
-    for i, (marked, value, tag) in enumerate(runs):
-        if tag:
-            total -= 0.02 if marked else 1.0
-        else:
-            n = len(value.split())
-            total += n if marked or not own else -n
-        if total <= 0:
-            total, start = 0.0, i + 1
-        elif total > best:
-            best, span = total, (start, i + 1)
+    of_tag = learned.get(TAG, -1.0)
+    for marked, value, tag in runs:
+        n = 1 if tag else len(value.split())
+        scores.append(n * (MARKED_TAG if marked else of_tag) if tag else n if marked or not own else -n)
     blocks, now = [], []
-    for marked, value, _ in runs[slice(*span)]:
+    for marked, value, _ in runs[slice(*best_run(scores))]:
         if value is None:
             blocks.append("".join(now))
             now = []
@@ -197,11 +237,15 @@ def main_text(html: str, learned: dict[str, float]) -> str:
 
 
 def extract(df: DataFrame, learned: dict[str, float], html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """df with the main text of each page, from its whole html; null and empty pages and pages without words have the empty text."""
+    """df with the main text of each page, from its whole html; null and empty pages and pages without words have the empty text.
+
+    Of runs that score alike the first is taken. Equal pages get equal texts, rows that repeat stay; a column of the text's
+    name is replaced, all others stay. An empty table gives an empty table.
+    """
     sent = df.sparkSession.sparkContext.broadcast(learned)  # 10,000 marks at most
 
     @F.pandas_udf("string")
     def text(pages):
         return pages.map(lambda h: main_text(h, sent.value) if h else "").astype(object)
 
-    return df.withColumn(text_col, text(F.col(html_col).cast("string")))
+    return dealt(df).withColumn(text_col, text(F.col(html_col).cast("string")))

@@ -54,3 +54,31 @@ def test_open_elements_are_all_known(page):
         assert got == f"{SAY}\n{SAY}"
     else:
         assert " no" not in got and "no " not in got and len(got) > 90
+
+
+@pytest.mark.parametrize("name", ["svg-icon", "button-group", "title-bar", "select-box", "style-guide"])
+def test_longer_names_are_no_hidden_elements(name):
+    assert html.main_text(f"<body><{name}></{name}><p>{SAY}</p></body>", {}) == SAY
+
+
+def test_hidden_elements_end_with_their_parent():
+    assert html.main_text(f"<div><button>push me</div><p>{SAY}</p><div><svg><text>no</svg></div>", {}) == SAY
+    assert html.main_text(f"<div class='related-work'><p>{SAY}</p></div>", {}) == SAY
+
+
+def test_best_run_against_brute_force():
+    import random
+
+    r = random.Random(7)
+    for _ in range(400):
+        x = [r.choice([-3, -1, -0.5, 0, 1, 2]) for _ in range(r.randrange(0, 12))]
+        sums = {(i, j): sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        i, j = html.best_run(x)
+        assert sum(x[i:j]) == max([0, *sums.values()])
+
+
+def test_the_score_of_a_tag_is_learned(spark):
+    page = "<body>" + "<div><a href=x>link</a></div>" * 20 + f"<article><p>{SAY}</p><p>{SAY}</p></article></body>"
+    df = spark.createDataFrame([(i, page) for i in range(10)], "page_id long, html string")
+    weights = html.fit_weights(df, "page_id", "html")
+    assert -8 <= weights[html.TAG] < 0
