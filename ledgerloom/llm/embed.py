@@ -9,26 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import if_small, stage
+from ledgerloom.llm.common import hottest, if_small, spread_join, stage
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.near import _by_key
 
-#: Vectors that a cell should have; larger labels get more pivots, up to so many each and so many in all.
-CELL, PIVOTS_PER_LABEL, MAX_PIVOTS = 2000, 16, 2000
+#: Vectors that a cell should have at most, and bytes of all pivots together.
+CELL, PIVOT_BYTES = 2000, 32 << 20
 #: Vectors of a cell that one task holds against as many others.
 BLOCK = 2000
 
 
 def pivots(nodes: DataFrame) -> dict:
-    """Unit vectors by (label, dimensions): of each group with more than CELL vectors the ones with the least hashes, about.
+    """Unit vectors by (label, dimensions): of every label the vectors with the least hashes, about.
 
-    A fixed number at most, whatever the input; with fewer pivots cells are larger, and results the same.
+    A label of n vectors gets the cube root of n, and no fewer than n / CELL; if all pivots would have more than PIVOT_BYTES,
+    every label gets fewer in proportion, and one that would get fewer than two is one cell. Cells are then larger, and
+    results the same.
     """
     sizes = nodes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0) / CELL, F.lit(float(PIVOTS_PER_LABEL)) / F.col("n"))
-    picked = nodes.join(if_small(stage(sizes.where(F.col("n") > CELL))), ["label", "dims"]).where(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) < share * (1 << 30))
+    sizes = stage(sizes.withColumn("want", F.greatest(F.ceil(F.cbrt("n")), F.ceil(F.col("n") / CELL)).cast("double")).where("n > 1"))
+    held = sizes.agg(F.sum(F.col("want") * F.col("dims") * 8)).first()[0] or 0
+    share = (F.col("want") * min(1.0, PIVOT_BYTES / max(held, 1.0))).alias("get")
+    sizes = sizes.select("label", "dims", "n", share).where("get >= 2")
+    picked = nodes.join(if_small(sizes), ["label", "dims"]).where(F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 30)) < F.col("get") / F.col("n") * (1 << 30))
     out: dict = {}
-    for r in picked.select("label", "dims", "vec").limit(MAX_PIVOTS).collect():
+    for r in picked.select("label", "dims", "vec").collect():  # PIVOT_BYTES, about
         out.setdefault((r["label"], r["dims"]), []).append(np.frombuffer(r["vec"], "<f8"))
     return {k: np.array(v) for k, v in out.items()}
 
@@ -36,11 +41,12 @@ def pivots(nodes: DataFrame) -> dict:
 def cells(nodes: DataFrame, centres: dict, radius: float) -> DataFrame:
     """label, dims, cell, node, weight, vec, home: each vector in the cell of its nearest pivot, and a copy in each cell that may hold a partner.
 
-    If u lies in cell p and v within the radius of u, then d(v, p) <= d(u, p) + r <= d(u, q) + r <= d(v, q) + 2 r for v's own pivot q.
+    If u lies in cell p and v within the radius r of u, then d(v, p) <= d(u, p) + r <= d(u, q) + r <= d(v, q) + 2 r for v's own
+    pivot q. As distances are Euclidean, d(v, p) ** 2 - d(v, q) ** 2 <= 2 r d(p, q) holds as well, which spares about half of the copies.
     """
     schema = "label long, dims int, cell int, node long, weight long, vec binary, home boolean"
     arrow = pa.schema([("label", pa.int64()), ("dims", pa.int32()), ("cell", pa.int32()), ("node", pa.int64()), ("weight", pa.int64()), ("vec", pa.binary()), ("home", pa.bool_())])
-    sent = nodes.sparkSession.sparkContext.broadcast(centres)  # MAX_PIVOTS vectors at most
+    sent = nodes.sparkSession.sparkContext.broadcast(centres)  # PIVOT_BYTES, about
 
     def run(batches):
         for batch in batches:
@@ -52,7 +58,9 @@ def cells(nodes: DataFrame, centres: dict, radius: float) -> DataFrame:
                 else:
                     d = np.linalg.norm(mine - np.frombuffer(vec, "<f8"), axis=1)
                     home = int(d.argmin())
-                    places = np.flatnonzero(d <= d[home] + 2 * radius + 1e-9).tolist()
+                    near = np.flatnonzero(d <= d[home] + 2 * radius + 1e-9)
+                    apart = np.linalg.norm(mine[near] - mine[home], axis=1)
+                    places = near[d[near] ** 2 - d[home] ** 2 <= 2 * radius * apart + 1e-9].tolist()
                 for p in places:
                     for c, x in zip(out, (label, dims, p, node, weight, vec, p == home), strict=True):
                         c.append(x)
@@ -138,9 +146,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     found = stage(cell_links(cells(nodes, pivots(nodes), math.sqrt(2 - 2 * cosine)), cosine))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = stage(connected_components(found.where("node <> at").select("node", "at")))
-    least = reached.join(by_node, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = by_node.select("node", "first_id", "weight").join(links, "node", "left").join(reached.join(least, "component").select("node", "component_id"), "node", "left")
-    of_node = of_node.select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
-    out = v.select("vec_id", "node").join(of_node, "node", "left")
+    sizes = stage(reached.join(by_node, "node").groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    of_component = spread_join(reached, sizes.drop("n"), "component", hottest(sizes, "component")).select("node", "component_id")
+    of_node = by_node.select("node", "first_id", "weight").join(links, "node", "left").join(of_component, "node", "left")
+    of_node = stage(of_node.select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")))
+    out = spread_join(v.select("vec_id", "node"), of_node, "node", hottest(by_node, "node", "weight"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

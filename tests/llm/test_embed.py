@@ -47,3 +47,16 @@ def test_against_brute_force(spark, monkeypatch, cell, block):
 
 def test_empty_table(spark):
     assert embed.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_pivots_part_labels_of_any_size_under_the_shipped_sizes(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(30, 16))
+    rows = [(i, [float(x) for x in centres[i % 30] + r.normal(size=16) * 0.03], i % 2) for i in range(700)]
+    nodes = spark.createDataFrame([(int(lab), 16, i, (np.array(v) / np.linalg.norm(v)).tobytes(), 1) for i, v, lab in rows], "label long, dims int, node long, vec binary, weight long")
+    found = embed.pivots(nodes)
+    assert set(found) == {(0, 16), (1, 16)} and all(2 <= len(v) <= 24 for v in found.values())
+    placed = embed.cells(nodes, found, math.sqrt(0.04)).collect()
+    assert sum(x["home"] for x in placed) == 700 and len(placed) < 3 * 700
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(x) for x in embed.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()) == brute(rows)
