@@ -29,14 +29,17 @@ def unescape_role(role: Column) -> Column:
 
 
 def paths(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The leaves of reply trees (tree, leaf, depth, path_score) and the pointers (tree, node, up, dist) to the ancestors 1, 2, 4, ... steps up.
+    """The leaves of reply trees (tree, leaf, depth, path_score) and the pointers (tree, node, up, dist) to the ancestors 1, 2, 4, ... steps up;
+    tree is a struct around the tree's id.
 
     messages: tree, node, parent (null at a root), score. Pointer doubling: in each round a message learns its ancestor
     twice as far up with the scores between, so a thread of any length takes logarithmically many self-joins; rounds end
     when all have met their root, so rows whose parent is missing count as roots, and rings of parents, which have no
-    root, are left out.
+    root, are left out. A null tree is a tree like any other (trees travel as structs, which join null to null); rows without a
+    node are no messages; of rows that repeat a node the least parent counts, null first, with the least score.
     """
-    nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    one = F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("r")
+    nodes = messages.where("node IS NOT NULL").groupBy(F.struct("tree").alias("tree"), "node").agg(one).select("tree", "node", "r.*")
     known = nodes.select("tree", F.col("node").alias("up"), F.lit(True).alias("_ll_is"))
     start = nodes.withColumnRenamed("parent", "up").join(known, ["tree", "up"], "left")
     # up: an ancestor, null once the root is met; dist: steps to it; total: scores from the node up to but without it
@@ -61,7 +64,8 @@ def paths(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def best_branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """(tree, leaf, node): the messages on the per_tree best paths of each tree.
 
-    Branches are ranked by the mean score of their messages, then by length, longest first, then by the smallest leaf.
+    Branches are ranked by the mean score of their messages, then by length, longest first, then by the smallest leaf. No
+    messages give no branches; other columns do not matter.
     """
     leaves, hops = paths(messages)
     rank = Window.partitionBy("tree").orderBy(F.desc(F.col("path_score") / (F.col("depth") + 1)), F.desc("depth"), "leaf")
@@ -70,18 +74,22 @@ def best_branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     for h in reversed(hops):  # distances to ancestors are sums of powers of two, each used once
         up = on.join(h.where("up IS NOT NULL").select("tree", "node", "up"), ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"))
         on = stage(on.unionByName(up))
-    return on
+    return on.select("tree.tree", "leaf", "node")
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     """One formatted conversation per chosen path: tree, leaf, formatted.
 
     A turn is `<|im_start|>role\\ntext<|im_end|>\\n` with control strings inside roles and texts escaped; turns stand in the
-    order of their place (column `place`), null roles and texts count as empty.
+    order of their place (column `place`), then of node, null roles and texts count as empty. A null tree is a tree of its own;
+    a row that repeats the node before it in that order is left out. Other columns of messages do not matter.
     """
     turn = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"), escape(F.coalesce("text", F.lit(""))), F.lit(END + "\n"))
-    rows = chosen.join(messages.select("tree", "node", "place", turn.alias("turn")), ["tree", "node"])
-    return rows.groupBy("tree", "leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "turn"))), lambda x: x["turn"]), "").alias("formatted"))
+    tree = F.struct("tree").alias("tree")
+    rows = chosen.select(tree, "leaf", "node").join(messages.select(tree, "node", "place", turn.alias("turn")), ["tree", "node"])
+    out = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "node", "turn"))).alias("turns"))
+    new = F.filter("turns", lambda x, i: (i == 0) | (F.get(F.col("turns"), i - 1)["node"] != x["node"]))
+    return out.select("tree.tree", "leaf", F.array_join(F.transform(new, lambda x: x["turn"]), "").alias("formatted"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -97,7 +105,10 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame, id_col: str) -> DataFrame:
-    """Per conversation, read back from the formatted column: turn and loss digests. The loss mask covers assistant texts."""
+    """Per conversation, read back from the formatted column: turn and loss digests. The loss mask covers assistant texts.
+
+    One row per row, null ids and equal conversations included; other columns are left out.
+    """
     out = formatted.withColumn("_ll_turns", read_turns(F.col("formatted")))
     all_ = F.array_join(F.transform("_ll_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("_ll_turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ascii_lower, if_small, stage
+from ledgerloom.llm.common import ascii_lower, dealt, if_small, stage
 
 #: Stripped from both ends of a line to make its key.
 BLANK = " \t\n\x0b\x0c\r"
@@ -47,6 +47,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     applies to the lines of the same key in all of them. A null id never holds a key. Columns n_lines and n_dropped of the
     input are replaced; other columns stay. An empty table gives an empty table.
     """
+    df = dealt(df)
     hot = stage(repeated_lines(df, id_col, text_col, min_chars, min_docs))
     row = [F.col(id_col).alias("_ll_id"), F.xxhash64(text_col).alias("_ll_row")]  # rows with equal ids may differ in text
     lines = df.select(*row, F.posexplode(split_lines(F.col(text_col))).alias("_ll_pos", "_ll_line")).withColumn("_ll_key", line_key(F.col("_ll_line")))
@@ -59,7 +60,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .agg(F.collect_set("_ll_pos").alias("_ll_gone"))
     )
     kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    out = df.select(*kept, *row).join(drops, ["_ll_id", "_ll_row"], "left").withColumn("_ll_lines", split_lines(F.col(text_col)))
+    # few touched documents are broadcast, so that no text is shuffled
+    out = df.select(*kept, *row).join(if_small(stage(drops)), ["_ll_id", "_ll_row"], "left").withColumn("_ll_lines", split_lines(F.col(text_col)))
     out = out.withColumn("n_lines", F.size("_ll_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ll_gone"), F.lit(0)).cast("long"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_ll_lines") - 1), F.col("_ll_gone"))
     text = F.when(F.col("_ll_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_ll_lines", i)), "\n"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stage
+from ledgerloom.llm.common import dealt, stage
 from ledgerloom.llm.tokens import batches, encoder
 
 #: Share of a sequence that the bins of a piece's class may leave empty before the piece is cut at the next reciprocal.
@@ -60,7 +60,7 @@ def tokenized_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, c in enumerate(cols)], schema=arrow)
 
     arrow = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())] * with_ids)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return dealt(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def harmonic_bins(pieces: DataFrame, capacity: int = 1024, pieces_per_worker: int = PIECES_PER_WORKER) -> DataFrame:

@@ -22,7 +22,7 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), run_words=decontam.RUN_WORDS)
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), run_words=decontam.RUN_WORDS, short_items=True)
 
 
 def op3_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +90,19 @@ bs AS (
   FROM (SELECT item_id, w, mask, unnest(range(0, len(w) - length(mask) + 1)) AS p FROM b, m) t),
 h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (mask, k)),
 x AS (
-  SELECT DISTINCT doc_id, item_id, n, i FROM (
+  SELECT DISTINCT doc_id, item_id, n, shift, i FROM (
     SELECT h.doc_id, h.item_id, h.shift, len(b.w) AS n, b.w AS bw, d.w AS dw, unnest(range(0, len(b.w))) AS i
     FROM h JOIN b USING (item_id) JOIN d USING (doc_id)) t
-  WHERE i + shift >= 0 AND i + shift < len(dw) AND bw[i + 1] = dw[i + shift + 1])
-SELECT doc_id, item_id, max(n) AS item_words, count(*) AS matched_words FROM x GROUP BY doc_id, item_id HAVING count(*) >= 0.6 * max(n)
+  WHERE i + shift >= 0 AND i + shift < len(dw) AND bw[i + 1] = dw[i + shift + 1]),
+y AS (SELECT DISTINCT doc_id, item_id, n, shift + unnest([-3, -2, -1, 0, 1, 2, 3]) AS a, i FROM x),
+z AS (SELECT doc_id, item_id, a, max(n) AS n, count(*) AS m FROM y GROUP BY doc_id, item_id, a),
+s AS (
+  SELECT DISTINCT doc_id, item_id, n FROM (
+    SELECT d.doc_id, d.w AS dw, b.item_id, b.w AS bw, len(b.w) AS n, unnest(range(0, len(d.w) - len(b.w) + 1)) AS p
+    FROM d JOIN b ON len(b.w) BETWEEN 4 AND 7 AND len(d.w) >= len(b.w)) t
+  WHERE dw[p + 1 : p + n] = bw)
+SELECT doc_id, item_id, max(n) AS item_words, max(m) AS matched_words FROM z GROUP BY doc_id, item_id HAVING max(m) >= 0.6 * max(n)
+UNION ALL SELECT doc_id, item_id, n, n FROM s
 """
 
 OP5_SQL = """

@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stage
+from ledgerloom.llm.common import hottest, if_small, spread_join, stage
 
 #: Bits of each dimension on the curve; 2 ** BITS quantiles each.
 BITS = 5
 
 
-def order_number(c: Column, dtype: str) -> Column:
-    """A number that keeps the order of a column: of strings the first seven UTF-8 bytes, of all else its value."""
-    if dtype == "string":
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long").cast("double")
-    return c.cast("double")
+def string_places(df: DataFrame, dim: str, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(dim, _ll_place) of every distinct value of a string column: the quantile of its rows, from 0 to 2 ** bits - 1, and (dim, n).
+
+    Values are sorted by range partitions; what goes to the driver is one sum per partition.
+    """
+    counts = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("n"))
+    ranged = stage(counts.repartitionByRange(dim).withColumn("_ll_part", F.spark_partition_id()))
+    before, total = {}, 0
+    for part, n in sorted(map(tuple, ranged.groupBy("_ll_part").agg(F.sum("n")).collect())):
+        before[part] = total
+        total += n
+    starts = df.sparkSession.createDataFrame([*before.items()] or [(0, 0)], "_ll_part int, _ll_before long")
+    so_far = F.sum("n").over(Window.partitionBy("_ll_part").orderBy(dim)) - F.col("n") / 2 + F.col("_ll_before")
+    places = ranged.join(F.broadcast(starts), "_ll_part").select(dim, F.least(F.floor(so_far * 2**bits / max(total, 1)), F.lit(2**bits - 1)).cast("double").alias("_ll_place"))
+    return places, ranged.select(dim, "n")
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -51,19 +61,28 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
 def with_curve(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """df with `curve`: each dimension becomes its quantile among at most 2 ** bits, and these the index on the curve.
 
-    The cut points are percentiles of all rows, a fixed number whatever the input. Nulls take the lowest place.
+    The cut points of numbers are percentiles of all rows, a fixed number whatever the input; a string's place is the quantile
+    of its whole value among those of all rows. Nulls take the lowest place.
     """
-    kinds = dict(df.dtypes)
-    numbers = [order_number(F.col(d), kinds[d]) for d in dims]
+    kinds, own = dict(df.dtypes), df.columns
+    for i, d in enumerate(dims):
+        if kinds[d] == "string":
+            places, counts = string_places(df, d, bits)
+            places = places.withColumnRenamed("_ll_place", f"_ll_d{i}")
+            df = spread_join(df, if_small(places), d, hottest(counts, d), "left")
+        else:
+            df = df.withColumn(f"_ll_d{i}", F.col(d).cast("double"))
     shares = [i / 2**bits for i in range(1, 2**bits)]
-    cuts = [sorted(set(x or [])) for x in df.agg(*(F.percentile_approx(n, shares, 1000).alias(f"_ll_{i}") for i, n in enumerate(numbers))).first()]
+    found = df.agg(*(F.percentile_approx(f"_ll_d{i}", shares, 1000) for i, d in enumerate(dims) if kinds[d] != "string"), F.lit(None)).first()
+    found = iter(found)
+    cuts = [range(1, 2**bits) if kinds[d] == "string" else sorted(set(next(found) or [])) for d in dims]
 
     @F.pandas_udf("long")
     def curve(codes: pd.DataFrame) -> pd.Series:
         points = np.column_stack([np.where(np.isnan(v := codes.iloc[:, i].to_numpy(float)), 0, np.searchsorted(np.asarray(c, float), v, "right")) for i, c in enumerate(cuts)])
         return pd.Series(hilbert_index(points, bits))
 
-    return df.withColumn("curve", curve(F.struct(*(n.alias(f"d{i}") for i, n in enumerate(numbers)))))
+    return df.select(*own, curve(F.struct(*(f"_ll_d{i}" for i in range(len(dims))))).alias("curve"))
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int, tie: list[str], bits: int = BITS) -> DataFrame:

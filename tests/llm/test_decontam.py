@@ -48,3 +48,32 @@ def test_a_long_run_of_a_long_item(spark):
     got = {x["doc_id"]: x["matched_words"] for x in contaminated(df, b, run_words=13).collect()}
     assert got == {0: 34, 1: 200, 2: 13}
     assert {x["doc_id"] for x in decontaminate(df, b, run_words=13).collect()} == {3, 4, 5}
+
+
+def test_short_items_common_words_and_null_ids(spark):
+    item = [f"w{i}" for i in range(40)]
+    text = " ".join(item)
+    # ten places of a long text hold four words of the item each, after a seed of eight: no passage
+    scattered = " ".join(f"{' '.join(item[:8])} {'x ' * (5 * k + 1)} {' '.join(item[4 * k : 4 * k + 4])}" for k in range(10))
+    docs = [(1, f"so they say one two three Four and more"), (2, "one two three x four"), (3, "yes no"), (None, f"a {text} b"), (None, "clean row"), (4, scattered)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, "One two, three four!"), (2, "yes no"), (3, text), (4, "one two three four five six seven")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["matched_words"]) for x in contaminated(df, b, short_items=True).collect()}
+    assert got == {(1, 1, 4), (None, 3, 40)}
+    assert [x["doc_id"] for x in decontaminate(df, b, short_items=True).orderBy("doc_id").collect()] == [2, 3, 4]
+
+
+def test_recall_by_substitution_rate(spark):
+    """At least these shares of items of 12, 20 and 40 words are found when so many of their words are replaced at random."""
+    r = random.Random(11)
+    items = [[f"q{r.randrange(10**5)}" for _ in range(n)] for n in (12, 20, 40) for _ in range(100)]
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rates, docs = (0.05, 0.1, 0.2, 0.3), []
+    for k, rate in enumerate(rates):
+        for i, w in enumerate(items):
+            docs.append((k * 1000 + i, " ".join(["before"] * 9 + [f"z{r.randrange(10**5)}" if r.random() < rate else x for x in w] + ["after"] * 9)))
+    found = {x["doc_id"] for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    recall = {(rate, n): sum(k * 1000 + i in found for i in range(100 * j, 100 * j + 100)) / 100 for k, rate in enumerate(rates) for j, n in enumerate((12, 20, 40))}
+    print(recall)
+    least = {0.05: (0.9, 0.95, 0.98), 0.1: (0.7, 0.9, 0.95), 0.2: (0.35, 0.6, 0.85), 0.3: (0.1, 0.2, 0.4)}
+    assert all(recall[rate, n] >= least[rate][j] for rate in rates for j, n in enumerate((12, 20, 40)))

@@ -142,3 +142,9 @@ def test_written_shards_read_back(spark, tmp_path):
     out = sharding.hilbert_shards(df, ["source", "size"], 4, ["doc_id"])
     sharding.write_shards(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+
+
+def test_strings_with_a_long_common_beginning_keep_apart(spark):
+    rows = [(i, f"https://example.org/{i % 8}", 1.0) for i in range(800)] + [(900, None, 1.0)]
+    out = sharding.with_curve(spark.createDataFrame(rows, "doc_id long, source string, size double"), ["source", "size"]).toPandas()
+    assert len(out) == 801 and out["curve"].nunique() >= 8 and out.groupby("source")["curve"].nunique().max() == 1
