@@ -17,9 +17,9 @@ from ledgerloom.llm.shingles import mix, shingle_set
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42, three in a million.
 BANDS, ROWS = 42, 6
 #: A bucket's members are joined to its head into one group if their signatures agree in so large a share at least; those that
-#: agree in less than the second share also get another head of the same bucket, until none is left. So of two linked members
-#: one is out of a group that holds the other only if the estimates are off by more than 0.1 each.
-GROUP_FLOOR, HEADED = 0.35, 0.65
+#: agree in less than the second share meet another head of the same bucket, HEADS in all. Two linked documents share a dozen
+#: bands or so, and are kept apart only if in each of them one is far from every head.
+GROUP_FLOOR, HEADED, HEADS = 0.35, 0.65, 2
 #: Standard errors below the threshold from which the signatures of two documents rule out a link.
 SIGMAS = 5
 #: Documents of a group, and bytes of their sets, that one task holds against as many others, about.
@@ -171,12 +171,12 @@ def grouped(own: DataFrame) -> DataFrame:
     """Edges (node, head) that join into groups the nodes which share a band and may be linked.
 
     own: node, sig, bands. In each round the least node of a bucket is its head; members that agree with it far enough are
-    done, the others meet the next head. Rounds end when no bucket has two members left, so a bucket of any size is settled
-    without pairing its members with each other.
+    done, the others meet the next head. So a bucket of any size is settled without pairing its members with each other, also
+    one that many unlike documents share because of a common passage.
     """
     sigs = own.select("node", "sig")
     left, out = own.select("node", F.explode("bands").alias("bucket")), sigs.select("node", F.col("node").alias("head")).where("false")
-    while True:
+    for last in [False] * (HEADS - 1) + [True]:
         heads = stage(left.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         if not heads.limit(1).count():
             return out
@@ -187,7 +187,7 @@ def grouped(own: DataFrame) -> DataFrame:
         judged = stage(judged.select("node", "head", signature_agreement("sig", "head_sig").alias("share")))
         out = out.unionByName(judged.where(F.col("share") >= GROUP_FLOOR).select("node", "head"))
         far = judged.where(F.col("share") < HEADED).select("node", "head")
-        if not far.limit(1).count():
+        if last or not far.limit(1).count():
             return out
         left = stage(met.join(far, ["node", "head"], "left_semi").select("node", "bucket"))
 
