@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import oracles as O
 from ledgerloom.functions import ids, money, rects, text
-from ledgerloom.operators import folds, receipt, registry, segment, slip, spatial
+from ledgerloom.operators import folds, receipt, registry, rows, segment, slip, spatial
 from ledgerloom.plans import render
 from ledgerloom.sources import boxes
 from ledgerloom.streaming import jobs
@@ -195,9 +195,7 @@ def account_by_rules(spark: SparkSession, d: str) -> DataFrame:
 def account_user_rules(spark: SparkSession, d: str) -> DataFrame:
     """Ordered keyword rules of a user as a table: the first that the text holds."""
     rules = spark.createDataFrame([(0, "RING", "6022"), (1, "SMALL", "604")], "ordinal int, keyword string, account string")
-    p = render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.upper("p_name").alias("t"))
-    hit = p.join(F.broadcast(rules), F.contains(F.col("t"), F.col("keyword")), "left")  # a user's rules are few
-    return hit.groupBy("k").agg(F.coalesce(F.min_by("account", "ordinal"), F.lit("602")).alias("account"))
+    return rows.keyword_accounts(render.table(spark, d, "part").withColumn("k", F.col("p_partkey")), rules, "k", "p_name", "602")
 
 
 @query(O.with_heads(f"""
@@ -216,17 +214,83 @@ SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'A' THEN 21 ELSE 11 END AS
 def vat_split_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per document and VAT rate."""
     rate = F.when(F.col("l_returnflag") == "A", 21).otherwise(11)
-    g = render.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), rate.alias("rate")).agg(F.sum(F.floor("l_extendedprice").cast("long")).alias("base"))
-    return g.withColumn("vat", F.expr("base * rate div 100"))
+    return rows.by_rate(render.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), rate.alias("rate"), F.floor("l_extendedprice").cast("long").alias("base")))
 
 
 @query("SELECT rate, n, total FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Bon Fiscal' ELSE 'Chitanță' END AS rate, count(*) AS n, sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT AS total FROM orders GROUP BY 1)")
 def legacy_rows(spark: SparkSession, d: str) -> DataFrame:
     """Receipts and slips flattened to one kind of row, then counted by kind."""
-    o = render.table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("t"))
-    receipts = o.where("o_orderkey % 2 = 0").select(F.lit("Bon Fiscal").alias("rate"), "t")
-    slips = o.where("o_orderkey % 2 <> 0").select(F.lit("Chitanță").alias("rate"), "t")
-    return receipts.unionByName(slips).groupBy("rate").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("total"))
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").cast("long").alias("total"))
+    flat = rows.receipt_rows(o.where("doc_id % 2 = 0")).unionByName(rows.slip_rows(o.where("doc_id % 2 <> 0")))
+    return flat.groupBy(F.col("kind").alias("rate")).agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"))
+
+
+@query("""
+SELECT o_orderkey AS doc_id, o_custkey AS upload, kind, row_number() OVER (PARTITION BY o_custkey ORDER BY kind, o_orderkey) AS index
+FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'Chitanță' ELSE 'Bon Fiscal' END AS kind FROM orders)""")
+def reindexed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an upload numbered anew: receipts first, then slips."""
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("upload"))
+    flat = rows.receipt_rows(o.where("doc_id % 3 <> 0")).unionByName(rows.slip_rows(o.where("doc_id % 3 = 0")))
+    return rows.reindexed(flat.join(o, "doc_id")).select("doc_id", "upload", "kind", "index")
+
+
+_BY_RATE_SQL = """
+WITH g AS (
+  SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'A' THEN 21 WHEN l_returnflag = 'N' THEN 11 ELSE 9 END AS rate, sum(CAST(floor(l_extendedprice / 100) AS BIGINT))::BIGINT AS base
+  FROM lineitem GROUP BY 1, 2),
+p AS (SELECT * FROM g WHERE base * rate NOT IN (500, 900, 1100, 1900, 2100))
+"""
+
+
+def _rate_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines that state the VAT of each rate of an order, with the rate's letter, and the orders' totals, every third of which is off."""
+    rate = F.when(F.col("l_returnflag") == "A", 21).when(F.col("l_returnflag") == "N", 11).otherwise(9)
+    g = render.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), rate.alias("rate")).agg(F.sum(F.floor(F.col("l_extendedprice") / 100).cast("long")).alias("base"))
+    vat = F.col("base") * F.col("rate")
+    said = F.concat(F.lit("SUMA TVA "), F.when(F.col("rate") == 21, "A").when(F.col("rate") == 11, "B").otherwise("C"), F.lit(" "), F.col("rate").cast("string"), F.lit("% "), F.expr("string(base * rate div 100)"), F.lit(","), F.lpad(F.expr("string(base * rate % 100)"), 2, "0"))
+    lines = g.select("doc_id", (30 - F.col("rate")).alias("line_no"), said.alias("text"))
+    totals = g.groupBy("doc_id").agg(((F.sum("base") * 100 + F.sum(vat) + F.when(F.col("doc_id") % 3 == 0, 25).otherwise(0)) / 100).alias("total"))
+    return lines, totals
+
+
+@query(_BY_RATE_SQL + "SELECT doc_id, CAST(rate AS DOUBLE) AS rate, base * rate / 100.0 AS amount FROM p")
+def vat_pairs_multi(spark: SparkSession, d: str) -> DataFrame:
+    """Rates with the VAT beside them; an amount that equals a rate is none."""
+    return rows.vat_pairs(_rate_lines(spark, d)[0]).select("doc_id", "rate", "amount")
+
+
+@query(_BY_RATE_SQL + """,
+t AS (SELECT doc_id, (sum(base * 100 + base * rate) + CASE WHEN doc_id % 3 = 0 THEN 25 ELSE 0 END)::BIGINT AS cents FROM g GROUP BY doc_id),
+m AS (SELECT doc_id, string_agg(CAST(rate AS VARCHAR), ', ' ORDER BY rate DESC) AS rates, count(*) AS n_rates, sum(base * rate)::BIGINT AS v, sum(base)::BIGINT AS b FROM p GROUP BY doc_id HAVING count(*) > 1)
+SELECT doc_id, rates, n_rates, v / 100.0 AS vat_total, CAST(b AS DOUBLE) AS base_total, cents / 100.0 AS total, abs(cents - v - b * 100) <= 10 AS verified FROM m JOIN t USING (doc_id)""")
+def vat_multi_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of several rates: bases follow from VAT, and both are held against the total."""
+    lines, totals = _rate_lines(spark, d)
+    return rows.multi_rate(rows.vat_pairs(lines), totals).drop("warning")
+
+
+@query("SELECT p_partkey AS k, p_partkey % 4 IN (0, 3) AS mixed FROM part")
+def mixed_rate_warning(spark: SparkSession, d: str) -> DataFrame:
+    says = F.element_at(F.array(*map(F.lit, ("Restaurant Zori bere", "Pizzeria suc", "Magazin vin rosu", "Cafea si cocktail"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), text.mixed_rates(says).alias("mixed"))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'J' || (s_suppkey % 50 + 1) || '/' || s_suppkey || '/' || (1990 + s_suppkey % 30) END AS number FROM supplier")
+def trade_register_numbers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    number = F.concat(F.lit("Reg. com. j "), (k % 50 + 1).cast("string"), F.lit(" / "), k.cast("string"), F.when(k % 5 == 0, F.lit(" din ")).otherwise(F.lit("/ ")), (k % 30 + 1990).cast("string"), F.lit(", sediu"))
+    return render.table(spark, d, "supplier").select(k.alias("k"), ids.trade_register(number).alias("number"))
+
+
+@query("""
+SELECT k, (CASE WHEN v >= 10 THEN printf('%.0f', v) ELSE printf('%.1f', v) END) || ' ' || u AS shown FROM (
+  SELECT k, CASE WHEN n < 1024 THEN n::DOUBLE WHEN n < 1048576 THEN n / 1024.0 WHEN n < 1073741824 THEN n / 1048576.0 ELSE n / 1073741824.0 END AS v,
+         CASE WHEN n < 1024 THEN 'B' WHEN n < 1048576 THEN 'KB' WHEN n < 1073741824 THEN 'MB' ELSE 'GB' END AS u
+  FROM (SELECT p_partkey AS k, (p_partkey * p_partkey * p_partkey * 8)::BIGINT AS n FROM part) WHERE n < 1000000000000)""")
+def bytes_for_people(spark: SparkSession, d: str) -> DataFrame:
+    p = render.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr("bigint(p_partkey * p_partkey * p_partkey * 8)").alias("n")).where("n < 1000000000000")
+    return p.select("k", text.bytes_text(F.col("n")).alias("shown"))
 
 
 @query(O.with_heads("""SELECT doc_id AS "Nr", CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(vat AS VARCHAR) END AS "TVA", CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(total AS VARCHAR) END AS "Total", CASE WHEN doc_id % 4 = 0 THEN CAST(total AS VARCHAR) ELSE '' END AS "Suma", '' AS "Altele" FROM heads"""))
@@ -234,7 +298,7 @@ def excel_export_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows under a template's headers: fields by their mapping, slips with their sum in a column of its own, unmapped headers blank."""
     h, slip = render.receipt_heads(spark, d), F.col("doc_id") % 4 == 0
     fields = {"nr": F.col("doc_id"), "tva": F.when(slip, "").otherwise(F.col("vat").cast("string")), "total": F.when(slip, "").otherwise(F.col("total").cast("string")), "suma": F.when(slip, F.col("total").cast("string")).otherwise("")}
-    return h.select(*(fields.get(header.lower(), F.lit("")).alias(header) for header in ("Nr", "TVA", "Total", "Suma", "Altele")))
+    return rows.export_rows(h, ["Nr", "TVA", "Total", "Suma", "Altele"], fields)
 
 
 # --- classification --------------------------------------------------------------------------------------------------
