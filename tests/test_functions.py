@@ -22,7 +22,7 @@ def test_company_ids(spark):
     assert column(spark, good + bad, ids.company_id_ok) == [True] * len(good) + [False] * len(bad)
     made = [p + str(d) for p in ("774547", "3462668", "1") for d in range(10)]
     assert sum(column(spark, made, ids.company_id_ok)) <= 3
-    assert column(spark, ["1800101221144", "2", None], ids.personal_id_ok)[1:] == [False, False]
+    assert column(spark, ["1800101221144", "1800101221145", "2", None], ids.personal_id_ok) == [True, False, False, False]
 
 
 def test_repair_and_candidates(spark):
@@ -37,7 +37,7 @@ def test_repair_and_candidates(spark):
 
 def test_amounts_and_rounding(spark):
     lines = ["TOTAL 420,45", "COTA TVA 21,00%", "Suma de 6d7,00", "4,04 X44,74 LITRU 180,75 B", "CUI 12.34", None]
-    assert column(spark, lines, money.amounts) == [[420.45], [], [], [4.04, 180.75], [], None] or column(spark, lines, money.amounts)[:5] == [[420.45], [], [], [4.04, 180.75], []]
+    assert column(spark, lines, money.amounts) == [[420.45], [], [], [4.04, 180.75], [], None]
     assert column(spark, [1.005, 2.675, -1.234], money.ron2, "double") == [1.0, 2.68, -1.23]
     assert column(spark, ["1.234,56", "1,234.56", "1 234.56", "1.000", "12", ""], money.parse_grouped) == [1234.56, 1234.56, 1234.56, 1000.0, 12.0, None]
 
