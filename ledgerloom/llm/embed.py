@@ -22,12 +22,12 @@ BLOCK = 2000
 def pivots(nodes: DataFrame) -> dict:
     """Unit vectors by (label, dimensions): of every label the vectors with the least hashes, about.
 
-    A label of n vectors gets the cube root of n, and no fewer than n / CELL; if all pivots would have more than PIVOT_BYTES,
+    A label of n vectors gets the fourth root of n, and no fewer than n / CELL; if all pivots would have more than PIVOT_BYTES,
     every label gets fewer in proportion, and one that would get fewer than two is one cell. Cells are then larger, and
     results the same.
     """
     sizes = nodes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
-    sizes = stage(sizes.withColumn("want", F.greatest(F.ceil(F.cbrt("n")), F.ceil(F.col("n") / CELL)).cast("double")).where("n > 1"))
+    sizes = stage(sizes.withColumn("want", F.greatest(F.ceil(F.pow("n", F.lit(0.25))), F.ceil(F.col("n") / CELL)).cast("double")).where("n > 1"))
     held = sizes.agg(F.sum(F.col("want") * F.col("dims") * 8)).first()[0] or 0
     share = (F.col("want") * min(1.0, PIVOT_BYTES / max(held, 1.0))).alias("get")
     sizes = sizes.select("label", "dims", "n", share).where("get >= 2")
