@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -541,7 +538,7 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = jobs.scratch(spark)
     jobs.run_to_end(stream, f"{folder}/out", f"{folder}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -557,9 +554,9 @@ def stream_metric_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly windows of a metrics stream, in complete mode."""
     schema = render.table(spark, d, "events").schema
     out = jobs.metric_windows(jobs.read_files(spark, schema, f"{d}/events.parque*"))
-    name = f"windows_{uuid.uuid4().hex}"
-    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "cents")
+    folder = jobs.scratch(spark)
+    jobs.keep_latest(out, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "cents")
 
 
 # --- more fields and page geometry -----------------------------------------------------------------------------------

@@ -27,8 +27,9 @@ def words(lines: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def best_readings(readings: DataFrame, key: str, score: str, k: int = 4) -> DataFrame:
-    """The k likeliest readings of each observation."""
-    return readings.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score)))).where(F.col("_r") <= k).drop("_r")
+    """The k likeliest readings of each observation; of equally likely ones those that come first by their other columns."""
+    ties = [c for c in readings.columns if c not in (key, score)]
+    return readings.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), *ties))).where(F.col("_r") <= k).drop("_r")
 
 
 def response(columns: list[str]) -> Column:
