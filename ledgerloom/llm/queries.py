@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontam, embed, html, lines, near, packing, records, sharding, toxic
+from ledgerloom.llm import centroids, chat, decontam, embed, html, licenses, lines, near, packing, phrases, records, sharding, toxic
 from ledgerloom.llm.common import table
 
 
@@ -78,6 +78,18 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), longest=3, min_count=10, held_percent=50, top=2000)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.template_table(spark))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), dims=64, scale=64, k=16, rounds=3, seed=1)
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -157,5 +169,77 @@ SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(d.doc_id, coalesce(m
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op5_metric_range_join, op6_html_main_text, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup, op10_compression_toxicity)}
-ORACLES = {"op2_spaced_seed_decontamination": OP2_SQL, "op5_metric_range_join": OP5_SQL, "op7_reply_tree_chat": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
+OP11_SQL = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t) u),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3)) s(m)) u),
+c AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY lang, m, phrase HAVING count(*) >= 10),
+k AS (
+  SELECT lang, phrase, m, n AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c WHERE m > 1) u),
+s AS (
+  SELECT k.*, x.n AS l, y.n AS r, ((1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM k JOIN c x ON x.lang = k.lang AND x.phrase = k.x JOIN c y ON y.lang = k.lang AND y.phrase = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (
+  SELECT lang, phrase, max(n) AS n FROM (SELECT lang, n, unnest([array_to_string(string_split(phrase, ' ')[1 : 2], ' '), array_to_string(string_split(phrase, ' ')[2 : 3], ' ')]) AS phrase FROM c WHERE m = 3) u GROUP BY lang, phrase),
+f AS (
+  SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase COLLATE "binary") AS rank
+  FROM b LEFT JOIN h USING (lang, phrase) WHERE h.n IS NULL OR 100 * h.n < 50 * b.a)
+SELECT f.lang, f.rank, f.phrase, f.a, f.l, f.r, n.n, f.score FROM f JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def _op12_sql() -> str:
+    """The scan as SQL over the same wording of licenses."""
+    rows = lambda table: ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in table)
+    split = lambda c: f"list_filter(regexp_split_to_array(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    k, drift, share = licenses.K, licenses.DRIFT, licenses.MIN_SHARE
+    return f"""
+WITH d AS (SELECT doc_id, {split("text")} AS w FROM documents),
+t AS (SELECT i, label, {split("text")} AS w FROM (VALUES {rows((i, *x) for i, x in enumerate(licenses.TEMPLATES))}) v(i, label, text)),
+tg AS (SELECT i, p, w[p : p + {k - 1}] AS g FROM (SELECT i, w, unnest(range(1, len(w) - {k - 2})) AS p FROM t) u),
+dg AS (SELECT doc_id, p, w[p : p + {k - 1}] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS p FROM d) u),
+h AS (SELECT doc_id, i, dg.p - tg.p AS dia, min(tg.p) AS a, max(tg.p) + {k - 1} AS b FROM dg JOIN tg USING (g) GROUP BY doc_id, i, dia),
+r AS (SELECT *, sum(br) OVER (PARTITION BY doc_id, i ORDER BY dia) AS place FROM (SELECT *, CASE WHEN dia - lag(dia) OVER (PARTITION BY doc_id, i ORDER BY dia) > {drift} THEN 1 ELSE 0 END AS br FROM h) u),
+m AS (
+  SELECT doc_id, i, label, place, count(DISTINCT p) / any_value(n)::DOUBLE AS share
+  FROM (SELECT r.doc_id, r.i, label, place, dia, len(t.w) AS n, d.w AS dw, t.w AS tw, unnest(range(r.a, r.b + 1)) AS p FROM r JOIN t USING (i) JOIN d USING (doc_id)) u
+  WHERE dw[p + dia] = tw[p] GROUP BY doc_id, i, label, place),
+v AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS score FROM m WHERE share >= {share} GROUP BY doc_id),
+ph AS (SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {rows(licenses.PHRASES)}) v(phrase, label)),
+b AS (
+  SELECT doc_id, count(*) AS n_base, min(p) - 1 AS first_word, max(p) - 1 AS last_word, list(DISTINCT label) AS base
+  FROM (SELECT doc_id, w, pw, label, unnest(range(1, len(w) - len(pw) + 2)) AS p FROM d, ph) u WHERE w[p : p + len(pw) - 1] = pw GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN v USING (doc_id)
+"""
+
+
+def _op13_sql(k: int = 16, dims: int = 64, rounds: int = 3) -> str:
+    """Rounds written one after the other, a row for each component."""
+    parts = [f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {dims}),
+v AS (SELECT vec_id, unnest(range({dims})) AS i, unnest(list_transform(x, lambda y: floor(64 * y)::BIGINT)) AS q FROM e),
+o AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM e QUALIFY c < {k}),
+c0 AS (SELECT c, i, q FROM o JOIN v USING (vec_id))"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+a{n} AS (
+  SELECT vec_id, c, d FROM (SELECT vec_id, c, sum((v.q - z.q) * (v.q - z.q))::BIGINT AS d FROM v JOIN c{n} z USING (i) GROUP BY vec_id, c) u
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if n < rounds:
+            parts.append(f"""
+c{n + 1} AS (
+  SELECT z.c, z.i, coalesce((s - ((s % n) + n) % n) // n, z.q)::BIGINT AS q
+  FROM c{n} z LEFT JOIN (SELECT c, i, sum(q) AS s, count(*) AS n FROM a{n} JOIN v USING (vec_id) GROUP BY c, i) m USING (c, i))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN (SELECT c, sha256(string_agg(q::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_spaced_seed_decontamination, op3_binary_records, op4_hilbert_sharding, op5_metric_range_join, op6_html_main_text, op7_reply_tree_chat, op8_line_dedup, op9_minhash_near_dedup, op10_compression_toxicity, op11_phrase_collocations, op12_license_scan, op13_centroid_clustering)}
+ORACLES = {"op2_spaced_seed_decontamination": OP2_SQL, "op5_metric_range_join": OP5_SQL, "op7_reply_tree_chat": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_phrase_collocations": OP11_SQL, "op12_license_scan": _op12_sql(), "op13_centroid_clustering": _op13_sql()}
