@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import oracles as O
 from ledgerloom.functions import ids, money, rects, text
-from ledgerloom.operators import folds, receipt, registry, rows, segment, slip, spatial
+from ledgerloom.operators import arbitration, folds, receipt, registry, rows, segment, slip, spatial
 from ledgerloom.plans import render
 from ledgerloom.sources import boxes
 from ledgerloom.streaming import jobs
@@ -52,7 +52,51 @@ def receipt_header_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.with_heads(f"SELECT doc_id, total / 100.0 AS total, vat / 100.0 AS vat, CAST(rate AS DOUBLE) AS rate, vat NOT IN {_NO_AMOUNT} AS verified, 'ocr' AS total_source FROM heads"))
 def full_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return receipt.read_receipts(render.receipt_lines(spark, d)).select("doc_id", "total", "vat", "rate", "verified", "total_source")
+    return arbitration.read_receipts(render.receipt_lines(spark, d)).select("doc_id", "total", "vat", "rate", "verified", "total_source")
+
+
+# ten kinds of receipt whose lines leave each rule of the arbitration its case; amounts come from the order's price
+_ARBITRATED = """
+WITH o AS (
+  SELECT o_orderkey AS doc_id, (o_orderkey // 4 + o_orderkey) % 10 AS k, o_orderkey AS key, CAST(o_orderdate + INTERVAL 28 YEAR AS DATE) AS date, 100000 + CAST(floor(o_totalprice) AS BIGINT) % 400000 AS t FROM orders),
+p AS (SELECT *, CASE WHEN date < DATE '2025-08-01' THEN 19 ELSE 21 END AS r, CASE WHEN date < DATE '2025-08-01' THEN 9 ELSE 11 END AS r2, (40 + key % 100) * (700 + key % 90) AS f FROM o),
+v AS (SELECT *, (2 * t * r + 100 + r) // (2 * (100 + r)) AS v, t // 300 AS m1, t // 700 + 1 AS m2, (2 * f * r + 100 + r) // (2 * (100 + r)) AS fv FROM p),
+w AS (SELECT *, CASE k WHEN 6 THEN (100 + r) * m1 + (100 + r2) * m2 + CASE WHEN key % 2 = 1 THEN 500 ELSE 0 END WHEN 7 THEN f WHEN 9 THEN NULL ELSE t END AS total FROM v)
+SELECT doc_id, CAST(total AS BIGINT) / 100.0 AS total, CAST(CASE k WHEN 6 THEN r * m1 + r2 * m2 WHEN 7 THEN fv WHEN 9 THEN NULL ELSE v END AS BIGINT) / 100.0 AS vat,
+  CASE WHEN k = 6 THEN key % 2 = 0 ELSE k NOT IN (5, 8, 9) END AS verified,
+  CASE WHEN k IN (1, 2, 5, 7) THEN 'derivat_din_articole' WHEN k IN (3, 4) THEN 'derivat_din_tva' WHEN k = 9 THEN 'lipsa' ELSE 'ocr' END AS total_source,
+  CASE k WHEN 6 THEN 2 WHEN 9 THEN 0 ELSE 1 END AS n_rates,
+  CASE k WHEN 1 THEN 'total rebuilt from items' WHEN 3 THEN 'total by the VAT: a product line' WHEN 4 THEN 'total by the VAT: a printed amount'
+    WHEN 5 THEN 'rate not read: VAT by the usual one; VAT computed from the total: none was read'
+    WHEN 6 THEN CASE WHEN key % 2 = 1 THEN 'total differs from bases and VAT of several rates' ELSE '' END
+    WHEN 7 THEN 'rate not read: VAT by the usual one; VAT computed from the total: none was read; total by litres and price'
+    WHEN 8 THEN 'VAT recomputed from the total: the read one disagrees' WHEN 9 THEN 'no rate: VAT not computed; total not read' ELSE '' END AS warnings
+FROM w"""
+
+
+@query(_ARBITRATED)
+def receipt_arbitration(spark: SparkSession, d: str) -> DataFrame:
+    """A total with the rule that chose it and its warnings, of receipts that each lack or misprint something else."""
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("(o_orderkey div 4 + o_orderkey) % 10").alias("k"), F.add_months(F.col("o_orderdate").cast("date"), 12 * render.YEARS).alias("date"), F.expr("100000 + cast(floor(o_totalprice) as bigint) % 400000").alias("t"))
+    old = F.col("date") < F.lit("2025-08-01").cast("date")
+    o = o.withColumn("r", F.when(old, 19).otherwise(21)).withColumn("r2", F.when(old, 9).otherwise(11))
+    o = o.withColumns({"v": F.expr("(2 * t * r + 100 + r) div (2 * (100 + r))"), "m1": F.expr("t div 300"), "m2": F.expr("t div 700 + 1"), "l": F.expr("40 + doc_id % 100"), "p": F.expr("700 + doc_id % 90")})
+    o = o.withColumn("s", F.expr("(100 + r) * m1 + (100 + r2) * m2 + doc_id % 2 * 500"))
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    m = lambda e: render.money(F.expr(e))
+    vat = lambda e: say("TOTAL TVA A ", F.col("r"), ",00% ", m(e))
+    total = lambda e: say("TOTAL ", m(e))
+    product, items = say("MARFA BUC ", m("t"), " G"), (say("PAINE X1 ", m("t div 3"), " A"), say("LAPTE X1 ", m("t - t div 3"), " A"))
+    several = (total("s"), say("TVA A ", F.col("r"), ",00% ", m("r * m1")), say("TVA B ", F.col("r2"), ",00% ", m("r2 * m2")))
+    fuel = say("MOTORINA ", F.col("l"), ".00 X ", m("p"), " L ", m("l * p"), " B")
+    kinds = [(total("t"), vat("v")), (*items, vat("v")), (product, vat("v")), (product, total("t + 800"), vat("v")), (total("t + 800"), vat("v"), say("CARD ", m("t"))), (*items, total("t div 4")), several, (fuel, total("l * p + 300")), (total("t"), vat("v + 150")), ()]
+    body = F.array().cast("array<string>")
+    for k, said in enumerate(kinds):
+        body = F.when(F.col("k") == k, F.array(*said)).otherwise(body) if said else body
+    said = F.concat(F.array(F.lit("MAGAZIN SRL"), F.lit("COD FISCAL: RO7745478"), F.concat(F.lit("DATA: "), F.date_format("date", "dd.MM.yyyy"))), body)
+    lines = o.select("doc_id", F.posexplode(said).alias("line_no", "text"))
+    out = arbitration.read_receipts(lines)
+    return out.select("doc_id", "total", "vat", "verified", "total_source", F.size("vat_lines").alias("n_rates"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query(f"""

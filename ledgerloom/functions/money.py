@@ -85,6 +85,18 @@ def reconcile(total: Column, vat: Column, rate: Column, printed: Column) -> Colu
     )
 
 
+def reconcile_warning(total: Column, vat: Column, rate: Column, printed: Column) -> Column:
+    """What `reconcile` changed, in words; null if nothing, or if a total came from the VAT alone."""
+    implied = ron2(vat * (100 + rate) / rate)
+    match = F.get(F.filter(F.coalesce(printed, F.array().cast("array<double>")), lambda p: F.abs(p - implied) <= 0.06), F.lit(0))
+    return (
+        F.when(total.isNull() | consistent(total, vat, rate), F.lit(None).cast("string"))
+        .when(match.isNotNull() & (F.abs(total - match) > 0.06), "total corrected by the VAT: a printed amount")
+        .when(vat.isNotNull() & match.isNull(), "VAT recomputed from the total: the read one disagrees")
+        .when(vat.isNull(), "VAT computed from the total: none was read")
+    )
+
+
 def ledger_entries(total: Column, vat: Column, account: Column, cash: Column) -> Column:
     """Entries (debit, credit, amount): base, deductible VAT if any, payment; none without a positive total."""
     v = ron2(F.least(F.greatest(F.coalesce(vat, F.lit(0.0)), F.lit(0.0)), total))

@@ -91,16 +91,6 @@ def receipt_fields(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", "header", "read_id", "date", "number", cash.alias("payment"), text.first_rule(F.col("whole")).alias("account"))
 
 
-def read_receipts(lines: DataFrame) -> DataFrame:
-    """All fields of each document, total and VAT reconciled with each other and with what is printed."""
-    printed = lines.select("doc_id", "line_no", money.amounts(F.col("text")).alias("a")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "a"))), lambda x: x["a"])).alias("printed"))
-    vat = vat_lines(lines).groupBy("doc_id").agg(F.min(F.struct("line_no", "rate", "amount")).alias("v"))
-    out = receipt_fields(lines).join(receipt_totals(lines), "doc_id", "left").join(item_totals(lines), "doc_id", "left").join(printed, "doc_id", "left").join(vat, "doc_id", "left")
-    rate = F.coalesce(F.col("v.rate"), F.get(money.rates_at(F.col("date").try_cast("date")), F.lit(0)))
-    out = out.withColumn("rate", rate).withColumn("r", money.reconcile(F.coalesce("total", "item_total"), F.col("v.amount"), F.col("rate"), F.col("printed")))
-    return out.drop("total", "v", "printed").select("*", "r.total", "r.vat", "r.verified", F.col("r.source").alias("total_source")).drop("r")
-
-
 def confidence(id_ok: Column, verified: Column, date: Column, total: Column, number: Column, warnings: Column) -> Column:
     yes = lambda c, w: F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
     c = 0.35 + yes(id_ok, 0.15) + yes(verified, 0.20) + yes(date.isNotNull(), 0.10) + yes(total.isNotNull(), 0.10) + yes(number.isNotNull(), 0.05) - 0.04 * warnings
@@ -122,22 +112,29 @@ NO_NAME = r"(?i)BON\s*FISCAL|TOTAL|TVA|CARD|CASH|NUMERAR|SUBTOTAL|DATA|ORA|CASIE
 TIME = r"\b(\d{1,2})[:.\-](\d{2})(?:[:.\-](\d{2}))?\b"
 
 
-def fuel(lines: DataFrame) -> DataFrame:
-    """doc_id, liters, price, product of documents with a fuel line: of two numbers the one that can be a price per litre only is the price."""
+def fuel_columns() -> dict[str, Column]:
+    """fuel_name, fuel_pair (liters, price) and fuel_line of a line: of two numbers the one that can be a price per litre only is the price."""
     number = lambda i: F.replace(F.nullif(F.regexp_extract(F.upper("text"), FUEL_PAIR, i), F.lit("")), F.lit(","), F.lit(".")).cast("double")
-    product = F.min(F.when(_is(FUEL), F.struct("line_no", F.trim(F.regexp_extract("text", FUEL, 0)).alias("v")))).over(Window.partitionBy("doc_id"))["v"]
-    rows = lines.select("doc_id", "line_no", "text", number(1).alias("a"), number(2).alias("b"), product.alias("product"))
-    is_price, is_litres = (lambda c: F.col(c).between(2, 25)), (lambda c: F.col(c).between(0.5, 250))
-    pair = lambda l, p: F.struct(F.col(l).alias("liters"), F.col(p).alias("price"))
+    a, b = number(1), number(2)
+    is_price, is_litres = (lambda c: c.between(2, 25)), (lambda c: c.between(0.5, 250))
+    pair = lambda l, p: F.struct(l.alias("liters"), p.alias("price"))
     read = (
-        F.when(is_price("a") & is_litres("b") & ~is_price("b"), pair("b", "a"))
-        .when(is_price("b") & is_litres("a") & ~is_price("a"), pair("a", "b"))
-        .when(is_price("a") & is_litres("b"), pair("b", "a"))
-        .when(is_price("b") & is_litres("a"), pair("a", "b"))
+        F.when(is_price(a) & is_litres(b) & ~is_price(b), pair(b, a))
+        .when(is_price(b) & is_litres(a) & ~is_price(a), pair(a, b))
+        .when(is_price(a) & is_litres(b), pair(b, a))
+        .when(is_price(b) & is_litres(a), pair(a, b))
     )
-    ok = (F.col("product").isNotNull() | _is(FUEL_LINE, F.upper("text"))) & (F.col("a") * F.col("b") <= 50_000)
-    rows = rows.withColumn("p", F.when(ok, read)).withColumn("first", F.min(F.when(F.col("p").isNotNull(), F.struct("line_no", "p"))).over(Window.partitionBy("doc_id")))
-    return rows.groupBy("doc_id").agg(F.first("first.p.liters").alias("liters"), F.first("first.p.price").alias("price"), F.first("product").alias("product")).where("liters IS NOT NULL OR product IS NOT NULL")
+    name = F.when(_is(FUEL), F.trim(F.regexp_extract("text", FUEL, 0)))
+    # most lines have no pair: one look tells
+    return {"fuel_name": name, "fuel_pair": F.when(_is(FUEL_PAIR, F.upper("text")) & (a * b <= 50_000), read), "fuel_line": _is(FUEL_LINE, F.upper("text"))}
+
+
+def fuel(lines: DataFrame) -> DataFrame:
+    """doc_id, liters, price, product of documents with a fuel line: a pair counts on a line of fuel, or anywhere once a product is named."""
+    rows = lines.select("doc_id", "line_no", "text").withColumns(fuel_columns())
+    out = rows.groupBy("doc_id").agg(_first(F.col("fuel_pair")).alias("any"), _first(F.when(F.col("fuel_line"), F.col("fuel_pair"))).alias("on_line"), _first(F.col("fuel_name")).alias("product"))
+    p = F.when(F.col("product").isNotNull(), F.col("any")).otherwise(F.col("on_line"))
+    return out.select("doc_id", p["liters"].alias("liters"), p["price"].alias("price"), "product").where("liters IS NOT NULL OR product IS NOT NULL")
 
 
 def merchants(lines: DataFrame) -> DataFrame:
