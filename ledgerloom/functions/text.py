@@ -114,9 +114,16 @@ def _zero_for_eight(v: Column, low: int, high: int) -> Column:
 def receipt_date(line: Column) -> Column:
     """ISO date of a line, with single 8s of thermal print read as 0; days are checked for 1 to 31 only, null if none is there."""
     pattern = r"\b(\d{1,2})[./-](\d{1,2})[./-](2[08]\d{2})\b"
-    d, m, y = (F.regexp_extract(line, pattern, i).try_cast("int") for i in (1, 2, 3))
-    d, m, y = _zero_for_eight(d, 1, 31), _zero_for_eight(m, 1, 12), _zero_for_eight(y, 2000, 2099)
-    return F.when(d.isNotNull() & m.isNotNull() & y.isNotNull(), F.format_string("%04d-%02d-%02d", y, m, d))
+    # each step is bound once: most lines have no date and cost one look
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    ranges = ((1, 31), (1, 12), (2000, 2099))
+
+    def written(parts: Column) -> Column:
+        d, m, y = (F.get(parts, F.lit(i)) for i in range(3))
+        return F.when(d.isNotNull() & m.isNotNull() & y.isNotNull(), F.format_string("%04d-%02d-%02d", y, m, d))
+
+    read = bind(F.regexp_extract(line, pattern, 0), lambda s: bind(F.split(s, "[./-]"), lambda p: bind(F.array(*(_zero_for_eight(F.get(p, F.lit(i)).try_cast("int"), *r) for i, r in enumerate(ranges))), written)))
+    return F.when(F.rlike(line, F.lit(pattern)), read)
 
 
 def html_escape(c: Column) -> Column:
