@@ -521,6 +521,35 @@ def segment_plate(spark: SparkSession, d: str) -> DataFrame:
     return segment.segment(b, "plate").groupBy("plate", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+WITH o AS (SELECT o_orderkey AS plate, o_orderkey % 5 AS kind FROM orders)
+SELECT plate, c AS cluster, n FROM o, (VALUES (0, 0, 15), (0, 1, 15), (1, 0, 33), (1, 1, 33), (2, 0, 15), (2, 1, 15), (3, 0, 19), (4, 0, 18)) v(k, c, n) WHERE k = kind""")
+def segment_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Real words on plates of five kinds: two short receipts above each other and two long ones, parted by their headers; two side
+    by side without a gap; a receipt whose sums stand far right; a slip that names two companies."""
+    key = F.col("o_orderkey")
+    ro = lambda n: F.concat(F.lit("RO"), render.company_id(key + n))
+
+    def words(x: float, y: float, lines, step: float = 55, w: float = 50):
+        return [F.struct((F.lit(t) if isinstance(t, str) else t).alias("text"), F.lit(x + step * i).alias("x"), F.lit(y + 16.0 * n).alias("y"), F.lit(w).alias("w"), F.lit(12.0).alias("h")) for n, line in enumerate(lines) for i, t in enumerate(line)]
+
+    def printed(n: int, items: int = 2):
+        return [["MAGAZIN", "UNU", "SRL"], ["COD", "FISCAL", ro(n)], *([["paine", f"{i + 2},00", "A"] for i in range(items)]), ["lei", "5,00", "TOTAL"]]
+
+    kinds = [
+        words(0, 0, printed(0)) + words(0, 88, printed(1)),
+        words(0, 0, printed(0, 8)) + words(0, 184, printed(1, 8)),
+        words(0, 0, printed(0), 72, 70) + words(219, 0, printed(1), 72, 70),
+        words(0, 0, printed(0)) + words(360, 32, [["TOTAL", "5,00"], ["TVA", "0,87"]]),
+        words(0, 0, [["CHITANTA", "Seria", "NUMAR", "12"], ["furnizor", "CUI", ro(0), "oras"], ["am", "primit", "de", "la", "firma"], ["CUI", ro(1), "suma", "de", "344,77"]]),
+    ]
+    boxes_ = F.array(*kinds[0])
+    for k, said in enumerate(kinds[1:], 1):
+        boxes_ = F.when(key % 5 == k, F.array(*said)).otherwise(boxes_)
+    o = render.table(spark, d, "orders").select(key.alias("plate"), F.posexplode(boxes_).alias("box_id", "b")).select("plate", "box_id", "b.*")
+    return segment.segment(o, "plate").groupBy("plate", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- slips and repeats -----------------------------------------------------------------------------------------------
 
 
