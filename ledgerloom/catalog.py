@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import oracles as O
 from ledgerloom.functions import ids, money, rects, text
-from ledgerloom.operators import arbitration, folds, receipt, registry, rows, segment, slip, spatial
+from ledgerloom.operators import arbitration, folds, receipt, registry, rows, segment, slip, slip_reader, spatial
 from ledgerloom.plans import render
 from ledgerloom.sources import boxes
 from ledgerloom.streaming import jobs
@@ -687,6 +687,70 @@ def slip_entries(spark: SparkSession, d: str) -> DataFrame:
     return render.table(spark, d, "orders").select(k.alias("k"), slip.slip_entry(F.col("o_totalprice"), way).alias("e")).select("k", "e.*")
 
 
+_SAID = """
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 8 AS k, 100 + o_orderkey % 900 AS n, CAST(floor(o_totalprice) AS BIGINT) % 90 + 10 AS b, 10 * (10 + o_orderkey % 90) AS q FROM orders),
+p AS (SELECT *, n + b / 100.0 AS a FROM o),
+c AS (SELECT *, CASE WHEN k = 4 THEN n + 0.5 WHEN k = 5 THEN q + 0.5 WHEN k = 6 THEN NULL ELSE a END AS digits, CASE WHEN k IN (0, 1) THEN a WHEN k = 5 THEN q + 0.5 WHEN k = 7 THEN a + 3 END AS words FROM p)
+SELECT doc_id, CAST(digits AS DOUBLE) AS digits, CAST(words AS DOUBLE) AS words, CAST(CASE WHEN k = 7 THEN words ELSE digits END AS DOUBLE) AS amount, k IN (0, 1, 5) AS confirmed,
+  CASE k WHEN 2 THEN 'sum in words not read' WHEN 3 THEN 'sum in words not read' WHEN 4 THEN 'letters of the sum were repaired; sum in words not read'
+    WHEN 5 THEN 'ambiguous letters of the sum settled by the words' WHEN 6 THEN 'ambiguous letters of the sum were not guessed; sum not read'
+    WHEN 7 THEN 'digits and words differ: the words count' ELSE '' END AS warnings
+FROM c"""
+
+
+def _readings(o: DataFrame, *said) -> DataFrame:
+    """doc_id, reading, line_no, text of (reading, line, condition)."""
+    rows = F.array_compact(F.array(*(F.when(there, F.struct(F.lit(r).alias("reading"), F.lit(i).alias("line_no"), line.alias("text"))) for i, (r, line, there) in enumerate(said))))
+    return o.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+@query(_SAID)
+def slip_amount_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Sums that readings confirm, that words settle, that stand without a separator, under letters, or on the line below."""
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 8).alias("k"), (100 + F.col("o_orderkey") % 900).alias("n"), F.expr("cast(floor(o_totalprice) as bigint) % 90 + 10").alias("b"), (10 + F.col("o_orderkey") % 90).alias("q"))
+    k, n, b, q = (F.col(c) for c in "knbq")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    words = lambda n_, b_: F.concat(F.lit("adica "), slip.sum_to_words(n_, b_), F.lit(" reprezentand marfa"))
+    lines = _readings(
+        o,
+        ("text", say("Suma de ", n, ",", b, " lei"), k.isin(0, 2)), ("text", words(n, b), k == 0),
+        ("digits", say("Suma de ", n + 700, ",", b), k == 1), ("text", say("Sumă de ", n, ".", b), k == 1), ("text", words(n, b), k == 1),
+        ("focused", say("SUMA: ", n + 50, ",", b), k == 2), ("focused", say("SUMA DE ", n, ",", b), k == 2),
+        ("focused", say("Suma de ", n, b), k == 3),
+        ("digits", say("Suma ", n, ",5O"), k == 4),
+        ("digits", say("Suma de ", q, "D,50"), k.isin(5, 6)), ("text", words(q * 10, F.lit(50)), k == 5),
+        ("text", F.lit("Suma"), k == 7), ("text", say(n, ",", b), k == 7), ("text", words(n + 3, b), k == 7),
+    )
+    return slip_reader.read_sums(lines).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey AS k, {O.company_id_sql("o_orderkey")} AS own, {O.company_id_sql("(o_orderkey + 1)")} AS other, CAST(o_orderdate AS DATE) + INTERVAL 28 YEAR AS date FROM orders)
+SELECT doc_id, CASE k % 3 WHEN 0 THEN 'FIRMA UNU' WHEN 1 THEN 'DOI ALIMENTE SRL' END AS issuer, own AS issuer_id, CASE WHEN k % 4 = 3 THEN 'CLIENT MARE SA' ELSE 'CLIENT TREI SRL' END AS payer,
+  CASE k % 5 WHEN 4 THEN NULL WHEN 1 THEN '00' || other ELSE other END AS payer_id, CASE WHEN k % 5 = 4 THEN '1960517221146' END AS payer_person, true AS payer_ok, strftime(date, '%Y-%m-%d') AS date, 'MARFA' AS subject
+FROM o""")
+def slip_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Issuer, payer, their ids, date and subject: behind labels, on the line below, repaired, and by the user's own id."""
+    k = F.col("o_orderkey")
+    other = render.company_id(k + 1)
+    wrong = F.concat(F.substring(other, 1, 7), ((F.substring(other, 8, 1).cast("int") + 1) % 10).cast("string"))
+    o = render.table(spark, d, "orders").withColumns({"doc_id": k, "own": render.company_id(k), "other": other, "wrong": wrong, "date": F.add_months(F.col("o_orderdate").cast("date"), 12 * render.YEARS)})
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    day = lambda f: F.date_format("date", f)
+    always = F.lit(True)
+    lines = _readings(
+        o,
+        ("text", F.lit("Furnizor: Firma Unu CUI 12"), k % 3 == 0), ("text", F.lit("Chitanță SRL"), k % 3 == 1), ("text", F.lit("DOI ALIMENTE SRL"), k % 3 == 1),
+        ("digits", say("COD FISCAL: RO", F.col("own")), always),
+        ("text", say("Data: ", F.translate(day("dd.MM.yyyy"), "0", "O")), k % 2 == 0), ("digits", say("din ", day("yyyy-MM-dd")), k % 2 == 1), ("text", F.lit("c/v factura din 01.02.2003"), always),
+        ("text", F.lit("Am primit de la Client Trei SRL CUI"), k % 4 != 3), ("text", F.lit("Am primit de la ."), k % 4 == 3), ("text", F.lit("Client Mare SA"), k % 4 == 3),
+        ("digits", F.lit("Am primit de la"), always),
+        ("digits", say("CUI: RO", F.col("other")), k % 5 == 0), ("digits", say("CUI: RO000", F.col("other")), k % 5 == 1), ("digits", say("CIF ", F.translate("other", "0158", "OISB")), k % 5 == 2), ("digits", say("CUI ", F.col("wrong")), k % 5 == 3), ("digits", F.lit("CNP 1960517221146"), k % 5 == 4),
+        ("text", F.lit("Reprezentând marfa Casier X"), always),
+    )
+    return slip_reader.read_fields(lines, render.company_id(F.col("doc_id") + 1)).withColumns({"issuer": F.trim("issuer"), "payer": F.trim("payer"), "subject": F.trim("subject")})
+
+
 # --- smaller rules and sinks -----------------------------------------------------------------------------------------
 
 
