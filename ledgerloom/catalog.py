@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom import oracles as O
 from ledgerloom.functions import ids, money, rects, text
-from ledgerloom.operators import arbitration, folds, receipt, registry, rows, segment, slip, slip_reader, spatial
+from ledgerloom.operators import arbitration, folds, orientation, receipt, registry, rows, segment, slip, slip_reader, spatial
 from ledgerloom.plans import render
 from ledgerloom.sources import boxes
-from ledgerloom.streaming import jobs
+from ledgerloom.streaming import jobs, state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -550,6 +550,53 @@ def segment_documents(spark: SparkSession, d: str) -> DataFrame:
     return segment.segment(o, "plate").groupBy("plate", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+WITH p AS (SELECT o_orderkey AS page, o_orderkey % 4 AS kind, 12 + o_orderkey % 7 AS n FROM orders)
+SELECT page, turns, CAST(CASE WHEN kind = 3 THEN 5 ELSE n END AS BIGINT) AS n_words, CAST(CASE WHEN kind = 3 THEN 800 ELSE 160 END AS DOUBLE) AS w
+FROM p, (VALUES (0, 0), (1, 1), (2, 0), (2, 1), (3, 2)) v(k, turns) WHERE k = kind""")
+def orientation_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that read best upright, turned once, half of each, and hardly at all."""
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 4).alias("kind"), (12 + F.col("o_orderkey") % 7).alias("n"))
+    kind, n = F.col("kind"), F.col("n")
+    # turn, number of words, length of a word, left edge: a document in its turn, and what the wrong turn makes of it
+    shown = lambda turns, words, text, left, there: F.when(there, F.struct(F.lit(turns).alias("turns"), words.cast("long").alias("words"), F.lit(text).alias("text"), F.lit(left).alias("left")))
+    none = F.lit(5)
+    all_ = F.array_compact(F.array(
+        shown(0, n, "cuvinte", 0.0, kind.isin(0, 2)), shown(1, n, "cuvinte", 600.0, kind.isin(1, 2)), shown(1, none, "l", 0.0, kind == 0), shown(0, none, "l", 600.0, kind == 1),
+        shown(2, none, "abc", 0.0, kind == 3), shown(3, none, "ab", 0.0, kind == 3),
+    ))
+    w = o.select("page", F.posexplode(all_).alias("part", "s")).select("page", "part", "s.*").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("i"))
+    words = w.select("page", F.col("turns").cast("long").alias("turns"), (F.col("part") * 1000 + F.col("i")).alias("box_id"), "text", (F.col("left") + (F.col("i") % 3) * 55).alias("x"), (F.floor(F.col("i") / 3) * 16.0).alias("y"), F.lit(50.0).alias("w"), F.lit(12.0).alias("h"))
+    sizes = o.select("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("turns")).withColumns({"width": F.lit(800.0), "height": F.lit(800.0)})
+    found = orientation.read_pages(words, sizes, words.select("page", "turns", "text", F.lit(1.0).alias("confidence")), "page")
+    side = F.when((F.col("turns") % 2 == 1) & (F.col("w") < 800), F.col("h")).otherwise(F.col("w"))
+    return found.select("page", F.col("turns").cast("int").alias("turns"), "n_words", side.alias("w"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id AS page, CAST(floor(value * 100) AS BIGINT) % 7 AS amounts FROM events)
+SELECT page, event_id AS det_id, CASE WHEN amounts >= 3 THEN 'page' ELSE 'cell' END AS source FROM e""")
+def richest_reading(spark: SparkSession, d: str) -> DataFrame:
+    """Each document of a page is read from its cell, which has the better score, and with the whole page: the reading with more money stays."""
+    e = render.table(spark, d, "events").select("event_id", F.col("user_id").alias("page"), F.expr("cast(floor(value * 100) as bigint) % 7").alias("amounts"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("event_id")) * 300.0
+    e = e.withColumn("x", place)
+    say = lambda c: F.repeat(F.lit("suma 12,50 "), c.cast("int"))
+    seen = lambda source, dx, score, text: e.select("page", F.lit(source).alias("source"), F.col("event_id").alias("det_id"), (F.col("x") + dx).alias("x"), F.lit(0.0).alias("y"), F.lit(200.0).alias("w"), F.lit(400.0).alias("h"), F.lit(score).alias("score"), text.alias("text"))
+    both = seen("cell", 0.0, 500.0, F.concat(F.lit("COD FISCAL 1234 "), say(F.lit(2)))).unionByName(seen("page", 8.0, 380.0, F.concat(F.lit("COD FISCAL 1234 "), say(F.col("amounts")))))
+    return orientation.richest(both, "page").select("page", "det_id", "source")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT o_custkey AS page, o_orderkey AS i, CAST(o_orderkey * 7 % 90 AS DOUBLE) AS y, CAST(o_orderkey * 13 % 500 AS DOUBLE) AS x FROM orders),
+h AS (SELECT page, min(y) AS head, 0 AS r FROM d GROUP BY page UNION ALL SELECT h.page, (SELECT min(d.y) FROM d WHERE d.page = h.page AND d.y - h.head > 20), r + 1 FROM h WHERE head IS NOT NULL),
+r AS (SELECT d.page, d.i, d.x, d.y, max(h.r) AS r FROM d JOIN h ON h.page = d.page AND h.head <= d.y GROUP BY d.page, d.i, d.x, d.y)
+SELECT page, i, CAST(row_number() OVER (PARTITION BY page ORDER BY r, x, y, i) - 1 AS INTEGER) AS nth FROM r""")
+def row_tolerant_order(spark: SparkSession, d: str) -> DataFrame:
+    o = render.table(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("i"), (F.col("o_orderkey") * 7 % 90).cast("double").alias("y"), (F.col("o_orderkey") * 13 % 500).cast("double").alias("x"))
+    return orientation.row_order(o, "page", "i").select("page", "i", "nth")
+
+
 # --- slips and repeats -----------------------------------------------------------------------------------------------
 
 
@@ -632,6 +679,28 @@ def stream_metric_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "cents")
 
 
+@query("SELECT event_type AS k, event_id AS id, value FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 180")
+def stream_metrics_ring(spark: SparkSession, d: str) -> DataFrame:
+    """The last 180 samples of each kind of event, as keyed state of a stream."""
+    e = jobs.read_files(spark, render.table(spark, d, "events").schema, f"{d}/events.parque*")
+    samples = e.select(F.col("event_type").alias("k"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    return state.latest(_streamed(spark, state.rings(samples))).drop("at")
+
+
+# an answer stands for three days; the chain of first requests after each expiry is followed for every id
+@query(f"""
+WITH RECURSIVE r AS (SELECT event_id, {O.company_id_sql("user_id")} AS cui, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+h AS (SELECT cui, min(sec) AS sec FROM r GROUP BY cui UNION ALL SELECT h.cui, (SELECT min(r.sec) FROM r WHERE r.cui = h.cui AND r.sec >= h.sec + 259200) FROM h WHERE h.sec IS NOT NULL),
+f AS (SELECT r.cui, r.sec, min(event_id) AS event_id FROM r JOIN h ON h.cui = r.cui AND h.sec = r.sec GROUP BY r.cui, r.sec)
+SELECT r.event_id AS request_id, r.cui, upper(s_name) || ' SRL' AS name, CASE WHEN f.event_id IS NOT NULL THEN 'registry' ELSE 'cache' END AS answered_by
+FROM r LEFT JOIN f ON f.event_id = r.event_id LEFT JOIN supplier ON s_suppkey = r.user_id""")
+def stream_registry_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Each event asks for a company, every third of which is unknown; answers stand for three days."""
+    e = jobs.read_files(spark, render.table(spark, d, "events").schema, f"{d}/events.parque*")
+    asked = e.select(F.col("event_id").alias("request_id"), render.company_id(F.col("user_id")).alias("cui"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"))
+    return _streamed(spark, state.cached_answers(asked, render.registry(spark, d), stands=3 * 86_400)).drop("at")
+
+
 # --- more fields and page geometry -----------------------------------------------------------------------------------
 
 _DETS_SQL = "d AS (SELECT o_orderkey // 4 AS page, o_orderkey AS i, (o_orderkey % 2) * 180.0 + o_custkey % 60 AS x, (o_orderkey % 4 // 2) * 250.0 + o_custkey % 45 AS y, 120.0 + o_custkey % 50 AS w, 200.0 + o_custkey % 80 AS h FROM orders)"
