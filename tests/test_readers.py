@@ -1,6 +1,5 @@
 """Arbitration of totals, slips over three readings, pages and streams on small cases."""
 
-
 from ledgerloom.operators import arbitration, orientation, segment, slip_reader
 from ledgerloom.streaming import jobs, state
 
