@@ -13,17 +13,19 @@ from ledgerloom.llm.common import dealt, hottest, if_small, spread_join, stage
 from ledgerloom.llm.shingles import mix
 
 #: A shard takes documents until it holds so many words; a document is never cut.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bitmap bytes that are extended at once; a word of more bytes is extended part by part.
 BRANCH = 1 << 16
-#: Bits of the table that tells which pairs of words may be frequent; of fixed size, whatever the corpus.
-FILTER_BITS = 25
+#: Bits of the hashes by which pairs of words are counted first, and of the table that tells which of them may be frequent.
+SLOT_BITS, FILTER_BITS = 40, 25
+#: Rows and bytes of counts that are broadcast at most.
+SMALL_ROWS, SMALL_BYTES = 100_000, 8 << 20
 #: Parts into which a language's phrases are dealt before the last ranking.
 RANK_PARTS = 64
 
 #: A-Z are lowered, a tab is a blank, what ends a piece becomes a full stop, which stands in no word.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
-_COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+_COUNTS = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 
 class _Numbers(dict):
@@ -69,116 +71,118 @@ def _summed(prefix: np.ndarray, word: np.ndarray, words: int, bits: np.ndarray)
     return key // words, key % words, np.bincount(of, np.bitwise_count(bits), len(key)).astype(np.int64), of
 
 
-def _pair_slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (mix(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _pair_slots(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of SLOT_BITS bits of each pair of word numbers."""
+    return (mix(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+class Shard:
+    """The words of some documents of one language: numbers in order of their places (0 where a piece ends), names, hashes, bitmaps."""
 
+    def __init__(self, lang: str, numbers: dict, ids: list[np.ndarray]) -> None:
+        self.words, self.ids = list(numbers), np.concatenate(ids)
+        seed = xxhash.xxh32_intdigest(lang)
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        self.maps = Bitmaps(self.ids, len(self.words))
 
-def mine(ids: np.ndarray, words: list[bytes], longest: int, frequent: np.ndarray | None):
-    """(phrases as rows of word numbers, counts) of one shard, a branch of first words after the other.
+    def branches(self):
+        """First words with their bitmaps, some at a time."""
+        order = np.argsort(self.maps.word, kind="stable")
+        for i in range(0, len(order), BRANCH):
+            part = order[i : i + BRANCH]
+            first, of = np.unique(self.maps.word[part], return_inverse=True)
+            yield first[:, None].astype(np.int64), of, self.maps.block[part], self.maps.bits[part]
 
-    Without `frequent` the single words and all pairs are counted; with it, phrases of three to `longest` words in which each
-    two neighbours are marked in it.
-    """
-    maps = Bitmaps(ids, len(words))
-    if frequent is None:
-        n = np.bincount(ids, minlength=len(words))
-        n[0] = 0
-        yield np.flatnonzero(n)[:, None], n[n > 0]
-    else:
-        hashes = _word_hashes(words)
-        marked = lambda a, b: frequent[(s := _pair_slots(hashes[a], hashes[b])) >> 3] >> (s & 7).astype(np.uint8) & 1 == 1
-
-    def grow(prefixes: np.ndarray, of: np.ndarray, block: np.ndarray, bits: np.ndarray):
-        row, word, block, bits = maps.extend(block, bits)
+    def grow(self, prefixes: np.ndarray, of: np.ndarray, block: np.ndarray, bits: np.ndarray, longest: int, frequent: np.ndarray | None):
+        """(phrases as rows of word numbers, counts) of all extensions of the prefixes to `longest` words, depth first.
+
+        of: the prefix of each byte of the bitmaps. frequent: bits of the pairs that may be frequent; a phrase with another is left.
+        """
+        row, word, block, bits = self.maps.extend(block, bits)
         of = of[row]
         if frequent is not None:
-            left = np.flatnonzero(marked(prefixes[of, -1], word))
+            slot = _pair_slots(self.hashes, prefixes[of, -1], word) >> (SLOT_BITS - FILTER_BITS)
+            left = np.flatnonzero(frequent[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             of, word, block, bits = of[left], word[left], block[left], bits[left]
         if not len(of):
             return
-        before, last, n, of = _summed(of, word, len(words), bits)
+        before, last, n, of = _summed(of, word, len(self.words), bits)
         longer = np.column_stack([prefixes[before], last])
-        if frequent is None or longer.shape[1] > 2:
-            yield longer, n
-        if longer.shape[1] < (2 if frequent is None else longest):
-            yield from grow(longer, of, block, bits)
-
-    order = np.argsort(maps.word, kind="stable")
-    for i in range(0, len(order), BRANCH):
-        part = order[i : i + BRANCH]
-        first, of = np.unique(maps.word[part], return_inverse=True)
-        yield from grow(first[:, None].astype(np.int64), of, maps.block[part], maps.bits[part])
-
-
-def _counts(docs: DataFrame, longest: int, frequent=None) -> DataFrame:
-    """lang, size, phrase and n of all shards: what `mine` yields, and for size 0 the number of words of a language."""
-
-    def flushed(held: dict):
-        for lang, (numbers, ids) in held.items():
-            words, ids = list(numbers), np.concatenate(ids)
-            names = pa.array(words, pa.binary()).cast(pa.string())
-            if frequent is None:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([np.count_nonzero(ids)], pa.int64())], schema=_COUNTS)
-            for phrases, n in mine(ids, words, longest, None if frequent is None else np.frombuffer(frequent.value, np.uint8)):
-                text = pc.binary_join_element_wise(*(names.take(pa.array(c)) for c in phrases.T), " ")
-                size = phrases.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), pa.array(np.full(len(n), size), pa.int32()), text, pa.array(n, pa.int64())], schema=_COUNTS)
+        yield longer, n
+        if longer.shape[1] < longest:
+            yield from self.grow(longer, of, block, bits, longest, frequent)
+
+
+def _shards(batches):
+    """Shards of the documents (lang, text as bytes) of a task, one for each language they hold."""
+    held, n = {}, 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = (text.as_py() or b"").translate(_PLAIN).replace(b".", b" . ").split()
+            if not text:
+                continue
+            if lang not in held:
+                held[lang] = _Numbers({b".": 0}), []
+            numbers, ids = held[lang]
+            ids += [np.fromiter((numbers[w] for w in text), np.int32, len(text)), np.zeros(1, np.int32)]
+            n += len(text)
+            if n >= SHARD_WORDS:
+                yield from ((k, Shard(k, *v)) for k, v in held.items())
+                held, n = {}, 0
+    yield from ((k, Shard(k, *v)) for k, v in held.items())
+
+
+def _frequent_pairs(docs: DataFrame, min_count: int):
+    """Bits of hashes, as broadcast bytes: those of all pairs that occur min_count times or more are set."""
+    arrow = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        held, n = {}, 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = (text.as_py() or b"").translate(_PLAIN).replace(b".", b" . ").split()
-                if not text:
-                    continue
-                if lang not in held:
-                    held[lang] = _Numbers({b".": 0}), []
-                numbers, ids = held[lang]
-                ids.append(np.fromiter((numbers[w] for w in text), np.int64, len(text)))
-                ids.append(np.zeros(1, np.int64))
-                n += len(text)
-                if n >= SHARD_WORDS:
-                    yield from flushed(held)
-                    held, n = {}, 0
-        yield from flushed(held)
-
-    return docs.mapInArrow(run, "lang string, size int, phrase string, n long")
-
-
-def _frequent_pairs(pairs: DataFrame):
-    """A table of bits, in which the slots of all pairs of `phrase` are set; as broadcast bytes."""
-
-    def slots(batches):
-        for batch in batches:
-            both = [x.encode().split(b" ") for x in batch.column(0).to_pylist()]
-            if both:
-                s = _pair_slots(_word_hashes([x[0] for x in both]), _word_hashes([x[1] for x in both]))
-                yield pa.RecordBatch.from_arrays([pa.array(s >> 5), pa.array(np.left_shift(1, s & 31))], names=["place", "bits"])
-
-    found = pairs.select("phrase").mapInArrow(slots, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    return pairs.sparkSession.sparkContext.broadcast(out.tobytes())
+        for _, shard in _shards(batches):
+            for branch in shard.branches():
+                for phrases, n in shard.grow(*branch, 2, None):
+                    yield pa.RecordBatch.from_arrays([pa.array(_pair_slots(shard.hashes, *phrases.T)), pa.array(n)], schema=arrow)
+
+    slots = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    bit = F.shiftright("slot", SLOT_BITS - FILTER_BITS)
+    found = slots.groupBy(F.shiftright(bit, 5).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
+    out[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return docs.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = 3, min_count: int = 10) -> DataFrame:
     """lang, size, phrase, n: all phrases of one to `longest` words that occur min_count times or more in a language, and for size 0
     (phrase empty) the number of all its words.
 
-    Texts are read twice: once for words and pairs, once for longer phrases, all of whose pairs must be frequent. The pairs that
-    are travel as bits of hashes, in a table of 2 ** FILTER_BITS bits: one that is set by chance costs work, never a count.
+    Texts are read twice. First the pairs of words are counted by hashes of SLOT_BITS bits: a hash that is seldom has seldom
+    pairs only. Then words are counted, and phrases all of whose pairs may be frequent. Which these are travels as a table of
+    2 ** FILTER_BITS bits, whatever the corpus; one that is set by chance costs work, never a count.
     """
     docs = dealt(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text")))
-    total = lambda df: df.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    short = stage(total(_counts(docs, 2)).where((F.col("n") >= min_count) | (F.col("size") == 0)))
-    if longest < 3:
-        return short.where(F.col("size") <= longest)
-    longer = stage(total(_counts(docs, longest, _frequent_pairs(short.where("size = 2")))).where(F.col("n") >= min_count))
-    return short.unionByName(longer)
+    marked = _frequent_pairs(docs, min_count)
+
+    def run(batches):
+        frequent = np.frombuffer(marked.value, np.uint8)
+        for lang, shard in _shards(batches):
+            names = pa.array(shard.words, pa.binary()).cast(pa.string())
+
+            def rows(phrases: np.ndarray, n: np.ndarray, lang=lang, names=names) -> pa.RecordBatch:
+                text = pc.binary_join_element_wise(*(names.take(pa.array(c)) for c in phrases.T), " ")
+                return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, text, "\t"), pa.array(n, pa.int64())], schema=_COUNTS)
+
+            yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\t"]), pa.array([np.count_nonzero(shard.ids)], pa.int64())], schema=_COUNTS)
+            if longest > 0:
+                n = np.bincount(shard.ids, minlength=len(shard.words))
+                yield rows(np.arange(1, len(n))[:, None], n[1:])
+            for branch in shard.branches() if longest > 1 else ():
+                for phrases, n in shard.grow(*branch, longest, frequent):
+                    yield rows(phrases, n)
+
+    # one short string is the key of the widest shuffle: language, tab, phrase
+    counts = docs.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | F.col("key").endswith("\t"))
+    counts = counts.withColumn("phrase", F.substring_index("key", "\t", -1))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return counts.select(F.expr("left(key, char_length(key) - char_length(phrase) - 1)").alias("lang"), size.alias("size"), "phrase", "n")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = 3, min_count: int = 10, held_percent: int = 50, top: int = 2000) -> DataFrame:
@@ -193,13 +197,13 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     A null language is `und`, null and empty texts have no words, repeated rows count each, further columns do not matter, an
     empty table gives an empty one. All texts are counted; only the result is cut at `top`.
     """
-    counts = phrase_counts(docs, lang_col, text_col, longest, min_count)
+    counts = stage(phrase_counts(docs, lang_col, text_col, longest, min_count))
     known = stage(counts.where("size > 0").select(F.struct("lang", "phrase").alias("part"), "n", "size"))
     found = known.where("size > 1").select("part.lang", "part.phrase", "size", F.col("n").alias("a"))
 
     cuts = F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.struct(k.alias("k"), F.struct("lang", F.call_function("substring_index", "phrase", F.lit(" "), k).alias("phrase")).alias("first"), F.struct("lang", F.call_function("substring_index", "phrase", F.lit(" "), k - F.col("size")).alias("phrase")).alias("rest")))
     cut = found.select("lang", "phrase", "size", "a", F.explode(cuts).alias("c")).select("lang", "phrase", "size", "a", "c.k", "c.first", "c.rest")
-    small = if_small(known.select("part", "n"))
+    small = if_small(known.select("part", "n"), SMALL_ROWS, SMALL_BYTES)
     for name, count in (("first", "l"), ("rest", "r")):
         hot = hottest(stage(cut.groupBy(name).agg(F.count(F.lit(1)).alias("n"))), name)
         cut = spread_join(cut, small.select(F.col("part").alias(name), F.col("n").alias(count)), name, hot)
