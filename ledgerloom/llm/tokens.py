@@ -13,6 +13,9 @@ from tokenizers import Tokenizer
 CACHED_PIECES, CACHED_CHARS = 250_000, 64
 #: Full stops and commas after a letter or digit: the library's words end there.
 _MARK = re.compile(r"[.,](?<=[^\W_].)")
+#: The same after Latin letters and digits that stay one letter under normal form and lower case. Other letters (a capital I with
+#: a dot, or those of India and Hebrew that are written as letter and sign) may end in a sign, after which no word ends.
+_PLAIN_MARK = re.compile("[.,](?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)")
 #: A line end between two characters other than white space is a word of its own (byte-level).
 _LINE = re.compile(r"\n(?<=\S.)(?=\S)", re.DOTALL)
 #: A blank that white space follows, or the text's end, and a blank before anything else.
@@ -34,7 +37,7 @@ def _cut_at_blanks(text: str) -> list[str]:
     """For tokenizers that drop white space and lower letters."""
     if "<|" not in text and (text.isascii() or not _FAR.search(text)):  # control strings are told by their letters' case
         text = text.lower()
-    return _MARK.sub(" \\g<0>", text).replace("\n", " ").split(" ")
+    return _PLAIN_MARK.sub(" \\g<0>", text).replace("\n", " ").split(" ")
 
 
 class PieceEncoder(dict):

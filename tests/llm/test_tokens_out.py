@@ -52,6 +52,18 @@ def test_any_text_encodes_as_the_library_does(name, keep, text):
     assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "keep"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_every_code_point_beside_marks(name, keep):
+    enc = PieceEncoder(tokenizer_path(name), keep)
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [t for c in points for t in (f"{c},", f"a{c}.b", f"{c} .{c}")] + ["DİYARBAKIRLİ, क़. שּׁ,"]
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        want = enc.tokenizer.encode_batch(part, add_special_tokens=False)
+        bad = [t for t, x, w in zip(part, enc.encode(part), want, strict=True) if np.frombuffer(x, "<u4").tolist() != w.ids]
+        assert not bad, (len(bad), bad[:20])
+
+
 def test_cuts_cover_and_fill():
     for n in [1, 2, 5, 340, 341, 400, 513, 1023, 1024, 1025, 5000]:
         x = packing.cuts(n, 1024)
