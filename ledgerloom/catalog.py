@@ -367,8 +367,9 @@ def html_escape_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the receipt lines outside of the items, laid out 24 apart down and 60 across, shaken by up to 2."""
-    lines = render.receipt_lines(spark, d).where("line_no < 10 OR line_no >= 900")
+    """Words of all receipt lines, laid out 24 apart down and 60 across, shaken by up to 2; items of one number lie below each other."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "text"))
+    lines = render.receipt_lines(spark, d).select("doc_id", nth.cast("long").alias("line_no"), "text")
     t = lines.select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("pos", "text"))
     shake = F.pmod(F.col("doc_id") * 7 + F.col("pos") * 13, F.lit(5)) - 2
     return t.select("doc_id", (F.col("line_no") * 1000 + F.col("pos")).alias("box_id"), "text", (10.0 + 60 * F.col("pos")).alias("x"), (24.0 * F.col("line_no") + shake).alias("y"), F.lit(50.0).alias("w"), F.lit(12.0).alias("h"))
@@ -383,11 +384,14 @@ _LINES_SQL = O.with_heads("""
   UNION ALL SELECT doc_id, 901, 'TOTAL TVA A ' || rate || ',00% ' || (vat // 100) || '.' || lpad(CAST(vat % 100 AS VARCHAR), 2, '0') FROM heads
   UNION ALL SELECT doc_id, 902, 'DATA: ' || strftime(date, '%d.%m.%Y') FROM heads
   UNION ALL SELECT doc_id, 903, CASE WHEN cash THEN 'NUMERAR ' ELSE 'CARD ' END || (total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') FROM heads
-  UNION ALL SELECT doc_id, 904, 'SUMA ' || (total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') FROM heads WHERE doc_id % 7 = 0)
+  UNION ALL SELECT doc_id, 904, 'SUMA ' || (total // 100) || '.' || lpad(CAST(total % 100 AS VARCHAR), 2, '0') FROM heads WHERE doc_id % 7 = 0
+  UNION ALL SELECT doc_id, n, p_name || ' ' || q || ' X' || (c // q // 100) || '.' || lpad(CAST(c // q % 100 AS VARCHAR), 2, '0') || ' ' || (c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || ' A'
+    FROM (SELECT l_orderkey AS doc_id, l_linenumber + 10 AS n, p_name, CAST(l_quantity AS BIGINT) AS q, CAST(floor(l_extendedprice) AS BIGINT) AS c FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey))
 """)
 
 
-@query(_LINES_SQL + "SELECT doc_id, text FROM t")
+# a line shows a word that follows itself once
+@query(_LINES_SQL + "SELECT doc_id, array_to_string(list_filter(w, lambda x, i: i = 1 OR lower(x) <> lower(w[i - 1])), ' ') AS text FROM (SELECT doc_id, string_split(text, ' ') AS w FROM t)")
 def line_grouping(spark: SparkSession, d: str) -> DataFrame:
     return folds.group_lines(_boxes(spark, d), "doc_id").select("doc_id", "text")
 
@@ -608,13 +612,11 @@ def slip_amount_words(spark: SparkSession, d: str) -> DataFrame:
     return o.select("k", "amount", slip.decide(F.col("digits"), F.col("amount")).alias("chosen"))
 
 
-@query("SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber >= 4 THEN 'payer' ELSE 'issuer' END AS section, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4) GROUP BY 1, 2")
+@query("SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber >= 4 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 4) THEN 'payer' ELSE 'issuer' END AS section, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def payer_issuer_split(spark: SparkSession, d: str) -> DataFrame:
     i = render.table(spark, d, "lineitem")
     lines = i.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), F.when(F.col("l_linenumber") == 4, "Am primit de la X").otherwise("row").alias("text"))
-    out = slip.sections(lines)
-    four = lines.where("line_no = 4").select("doc_id").distinct()
-    return out.join(four, "doc_id", "left_semi").groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
+    return slip.sections(lines).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS n, sum(k)::BIGINT AS keys FROM (SELECT min(o_orderkey) AS k FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE))")
