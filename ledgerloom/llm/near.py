@@ -17,13 +17,15 @@ from ledgerloom.llm.shingles import mix, shingle_set
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42, three in a million.
 BANDS, ROWS = 42, 6
 #: A bucket's members are joined to its head into one group if their signatures agree in so large a share at least; those that
-#: agree in less than the second share meet another head of the same bucket, HEADS in all. Two linked documents share a dozen
-#: bands or so, and are kept apart only if in each of them one is far from every head.
+#: agree in less than the second share meet another head of the same bucket, HEADS in all. What is then left of a bucket is a
+#: group of its own. Distances of sets obey the triangle inequality: of two linked documents both are near a head, or both go on.
 GROUP_FLOOR, HEADED, HEADS = 0.35, 0.65, 2
 #: Standard errors below the threshold from which the signatures of two documents rule out a link.
 SIGMAS = 5
 #: Documents of a group, and bytes of their sets, that one task holds against as many others, about.
 BLOCK, BLOCK_BYTES = 1000, 32 << 20
+#: Shingles that one matrix product counts.
+COLUMNS = 4096
 
 
 @functools.lru_cache(maxsize=4)
@@ -109,49 +111,116 @@ def _by_key(batches, n_key: int):
         yield held
 
 
+def agreements(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The number of bytes in which each row of sig equals one; the width is a multiple of 8 and below 2,048."""
+    equal = (sig == one).view(np.uint64).sum(axis=1)  # eight counts in the bytes of a word
+    return equal.view(np.uint8).reshape(-1, 8).sum(axis=1)
+
+
+def common_counts(sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """The sizes of the intersections of sets (sorted distinct hashes), exact: of the first ones with the others, or, without
+    first, of all pairs (i, j) with i < j; other places of that matrix mean nothing.
+
+    A shingle of one set counts for no pair. One of few sets counts pair by pair; one of a fifth of the sets or more is a
+    column of 0 and 1 in a matrix product. So the work of a set's shingle is bounded by the number of sets.
+    """
+    n = len(sets)
+    left, right = (slice(None), slice(None)) if first is None else (slice(0, first), slice(first, n))
+    out = np.zeros((n, n) if first is None else (first, n - first), np.int64)
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    rows, values = rows[order], values[order]
+    start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    width = np.diff(np.r_[start, len(values)])
+    many = width >= max(2, n / 5)
+    wide = np.repeat(many, width)
+    column, row = np.repeat(np.cumsum(many) - 1, width)[wide], rows[wide]
+    for c in range(0, int(many.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [c, c + COLUMNS])
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[low:high], column[low:high] - c] = 1
+        out += (m[left] @ m[right].T).astype(np.int64)
+    place = np.flatnonzero(np.repeat(~many & (width > 1), width))
+    end, lag = np.repeat(start + width, width)[place], 1
+    while (going := place + lag < end).any():  # rows of one shingle whose places are lag apart
+        place, end = place[going], end[going]
+        x, y = rows[place], rows[place + lag]
+        if first is not None:
+            across = (x < first) & (y >= first)
+            x, y = x[across], y[across] - first
+        out += np.bincount(x * out.shape[1] + y, minlength=out.size).reshape(out.shape)
+        lag += 1
+    return out
+
+
+def forest(linked: np.ndarray, offset: int, n: int) -> list[tuple[int, int]]:
+    """Pairs (i, j + offset) of a matrix of links that connect all that it connects, without a cycle; i and j + offset are below n."""
+    root, found = np.arange(n), []
+    for i in range(len(linked)):
+        to = np.flatnonzero(linked[i]) + offset
+        roots, at = np.unique(root[to], return_index=True)
+        new = roots != root[i]
+        if new.any():
+            found += [(i, int(j)) for j in to[at[new]]]
+            root[np.isin(root, roots)] = root[i]
+    return found
+
+
+def linked_rows(sig: np.ndarray, sets: list[np.ndarray], first: int | None, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Pairs of rows that connect all rows of similarity percent or more, of the first rows with the others or (first None) of
+    all: signatures that agree in fewer than floor bytes rule a pair out, full sets decide on the others."""
+    n = np.array([len(s) for s in sets])
+    offset, heads = (0, len(sets)) if first is None else (first, first)
+    fit = np.zeros((heads, len(sets) - offset), bool)
+    for i in range(heads):
+        low = i + 1 if first is None else first
+        m = n[low:]
+        fit[i, low - offset :] = (agreements(sig[low:], sig[i]) >= floor) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
+    used = np.zeros(len(sets), bool)  # rows of no candidate pair need no sets
+    used[:heads] = fit.any(axis=1)
+    used[offset:] |= fit.any(axis=0)
+    at = np.flatnonzero(used)
+    if not len(at):
+        return []
+    before = None if first is None else int(used[:first].sum())
+    common = common_counts([sets[i] for i in at], before)
+    a, b = (at, at) if before is None else (at[:before], at[before:])
+    fit = fit[np.ix_(a, b - offset)] & (100 * common >= percent * (n[a][:, None] + n[b][None, :] - common))
+    return [(int(at[i]), int(at[j])) for i, j in forest(fit, before or 0, len(at))]
+
+
 def links(sets: DataFrame, members: DataFrame, percent: int, n_minima: int) -> DataFrame:
     """Links (a, b) that join, within each group, all nodes that are connected by similarities of percent or more.
 
     sets: node, shingles; members: node, n_shingles, sig, group. Each group is dealt into blocks of bounded rows and bytes;
-    each pair of blocks is one task's work, which compares all signatures, confirms what they leave on the full sets, and
-    skips pairs that its links already connect. So each pair of the group is settled, and no pair is emitted that adds nothing.
+    each pair of blocks is one task's work, which compares all signatures, counts what is common to the full sets of those
+    that they leave, and emits a forest of the links. So each pair of the group is settled, and none is emitted that adds nothing.
     """
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
-    sizes = stage(members.groupBy("group").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")))
+    sizes = stage(members.groupBy("group").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     placed = spread_join(members, sizes.drop("n"), "group", hottest(sizes, "group")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.join(sets, "node")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     placed = placed.withColumn("p", F.explode(pair)).select("group", "p.i", "p.j", "block", "node", "sig", "shingles")
-    floor = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / n_minima)
+    floor = n_minima * (percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / n_minima))
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    spare = -n_minima % 8
 
     def run(batches):
         for rows in _by_key(batches, 3):
             sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
-            sets = [np.frombuffer(r[6], np.uint64) for r in rows]
-            n = np.array([len(s) for s in sets])
-            block = np.array([r[3] for r in rows])
+            sig = np.pad(sig, ((0, 0), (0, spare)))
             one = rows[0][1] == rows[0][2]
-            root = np.arange(len(rows))  # the component of each row; small enough to relabel
-            found = []
-            for i in range(len(rows)):
-                others = np.arange(i + 1, len(rows)) if one else np.flatnonzero(block > block[i])
-                others = others[root[others] != root[i]]
-                others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-                if not len(others):
-                    continue
-                near = (sig[others] == sig[i]).mean(axis=1)
-                for o in others[near >= floor][np.argsort(-near[near >= floor], kind="stable")]:
-                    if root[o] == root[i]:
-                        continue
-                    common = len(np.intersect1d(sets[i], sets[o], assume_unique=True))
-                    if 100 * common >= percent * (n[i] + n[o] - common):
-                        found.append((rows[i][4], rows[o][4]))
-                        root[root == root[o]] = root[i]
+            first = None if one else sum(r[3] == r[1] for r in rows)
+            if first == len(rows) or first == 0:
+                continue
+            found = linked_rows(sig, [np.frombuffer(r[6], np.uint64) for r in rows], first, percent, floor + spare)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([rows[x][4] for x in c], pa.int64()) for c in zip(*found, strict=True)], schema=arrow)
 
-    return placed.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
+    order = ["group", "i", "j"]
+    return placed.repartition(*order).sortWithinPartitions(*order, "block").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(df: DataFrame, k: int) -> DataFrame:
@@ -168,28 +237,43 @@ def shingle_sets(df: DataFrame, k: int) -> DataFrame:
 
 
 def grouped(own: DataFrame) -> DataFrame:
-    """Edges (node, head) that join into groups the nodes which share a band and may be linked.
+    """node and group: groups of nodes that share a band and may be linked; a node may be in several.
 
     own: node, sig, bands. In each round the least node of a bucket is its head; members that agree with it far enough are
-    done, the others meet the next head. So a bucket of any size is settled without pairing its members with each other, also
-    one that many unlike documents share because of a common passage.
+    done, the others meet the next head. So most buckets are settled without pairing their members with each other, also one
+    that many unlike documents share because of a common passage. Who is far from all heads of a bucket stays with the others
+    that are, as a group; equal ones of several buckets are one.
     """
     sigs = own.select("node", "sig")
-    left, out = own.select("node", F.explode("bands").alias("bucket")), sigs.select("node", F.col("node").alias("head")).where("false")
+    left, edges, rest = own.select("node", F.explode("bands").alias("bucket")), sigs.select("node", F.col("node").alias("head")).where("false"), None
     for last in [False] * (HEADS - 1) + [True]:
         heads = stage(left.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         if not heads.limit(1).count():
-            return out
+            break
         met = spread_join(left, heads.drop("n"), "bucket", hottest(heads, "bucket")).where("node <> head")
         pairs = stage(met.select("node", "head").distinct())
         head_sigs = sigs.select(F.col("node").alias("head"), F.col("sig").alias("head_sig"))
         judged = spread_join(pairs.join(sigs, "node"), head_sigs, "head", hottest(heads.groupBy("head").agg(F.sum("n").alias("n")), "head"))
         judged = stage(judged.select("node", "head", signature_agreement("sig", "head_sig").alias("share")))
-        out = out.unionByName(judged.where(F.col("share") >= GROUP_FLOOR).select("node", "head"))
+        edges = edges.unionByName(judged.where(F.col("share") >= GROUP_FLOOR).select("node", "head"))
         far = judged.where(F.col("share") < HEADED).select("node", "head")
-        if last or not far.limit(1).count():
-            return out
+        if not far.limit(1).count():
+            break
         left = stage(met.join(far, ["node", "head"], "left_semi").select("node", "bucket"))
+        if last:
+            rest = left
+    groups = connected_components(edges).withColumnRenamed("component", "group")
+    if rest is None:
+        return groups
+    groups = stage(groups)
+    sums = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    buckets = stage(rest.groupBy("bucket").agg(*sums).where("n > 1"))
+    own_group = F.xxhash64("n", "x", "y").alias("group")
+    rest = stage(spread_join(rest, buckets.select("bucket", own_group), "bucket", hottest(buckets, "bucket")).select("node", "group").distinct())
+    # left groups that lie in one component's are settled there
+    among = rest.join(groups.withColumnRenamed("group", "in"), "node", "left").groupBy("group").agg(F.min("in").alias("low"), F.max("in").alias("high"), F.count_if(F.col("in").isNull()).alias("none"), F.count(F.lit(1)).alias("n"))
+    open_ = stage(among.where("none > 0 OR low <> high").select("group", "n"))
+    return groups.unionByName(spread_join(rest, open_.drop("n"), "group", hottest(open_, "group")).select("node", "group"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -206,9 +290,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = sets.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     nodes = stage(nodes)
     own = stage(sets.agg(F.min_by(F.struct("text_hash", "n_shingles", "sig", "bands"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r")).select("node", "r.*"))
-    groups = stage(connected_components(grouped(own)).withColumnRenamed("component", "group"))
+    groups = stage(grouped(own))
     members = stage(groups.join(own.select("node", "text_hash", "n_shingles", "sig"), "node"))
-    texts = docs.join(if_small(members.select("text_hash")), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = docs.join(if_small(members.select("text_hash").distinct()), "text_hash", "left_semi").dropDuplicates(["text_hash"])
     verified = stage(links(shingle_sets(texts, k), members.select("node", "n_shingles", "sig", "group"), percent, bands * rows))
     reached = stage(connected_components(verified))
     ends = reached.join(nodes, "node")

@@ -146,3 +146,44 @@ def test_hubs_and_hot_keys_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(tuple(x) for x in near.near_duplicates(docs, k=2).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == brute(rows, 2, 80)
+
+
+def test_common_counts_against_pairwise_intersections():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        n, of = int(r.integers(2, 30)), int(r.integers(5, 200))
+        sets = [np.sort(r.choice(of, r.integers(0, of), replace=False)).astype(np.uint64) for _ in range(n)]
+        for first in (None, int(r.integers(1, n))):
+            counts = near.common_counts(sets, first)
+            for i in range(n if first is None else first):
+                for j in range(i + 1 if first is None else first, n):
+                    assert counts[i, j - (first or 0)] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_rows_are_joined_by_a_forest_of_all_links():
+    r = np.random.default_rng(6)
+    for _ in range(40):
+        n = int(r.integers(2, 25))
+        for first in (None, int(r.integers(1, n))):
+            a, b = (n, n) if first is None else (first, n - first)
+            linked = r.random((a, b)) < 0.08
+            if first is None:
+                linked = np.triu(linked, 1)
+            found = near.forest(linked, first or 0, n)
+            assert all(linked[i, j - (first or 0)] for i, j in found)
+            root = list(range(n))
+            for i, j in found:
+                assert root[i] != root[j]  # no cycle
+                root = [root[i] if x == root[j] else x for x in root]
+            assert all(root[i] == root[j + (first or 0)] for i, j in zip(*np.nonzero(linked), strict=True))
+
+
+def test_members_far_from_every_head_are_settled_as_a_group(spark, monkeypatch):
+    """Nodes 20 and 30 are alike, but far from the head 10 of each of their buckets; 40 is like the head."""
+    monkeypatch.setattr(near, "HEADS", 1)
+    sig = {10: 0, 20: 1, 30: 1, 40: 0}
+    own = spark.createDataFrame([(n, bytes([b] * 16), [5, 6]) for n, b in sig.items()], "node long, sig binary, bands array<long>")
+    groups: dict = {}
+    for r in near.grouped(own).collect():
+        groups.setdefault(r["group"], []).append(r["node"])
+    assert sorted(map(sorted, groups.values())) == [[10, 40], [20, 30]]
