@@ -127,25 +127,28 @@ def common_counts(sets: list[np.ndarray], first: int | None = None) -> np.ndarra
     n = len(sets)
     left, right = (slice(None), slice(None)) if first is None else (slice(0, first), slice(first, n))
     out = np.zeros((n, n) if first is None else (first, n - first), np.int64)
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     rows, values = rows[order], values[order]
+    del order  # arrays of all shingles are the bulk of a task's memory
     start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    width = np.diff(np.r_[start, len(values)])
-    many = width >= max(2, n / 5)
+    width = np.diff(np.r_[start, len(values)]).astype(np.int32)
+    del values, start
+    rows, width = rows[np.repeat(width > 1, width)], width[width > 1]
+    start, many = np.cumsum(width) - width, width >= n / 5
     wide = np.repeat(many, width)
-    column, row = np.repeat(np.cumsum(many) - 1, width)[wide], rows[wide]
+    column, row = np.repeat(np.cumsum(many, dtype=np.int32) - 1, width)[wide], rows[wide]
     for c in range(0, int(many.sum()), COLUMNS):
         low, high = np.searchsorted(column, [c, c + COLUMNS])
         m = np.zeros((n, COLUMNS), np.float32)
         m[row[low:high], column[low:high] - c] = 1
         out += (m[left] @ m[right].T).astype(np.int64)
-    place = np.flatnonzero(np.repeat(~many & (width > 1), width))
-    end, lag = np.repeat(start + width, width)[place], 1
+    place = np.flatnonzero(~wide)
+    end, lag = np.repeat((start + width)[~many], width[~many]), 1
     while (going := place + lag < end).any():  # rows of one shingle whose places are lag apart
         place, end = place[going], end[going]
-        x, y = rows[place], rows[place + lag]
+        x, y = rows[place].astype(np.int64), rows[place + lag]
         if first is not None:
             across = (x < first) & (y >= first)
             x, y = x[across], y[across] - first
