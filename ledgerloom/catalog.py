@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import oracles as O
 from ledgerloom.functions import ids, money, rects, text
-from ledgerloom.operators import arbitration, folds, orientation, receipt, registry, rows, segment, slip, slip_reader, spatial
+from ledgerloom.operators import arbitration, folds, orientation, parties, receipt, registry, rows, segment, slip, slip_reader, spatial
 from ledgerloom.plans import render
 from ledgerloom.sources import boxes
 from ledgerloom.streaming import jobs, state
@@ -904,3 +904,101 @@ def proximity_groups(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     b = render.table(spark, d, "part").select(F.expr("p_partkey div 12").alias("page"), k.alias("box_id"), ((k % 12 % 4) * 60.0).alias("x"), (F.expr("p_partkey % 12 div 4") * 300.0).alias("y"), F.lit(30.0).alias("w"), F.lit(12.0).alias("h"))
     return segment.near_groups(b, "page")
+
+
+# --- parties, choices of the uploader, rows and responses ---------------------------------------------------------------
+
+_SELLER, _BUYER_KEY = "(o_orderkey % 900 + 1)", "(20000 + o_custkey)"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS doc_id, (o_orderkey // 8 + o_orderkey) % 6 AS k, o_custkey AS c, {O.company_id_sql(_SELLER)} AS seller, {O.company_id_sql(_BUYER_KEY)} AS buyer FROM orders)
+SELECT doc_id, CASE WHEN k < 4 THEN seller END AS seller_id, k < 4 AS seller_ok, k IN (0, 1) AS labelled, CASE WHEN k IN (0, 3, 5) THEN buyer END AS buyer_id,
+  CASE WHEN k IN (0, 3, 5) AND c_custkey IS NOT NULL THEN upper(c_name) WHEN k IN (0, 4) THEN 'FIRMA ' || c || ' SRL' WHEN k = 5 THEN 'R0 ' || buyer END AS buyer_name, k IN (0, 3, 5) AND c_custkey IS NOT NULL AS buyer_known
+FROM o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) x ON c = c_custkey""")
+def buyer_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Sellers by label, by prefix and by bare number; buyers by what is printed and what the registry calls them.
+
+    On a line of `C.I.F. CLIENT.` what follows is read as id and, as the line says no CIF, as name too."""
+    seller, buyer = render.company_id(F.expr(_SELLER)), render.company_id(F.expr(_BUYER_KEY))
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    client, cif = say("Client: FIRMA ", F.col("o_custkey"), " SRL"), say("CIF CLIENT: RO", buyer)
+    kinds = [
+        (say("COD FISCAL: RO", F.translate(seller, "0", "O")), cif, client),
+        (say("Str. Lunga ro ", seller),),
+        (say("STATIE GPL GAZ ", seller, " 12345"),),
+        (say("CUI CLIENT ", buyer), say("raft ", buyer), say("raft ", seller)),
+        (say("MAGAZIN SRL 20250114"), client, say("POS ", seller)),
+        (say("C.I.F. CLIENT. R0 ", buyer),),
+    ]
+    k, body = F.expr("(o_orderkey div 8 + o_orderkey) % 6"), F.array().cast("array<string>")
+    for i, said in enumerate(kinds):
+        body = F.when(k == i, F.array(*said)).otherwise(body)
+    lines = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.concat(F.array(F.lit("MAGAZIN SRL")), body)).alias("line_no", "text"))
+    known = render.table(spark, d, "customer").where("c_custkey % 2 = 0").select(render.company_id(20000 + F.col("c_custkey")).alias("cui"), F.upper("c_name").alias("name"))
+    return parties.named_buyers(parties.parties(lines), known).drop("candidates")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'Bon' WHEN 1 THEN 'CHITANTA' WHEN 2 THEN 'auto' END AS t, CASE o_custkey % 3 WHEN 0 THEN 'bon' WHEN 1 THEN 'chitanta' END AS m, o_totalprice > 150000 AS looks FROM orders)
+SELECT doc_id, CASE lower(coalesce(t, m, 'auto')) WHEN 'chitanta' THEN true WHEN 'bon' THEN false ELSE looks END AS slip FROM o""")
+def mode_override(spark: SparkSession, d: str) -> DataFrame:
+    """The type an uploader chose goes before the mode, and both before what the document looks like."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey") % 3
+    doc_type, mode = F.when(k == 0, "Bon").when(k == 1, "CHITANTA").when(k == 2, "auto"), F.when(c == 0, "bon").when(c == 1, "chitanta")
+    return render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.treated_as_slip(doc_type, mode, F.col("o_totalprice") > 150000).alias("slip"))
+
+
+@query(O.with_heads("""
+, f AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'Chitanță POS' WHEN 1 THEN 'Chitanță de mână' WHEN 2 THEN 'Factură' END AS forced FROM heads)
+SELECT doc_id, coalesce(forced, 'Bon Fiscal') AS kind, forced IS NULL AND cash AS kind_unsure, total / 100.0 AS total, CASE WHEN forced LIKE 'Chit%' THEN total / 100.0 ELSE (total - vat) / 100.0 END AS base,
+  CASE WHEN forced LIKE 'Chit%' THEN 0.0 ELSE vat / 100.0 END AS vat, CASE WHEN forced LIKE 'Chit%' THEN '-' ELSE CAST(rate AS VARCHAR) END AS rates, cash AND coalesce(forced NOT LIKE 'Chit%', true) AS vat_unsure,
+  CASE WHEN forced LIKE 'Chit%' THEN NULL ELSE rate END AS breakdown, CASE forced WHEN 'Chitanță POS' THEN '5125' WHEN 'Chitanță de mână' THEN '5311' ELSE '604' END AS account FROM f"""))
+def forced_types(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose kind is forced: VAT and account follow from it."""
+    k = F.col("doc_id") % 4
+    forced = F.when(k == 0, "Chitanță POS").when(k == 1, "Chitanță de mână").when(k == 2, "Factură")
+    docs = render.receipt_heads(spark, d).select(
+        "doc_id", F.lit("Bon Fiscal").alias("kind"), F.col("cash").alias("kind_unsure"), (F.col("total") / 100).alias("total"), ((F.col("total") - F.col("vat")) / 100).alias("base"),
+        (F.col("vat") / 100).alias("vat"), F.col("rate").cast("string").alias("rates"), F.col("cash").alias("vat_unsure"), F.col("rate").alias("breakdown"), F.lit("604").alias("account"), forced.alias("forced"),
+    )
+    return rows.forced_kinds(docs).drop("forced")
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS upload, o_orderkey AS doc, CAST(floor(o_totalprice) AS BIGINT) AS total, o_orderkey % 3 = 0 AS slip, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 = 0, o_orderkey) AS i FROM orders),
+j AS (SELECT *, '{"index":' || i || ',"doc_id":' || doc || ',"total":' || total || '}' AS j FROM o),
+g AS (SELECT upload, count(*) FILTER (NOT slip) AS n, count(*) FILTER (slip) AS m, coalesce(string_agg(j, ',' ORDER BY i) FILTER (NOT slip), '') AS r, coalesce(string_agg(j, ',' ORDER BY i) FILTER (slip), '') AS c, string_agg(j, ',' ORDER BY i) AS a, arg_min(j, i) AS f FROM j GROUP BY upload)
+SELECT upload, '{"success":true,"message":"' || n || ' bonuri, ' || m || ' chitante detectate","receipts":[' || r || '],"chitante":[' || c || '],"accounting_data":' || f || ',"accounting_data_array":[' || a || ']}' AS response FROM g""")
+def json_responses(spark: SparkSession, d: str) -> DataFrame:
+    """The response to each upload, as JSON text."""
+    o = render.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("upload"), F.floor("o_totalprice").cast("long").alias("total"))
+    flat = rows.receipt_rows(o.where("doc_id % 3 <> 0")).unionByName(rows.slip_rows(o.where("doc_id % 3 = 0")))
+    return boxes.responses(rows.reindexed(flat.join(o.select("doc_id", "upload"), "doc_id")), "upload", ["doc_id", "total"])
+
+
+@query(O.with_heads("""
+SELECT doc_id, CASE WHEN cash THEN 'Chitanță' ELSE 'Bon Fiscal' END AS kind, CAST(doc_id AS VARCHAR) AS number, strftime(date, '%Y-%m-%d') AS date, upper(s_name) AS company, total / 100.0 AS total,
+  CASE WHEN NOT cash THEN (total - vat) / 100.0 END AS base, CASE WHEN NOT cash THEN vat / 100.0 END AS vat, CASE WHEN NOT cash THEN CAST(rate AS VARCHAR) END AS rates FROM heads JOIN supplier ON s_suppkey = seller"""))
+def legacy_row_values(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts and slips as rows of one kind, with all their values."""
+    supplier = render.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seller"), F.upper("s_name").alias("company"))
+    h = render.receipt_heads(spark, d).join(supplier, "seller")
+    full = h.select(
+        "doc_id", F.col("doc_id").cast("string").alias("number"), F.date_format("date", "yyyy-MM-dd").alias("date"), "company", (F.col("total") / 100).alias("total"),
+        ((F.col("total") - F.col("vat")) / 100).alias("base"), (F.col("vat") / 100).alias("vat"), F.col("rate").cast("string").alias("rates"), "cash",
+    )
+    return rows.receipt_rows(full.where("NOT cash")).unionByName(rows.slip_rows(full.where("cash")))
+
+
+@query(f"""
+WITH g AS (SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'A' THEN 21 WHEN l_returnflag = 'N' THEN 11 ELSE 9 END AS rate, sum(CAST(floor(l_extendedprice / 100) AS BIGINT))::BIGINT AS b FROM lineitem GROUP BY 1, 2),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, sum(b) OVER (PARTITION BY doc_id) AS all_b FROM g)
+SELECT doc_id, CASE WHEN n > 1 THEN {O.ron2('CAST(b AS DOUBLE) + b * rate / 100.0')} ELSE CAST(all_b AS DOUBLE) END AS total, CAST(rate AS DOUBLE) AS rate, CAST(b AS DOUBLE) AS base, b * rate / 100.0 AS vat FROM n""")
+def rows_per_rate(spark: SparkSession, d: str) -> DataFrame:
+    """One ledger row for each VAT rate of a document; with one rate its printed total stands."""
+    rate = F.when(F.col("l_returnflag") == "A", 21).when(F.col("l_returnflag") == "N", 11).otherwise(9)
+    g = render.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), rate.alias("rate")).agg(F.sum(F.floor(F.col("l_extendedprice") / 100).cast("long")).alias("b"))
+    part = F.struct(F.col("rate").cast("double").alias("rate"), F.col("b").cast("double").alias("base"), (F.col("b") * F.col("rate") / 100).alias("vat"))
+    docs = g.groupBy("doc_id").agg(F.sum("b").cast("double").alias("total"), F.collect_list(part).alias("breakdown"))
+    return rows.split_by_rate(docs)

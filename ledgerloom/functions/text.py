@@ -159,3 +159,9 @@ def bytes_text(n: Column) -> Column:
     v = n.cast("double") / F.pow(F.lit(1024.0), step)
     shown = F.when(v >= 10, F.bround(v, 0).cast("decimal(20,0)").cast("string")).otherwise(F.bround(v, 1).cast("decimal(20,1)").cast("string"))
     return F.concat(shown, F.lit(" "), F.get(units, step))
+
+
+def treated_as_slip(doc_type: Column, processing_mode: Column, looks_like_one: Column) -> Column:
+    """What the uploader chose ("chitanta" or "bon" in any case, doc_type before processing_mode), else what the document looks like."""
+    mode = F.lower(F.coalesce(doc_type, processing_mode, F.lit("auto")))
+    return F.when(mode == "chitanta", True).when(mode == "bon", False).otherwise(looks_like_one)

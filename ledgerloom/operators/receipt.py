@@ -22,6 +22,7 @@ BUYER = r"CLIENT|CUMPARATOR|BENEF|CNP"
 ID_CONTEXT = (
     r"(?:COD\s*FISC[A-Z]*|COD\s*IDENT[A-Z]{0,8}\s*FISC[A-Z]*|C\.?\s*[I1]\.?\s*F|\bC\.?\s*F\b|\bCUI\b)\s*[.:]?\s*(?:R(?:[O0Q]|[^A-Z0-9@]{0,3}))?\s*[.:]?\s*([A-Z0-9@]{2,12})"
 )
+PREFIXED_ID = r"\bR[O0]\s?([0-9OQDILSZB@]{2,12})\b"
 NUMBERS = (r"(?i)NUMAR\s*BON\s*FISCAL\s*[:#]?\s*(\d{1,8})", r"(?i)BON\s*FISCAL\s*[:#]?\s*(\d{2,8})", r"(?i)\bBF\s*[.:]?\s*0*(\d{1,8})")
 
 
@@ -42,6 +43,19 @@ def _found(pattern: str, group: int = 1, c: Column | None = None) -> Column:
     return F.nullif(F.regexp_extract(F.col("text") if c is None else c, pattern, group), F.lit(""))
 
 
+def id_reads(line: Column, pattern: str) -> Column:
+    """Normal forms of what either of two groups of the pattern reads on a line, in their order."""
+    one, two = (F.regexp_extract_all(line, F.lit(pattern), F.lit(i)) for i in (1, 2))
+    found = F.transform(F.zip_with(one, two, lambda a, b: F.concat(a, b)), ids.normal_id)
+    return F.when(_is(pattern, line), found).otherwise(F.array().cast("array<string>"))  # most lines have none: one look tells
+
+
+def labelled_ids(upper: Column) -> Column:
+    """Ids of two to ten digits behind a label or a country prefix on a line in capitals, in their order; none on a buyer's line."""
+    found = F.filter(id_reads(upper, f"{ID_CONTEXT}|{PREFIXED_ID}"), lambda d: F.char_length(d).between(2, 10))
+    return F.when(~_is(BUYER, upper), found).otherwise(F.array().cast("array<string>"))
+
+
 def receipt_totals(lines: DataFrame) -> DataFrame:
     """doc_id and total: printed behind TOTAL, else on or within six lines after it, else the largest amount of 10 or more that stands twice."""
     rows = lines.select("doc_id", "line_no", "text").withColumn("amounts", F.filter(money.amounts(F.col("text")), money.plausible_total))
@@ -79,9 +93,7 @@ def vat_lines(lines: DataFrame) -> DataFrame:
 def receipt_fields(lines: DataFrame) -> DataFrame:
     """doc_id, header, read_id, date, number, payment, account and text of each document."""
     upper = F.upper("text")
-    read = F.when(~_is(BUYER, upper), _found(ID_CONTEXT, 1, upper))
-    normal = ids.normal_id(read)
-    first_id = _first(F.when(F.char_length(normal).between(2, 10), normal))
+    first_id = _first(F.get(labelled_ids(upper), F.lit(0)))
     date = text.receipt_date(F.col("text"))
     dated = F.min(F.when(date.isNotNull(), F.struct((~F.contains(upper, F.lit("DATA"))).alias("k"), "line_no", date.alias("v"))))["v"]
     numbers = [_first(_found(p)) for p in NUMBERS]

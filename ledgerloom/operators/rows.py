@@ -61,6 +61,35 @@ def split_by_rate(docs: DataFrame) -> DataFrame:
     return rows.select(*own, total.alias("total"), "b.rate", "b.base", "b.vat")
 
 
+# Accounts of slips whose kind is forced.
+FORCED_ACCOUNTS = {"Chitanță de mână": "5311", "Chitanță POS": "5125"}
+
+
+def forced_kinds(docs: DataFrame, forced: str = "forced") -> DataFrame:
+    """docs (kind, kind_unsure, total, base, vat, rates, vat_unsure, breakdown, account) as the kind in column `forced` makes them.
+
+    A forced kind stands without question; a forced slip has no VAT: its base is its total, its rates are "-", its breakdown
+    is null, and its account is the kind's. Rows whose `forced` is null stay as they are, rows that repeat stay.
+    """
+    kind, slip = F.col(forced), F.coalesce(F.col(forced).isin(*FORCED_ACCOUNTS), F.lit(False))
+    account = F.col("account")
+    for name, value in FORCED_ACCOUNTS.items():
+        account = F.when(kind == name, F.lit(value)).otherwise(account)
+    put = lambda c, v: F.when(slip, v).otherwise(F.col(c))
+    return docs.withColumns(
+        {
+            "kind": F.coalesce(kind, "kind"),
+            "kind_unsure": F.col("kind_unsure") & kind.isNull(),
+            "vat": put("vat", F.lit(0.0)),
+            "rates": put("rates", F.lit("-")),
+            "base": put("base", F.col("total")),
+            "vat_unsure": put("vat_unsure", F.lit(False)),
+            "breakdown": put("breakdown", F.lit(None)),
+            "account": account,
+        }
+    )
+
+
 def _as_rows(df: DataFrame, kind: str) -> DataFrame:
     has = set(df.columns)
     return df.select("doc_id", F.lit(kind).alias("kind"), *(F.col(c) if c in has else F.lit(None).alias(c) for c in ROW[1:]))

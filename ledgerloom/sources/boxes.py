@@ -37,6 +37,25 @@ def response(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns))
 
 
+def responses(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and response: per upload the JSON text of its receipts and slips, in the order of their index, all entries and the first of them.
+
+    rows as of `rows.reindexed`: kind, index and columns. An upload of one kind only has an empty list for the other; null
+    values are left out of their row. A response holds one upload's documents, so its size is that of the upload.
+    """
+    entry = F.struct("index", *(c for c in columns if c != "index"))
+    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("index").alias("_i"), (F.col("kind") == "Chitanță").alias("_slip"), entry.alias("_row")))).alias("_all"))
+    of = lambda keep: F.transform(F.filter("_all", keep), lambda x: x["_row"])
+    n = lambda slip: F.size(F.filter("_all", (lambda x: x["_slip"]) if slip else (lambda x: ~x["_slip"]))).cast("string")
+    message = F.concat(n(False), F.lit(" bonuri, "), n(True), F.lit(" chitante detectate"))
+    parts = F.struct(
+        F.lit(True).alias("success"), message.alias("message"),
+        of(lambda x: ~x["_slip"]).alias("receipts"), of(lambda x: x["_slip"]).alias("chitante"),
+        F.get(of(lambda x: F.lit(True)), F.lit(0)).alias("accounting_data"), of(lambda x: F.lit(True)).alias("accounting_data_array"),
+    )
+    return by.select(key, F.to_json(parts).alias("response"))
+
+
 def full_text(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """key, full_text: all documents of an upload in order, parted by a rule."""
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n---\n\n").alias("full_text"))
