@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import math
 import re
 from html import unescape
@@ -16,6 +17,9 @@ from ledgerloom.llm.common import dealt
 SAMPLE_PAGES = 2000
 #: Log-odds from which a mark of an element decides what its words are, and pages that must show it.
 DECIDES, MIN_PAGES = 2.0, 5
+#: Odds of names that rule out and of those that only cast doubt, the share of a score that doubt leaves, and how many times the
+#: score must be without any guess for guesses to fall.
+RULES_OUT, DOUBTS, DOUBT_LEAVES, GUESS_FALLS = -4.0, -1.0, 0.5, 50.0
 #: Keys of the counts of words and tags, and of a tag's learned score; the lowest such score; a tag's score within marked content.
 WORD, TAG, MOST_TAG, MARKED_TAG = "#word", "#tag", -8.0, -0.02
 
@@ -37,10 +41,15 @@ _SECTIONS = frozenset("article aside dialog footer form header main menu nav sec
 _CONTENT = frozenset(("article", "main"))
 #: What marks mean before any page is seen.
 _USUAL = {"article": 4.0, "main": 4.0, "nav": -4.0, "aside": -4.0, "footer": -4.0, "header": -4.0, "form": -4.0, "menu": -4.0, "dialog": -4.0}
+#: Words of names of what is no content, and words that go with them: a name of both alone rules out, with any other word (as
+#: `social-history`) it only halves the score of the words under it.
 _BOILERPLATE = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar|aside|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|share|social|related|recommended|comments?|commentlist|repl(?:y|ies)|respond|breadcrumbs?|pagination|pager|toolbar|widget|login|search)(?:[-_]|$)",
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav\w*|menu\w*|sidebar|aside|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|share|social|related|recommended|comments?|commentlist|repl(?:y|ies)|respond|breadcrumbs?|pagination|pager|toolbar|widgets?|login|search",
     re.IGNORECASE,
 )
+_FRAME = frozenset(
+    "area article articles aux bar block body bottom box button buttons card center col column container content desktop email entry extra fixed form full global group holder html icon icons info inline inner item items large law layer left legal link links list logo main media meta mobile module more nested news outer overlay page panel posts post primary privacy reading region results right row secondary section site slot small stack sticky story stories text this thread title top unit user wide wrap wrapper".split()
+)
 _BODY = re.compile(r"(?:^|[-_])(?:article|content|post|entry|story|main)(?:[-_]?(?:body|text|content))?$", re.IGNORECASE)
 
 
@@ -59,12 +68,23 @@ def _marks(tag: str, attrs: str) -> list[str]:
     return out
 
 
+@functools.lru_cache(maxsize=10_000)
+def _guess(name: str) -> float:
+    """What a class, id or role that no page has taught says by its words."""
+    words = [w for w in re.split("[-_]+", name) if w]
+    other = [w for w in words if not _BOILERPLATE.fullmatch(w)]
+    if len(other) == len(words):
+        return 2.5 if _BODY.search(name) else 0.0
+    return RULES_OUT if all(w in _FRAME or len(w) < 3 or w.isdigit() for w in other) else DOUBTS
+
+
 def _odds(mark: str, learned: dict, trust: bool) -> float:
     if mark in learned:
         return learned[mark]
     if mark[0] != ".":
         return _USUAL.get(mark, 0.0)
-    return -4.0 if trust and _BOILERPLATE.search(mark[1:]) else 2.5 if _BODY.search(mark[1:]) else 0.0
+    odds = _guess(mark[1:])
+    return odds if trust or odds > 0 else 0.0
 
 
 def _verdict(above: float, marks: list[str], learned: dict, trust: bool) -> float:
@@ -198,34 +218,56 @@ def best_run(scores) -> tuple[int, int]:
 def main_text(html: str, learned: dict[str, float]) -> str:
     """The text of the best-scoring run of a page, cleaned of what its marks rule out.
 
-    A word under a mark that decides for content scores 1, one that no mark decides on scores 1 too, unless the page labels
-    its article elsewhere, then -1; a tag scores what was learned (-1 before), and next to nothing within marked content. What
-    is ruled out scores nothing and is not in the text; where that leaves no word at all, only learned marks, sections and
-    marks within content rule out. Blocks are cut at block elements; a line break is a blank.
+    A word under a mark that decides for content scores 1, one that no mark decides on scores 1 too (half of it under a name that
+    casts doubt), unless the page labels its article elsewhere, then -1; a tag scores what was learned (-1 before), and next to
+    nothing within marked content. What is ruled out scores nothing and is not in the text: sections and learned marks, an
+    article's own header too, and names that say so by all their words. Such a name that no page taught is a guess: where
+    the page without guesses scores GUESS_FALLS times as high, they fall. Blocks are cut at block elements; a line break is
+    a blank.
     """
-    return _main_text(html, learned, True) or _main_text(html, learned, False)
+    score, text, most = _main_text(html, learned, True)
+    if most > GUESS_FALLS * score:
+        freely, other, _ = _main_text(html, learned, False)
+        if freely > GUESS_FALLS * score:
+            return other
+    return text
+
+
+def _main_text(html: str, learned: dict[str, float], trust: bool) -> tuple[float, str, int]:
+    """Score and text of the best run, and the words of the page if a guess ruled any out (no run without guesses scores more), else 0."""
+    runs, scores = [], []  # (marked, in doubt, piece of text, or None at the border of a block)
+    own, guessed = False, 0
+    doubted: dict[frozenset, bool] = {}
+    rules: dict[frozenset, bool] = {}
+
+    def any_guess(marks: frozenset, odds: float, known: dict) -> bool:
+        if marks not in known:
+            known[marks] = any(m[0] == "." and m not in learned and _guess(m[1:]) == odds for m in marks)
+        return known[marks]
 
-
-def _main_text(html: str, learned: dict[str, float], trust: bool) -> str:
-    runs, scores = [], []  # (marked, piece of text, or None at the border of a block)
-    own = False
     for kind, value, stack in segments(html, learned, trust):
-        odds = stack[-1][2] if stack else 0.0
+        marks, odds = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), 0.0)
         if odds <= -DECIDES:
+            if trust and kind == "text" and any_guess(marks, RULES_OUT, rules):
+                guessed += len(value.split())
             if kind == "tag" and value in _BLOCKS:
-                runs.append((True, None, True))
+                runs.append((True, False, None, True))
             continue
+        doubt = trust and odds == 0 and any_guess(marks, DOUBTS, doubted)
         if kind == "tag":
-            runs.append((odds > 0, None if value in _BLOCKS else " " if value == "br" else "", True))
+            runs.append((odds > 0, doubt, None if value in _BLOCKS else " " if value == "br" else "", True))
         else:
-            runs.append((odds > 0, value, False))
+            runs.append((odds > 0, doubt, value, False))
             own |= odds > 0 and not value.isspace()
     of_tag = learned.get(TAG, -1.0)
-    for marked, value, tag in runs:
+    for marked, doubt, value, tag in runs:
         n = 1 if tag else len(value.split())
-        scores.append(n * (MARKED_TAG if marked else of_tag) if tag else n if marked or not own else -n)
+        word = 1 if marked else -1 if own else DOUBT_LEAVES if doubt else 1
+        scores.append(n * (MARKED_TAG if marked else of_tag) if tag else n * word)
+    start, end = best_run(scores)
+    most = guessed and guessed + sum(len(x[2].split()) for x in runs if not x[3])
     blocks, now = [], []
-    for marked, value, _ in runs[slice(*best_run(scores))]:
+    for marked, _, value, _ in runs[start:end]:
         if value is None:
             blocks.append("".join(now))
             now = []
@@ -233,7 +275,7 @@ def _main_text(html: str, learned: dict[str, float], trust: bool) -> str:
             now.append(value)
     blocks.append("".join(now))
     clean = (" ".join(unescape(b).split()) for b in blocks)
-    return "\n".join(b for b in clean if b)
+    return sum(scores[start:end]), "\n".join(b for b in clean if b), most
 
 
 def extract(df: DataFrame, learned: dict[str, float], html_col: str = "html", text_col: str = "text") -> DataFrame:

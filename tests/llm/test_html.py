@@ -82,3 +82,35 @@ def test_the_score_of_a_tag_is_learned(spark):
     df = spark.createDataFrame([(i, page) for i in range(10)], "page_id long, html string")
     weights = html.fit_weights(df, "page_id", "html")
     assert -8 <= weights[html.TAG] < 0
+
+
+@pytest.mark.parametrize("name", ["social-history", "related-research", "share-price", "notice-of-meeting", "search-engines-explained", "popup-restaurants", "comment"])
+def test_an_article_under_a_name_like_a_menus_is_found(name):
+    long = " ".join(SAY for _ in range(12))
+    page = f"<body><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul><div class='{name}'><p>{long}</p><p>{SAY}</p></div><p>short next</p></body>"
+    for weights in ({}, {html.TAG: -2.5}):
+        got = html.main_text(page, weights)
+        assert got.startswith(f"{long}\n{SAY}") and "Home" not in got
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-2", "share-buttons", "related-posts", "cookie-notice", "comment-list", "site-footer", "user-login", "header__title"])
+def test_names_of_such_words_alone_rule_out(name):
+    long = " ".join(SAY for _ in range(3))
+    assert html.main_text(f"<body><div class='{name}'><p>{long} no</p></div><p>{SAY}</p></body>", {}) == SAY
+    assert html.main_text(f"<article><p>{SAY}</p><div class='{name}'>no</div></article>", {}) == SAY
+
+
+def test_doubt_halves_a_score_and_the_run_decides():
+    long = " ".join(SAY for _ in range(3))
+    links = "".join(f"<a href={i}>l</a>" for i in range(30))
+    page = lambda a, b: f"<div class='social-history'><p>{a}</p></div>{links}<div class='x'><p>{b}</p></div>"
+    assert html.main_text(page(f"{SAY} a", SAY), {}) == SAY
+    assert html.main_text(page(long, SAY), {}) == long
+    assert html.main_text(f"<div class='x'><p>{SAY} a</p></div>{links}<div><p>{SAY}</p></div>", {}) == f"{SAY} a"
+
+
+def test_the_run_decides_where_no_mark_does():
+    links = "".join(f"<li><a href={i}>link {i} here</a></li>" for i in range(30))
+    page = f"<ul>{links}</ul><p>{SAY}</p><p>{SAY}</p><ul>{links}</ul>"
+    assert html.main_text(page, {html.TAG: -2.0}) == f"{SAY}\n{SAY}"
+    assert "link" in html.main_text(page, {html.TAG: 0.0})
