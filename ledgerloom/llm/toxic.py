@@ -144,19 +144,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.where(F.char_length(text_col) <= SAMPLE_CHARS).join(F.broadcast(drawn), F.col(id_col) == F.col("_ll_id"))
     rows = rows.groupBy("_ll_id").agg(F.min(text_col).alias("t"), F.max("_ll_y").alias("y")).select(F.xxhash64(F.lit(3), "_ll_id").alias("h"), "t", "y")
     so_far = F.sum(F.char_length("t")).over(Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, 0))  # of sample_rows rows
-    sample = sorted((r["h"], r["t"], r["y"]) for r in rows.withColumn("n", so_far).where(F.col("n") <= SAMPLE_TEXT).select("h", "t", "y").collect())
+    sample = sorted((r["h"], r["t"], r["y"]) for r in rows.withColumn("n", so_far).where(F.col("n") <= SAMPLE_TEXT).select("h", "t", "y").toLocalIterator())
+    sample.reverse()
     fit: dict[int, list[bytes]] = {0: [], 1: []}
-    seen, rest = [0, 0], []
-    for _, text, y in sample:
+    seen, rest, one = [0, 0], [], {}
+    while sample:  # the driver holds each text until it is cut, and each window's bytes once
+        _, text, y = sample.pop()
         seen[y] += 1
         if seen[y] % 4 == 2:
             rest.append((text, y))
         else:
-            fit[y] += windows(text)
+            fit[y] += [one.setdefault(w, w) for w in windows(text)]
+    del one
     if min(seen) < 2:
         return {}
-    pair = dictionaries(fit[1], fit[0])
+    pair = dictionaries(fit.pop(1), fit.pop(0))
     found = [(f, y) for text, y in rest if (f := features(text, *pair))]
+    _word_saver.cache_clear()  # on the driver these words and compressors are of no more use
+    _compressor.cache_clear()
     if {y for _, y in found} != {0, 1} or not all(pair):
         return {}
     return _fit(np.array([f for f, _ in found]), np.array([y for _, y in found])) | {"dictionaries": pair}

@@ -1,4 +1,6 @@
+import gc
 import random
+import tracemalloc
 
 import pytest
 
@@ -72,3 +74,17 @@ def test_dictionaries_come_from_whole_texts_of_their_kind(rows):
     assert held(a, [toxic._token(w) for w in ("grobshite", "muckwit", "scumble", "vilehead")]) and len(held(a, by[0])) > 100
     saved = toxic._saver(a, b)
     assert max(saved(w) for w in set(by[0])) < toxic.GRADES[0] and saved(toxic._token("muckwit")) > 16
+
+
+def test_the_driver_holds_the_bytes_of_a_window_once(spark):
+    """Repeated words of the sample must not cost the driver a digest each."""
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(1000)) + " bad" * (i % 2), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    gc.collect()
+    tracemalloc.start()
+    toxic.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+    left, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 14_000_000, peak
+    assert not toxic._word_saver.cache_info().currsize, left
