@@ -9,8 +9,10 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers; when they are more, the half that came last goes. Longer pieces are not kept.
-CACHED_PIECES, CACHED_CHARS = 250_000, 64
+#: Pieces met more than once that a worker remembers; when they are more, the half that came last goes. Longer pieces are not kept.
+CACHED_PIECES, CACHED_CHARS = 220_000, 64
+#: Pieces met but once, most of which never come again: when they are more, the half that came first goes.
+CACHED_ONCE = 80_000
 #: Full stops and commas after a letter or digit: the library's words end there.
 _MARK = re.compile(r"[.,](?<=[^\W_].)")
 #: The same after Latin letters and digits that stay one letter under normal form and lower case. Other letters (a capital I with
@@ -21,6 +23,14 @@ _LINE = re.compile(r"\n(?<=\S.)(?=\S)", re.DOTALL)
 #: A blank that white space follows, or the text's end, and a blank before anything else.
 _ODD, _BEFORE = re.compile(r" (?=\s)| \Z"), re.compile(r"(?= \S)")
 
+#: Pieces that normaliser and pre-tokenizer leave as one word: letters of Latin-1, lower-case ones where letters are lowered.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_BLANK_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: A blank or none and plain letters, then signs: a word ends between them.
+_SIGNED = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[\\]^_`{|}~]+)").fullmatch
+#: Byte-level models spell a word by its bytes: these are the letters for bytes that occur in such pieces.
+_SPELLED = {32: "\u0120", 0xAD: "\u0143"} | {x: chr(0x122 + x - 0x80) for x in range(0x80, 0xA1)}
+
 #: Anything but Latin letters whose lower case is one letter whatever stands around them.
 _FAR = re.compile("[^\0-\u012f\u0131-\u024f]")
 
@@ -43,28 +53,44 @@ def _cut_at_blanks(text: str) -> list[str]:
 class PieceEncoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit integers, equal to encode(text, add_special_tokens=False).
 
-    The library encodes every piece, with its own normaliser and pre-tokenizer; here texts are only cut, and the ids of
-    pieces met before are looked up. keep_blanks tells which of the two cuts is right for the tokenizer. No word and no
-    composed character reaches across a cut, so the pieces' ids in order are the text's ids; a test holds that against the
-    library for any text.
+    The library encodes every piece: its model alone where the piece is a word of plain letters, else with its own normaliser
+    and pre-tokenizer; signs after such a word are a piece of their own. Here texts are only cut, and the ids of pieces met before are looked up. keep_blanks tells which of the
+    two cuts is right for the tokenizer. No word and no composed character reaches across a cut, so the pieces' ids in order
+    are the text's ids; a test holds that against the library for any text.
     """
 
     def __init__(self, path: str, keep_blanks: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = _cut_before_blanks if keep_blanks else _cut_at_blanks
+        self.model, self.once = self.tokenizer.model, {}
+        self.cut, self.is_word = (_cut_before_blanks, _BLANK_LETTERS) if keep_blanks else (_cut_at_blanks, _LETTERS)
 
     def __missing__(self, piece: str) -> bytes:
-        out = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(piece) <= CACHED_CHARS:
+        out = self.once.pop(piece, None)
+        if out is not None:
             self[piece] = out
+            return out
+        if self.is_word(piece):
+            spelled = piece.replace(" ", _SPELLED[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELLED)
+            out = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        elif signed := _SIGNED(piece):
+            out = self[signed[1]] + self[signed[2]]
+        else:
+            out = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            self.once[piece] = out
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHED_PIECES:
-            keep = [*itertools.islice(self.items(), CACHED_PIECES // 2)]
-            self.clear()
-            self.update(keep)
-        return [b"".join(map(self.__getitem__, filter(None, self.cut(t)))) for t in texts]
+        out = []
+        for t in texts:
+            out.append(b"".join(map(self.__getitem__, self.cut(t))))
+            if len(self.once) > CACHED_ONCE:
+                self.once = dict(itertools.islice(self.once.items(), len(self.once) - CACHED_ONCE // 2, None))
+            if len(self) > CACHED_PIECES:
+                keep = [*itertools.islice(self.items(), CACHED_PIECES // 2)]
+                self.clear()
+                self.update(keep)
+        return out
 
 
 @functools.lru_cache(maxsize=4)

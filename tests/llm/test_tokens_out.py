@@ -160,3 +160,26 @@ def test_strings_with_a_long_common_beginning_keep_apart(spark):
     rows = [(i, f"https://example.org/{i % 8}", 1.0) for i in range(800)] + [(900, None, 1.0)]
     out = sharding.with_curve(spark.createDataFrame(rows, "doc_id long, source string, size double"), ["source", "size"]).toPandas()
     assert len(out) == 801 and out["curve"].nunique() >= 8 and out.groupby("source")["curve"].nunique().max() == 1
+
+
+@pytest.mark.parametrize(("name", "keep"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_met_once_leave_those_met_again(name, keep, monkeypatch):
+    """Words that come once in a corpus must not push out the words that come again."""
+    monkeypatch.setattr("ledgerloom.llm.tokens.CACHED_PIECES", 40)
+    monkeypatch.setattr("ledgerloom.llm.tokens.CACHED_ONCE", 40, raising=False)
+    enc = PieceEncoder(tokenizer_path(name), keep)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    enc.encode([" ".join(f"once{a}{b}" for b in letters) for a in letters])
+    enc.encode(["one two three four five six seven"] * 2)
+    enc.encode([" ".join(f"more{a}{b}" for b in letters) for a in letters])
+    assert set(enc) >= ({" two", " three", " six"} if keep else {"two", "three", "six"})
+    assert len(enc) <= 80
+
+
+@pytest.mark.parametrize(("name", "keep"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_of_every_letter_and_sign(name, keep):
+    enc = PieceEncoder(tokenizer_path(name), keep)
+    texts = [f"w {chr(a)}{x}{chr(b)}" for a in range(33, 256) for b in range(33, 256) for x in ("", "en")] + ["été!' s ça#'s l'œil", "a<|endoftext|>b$ <|"]
+    want = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+    bad = [t for t, x, w in zip(texts, enc.encode(texts), want, strict=True) if np.frombuffer(x, "<u4").tolist() != w.ids]
+    assert not bad, (len(bad), bad[:20])
