@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import dealt, hottest, if_small, spread_join, stage
+from ledgerloom.llm.common import dealt, giving_back, hottest, if_small, spread_join, stage
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shingles import mix, shingle_set
 
@@ -77,7 +77,7 @@ def features(df: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def signature_agreement(a: str, b: str):
@@ -223,7 +223,7 @@ def links(sets: DataFrame, members: DataFrame, percent: int, n_minima: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([rows[x][4] for x in c], pa.int64()) for c in zip(*found, strict=True)], schema=arrow)
 
     order = ["group", "i", "j"]
-    return placed.repartition(*order).sortWithinPartitions(*order, "block").mapInArrow(run, "a long, b long")
+    return placed.repartition(*order).sortWithinPartitions(*order, "block").mapInArrow(giving_back(run), "a long, b long")
 
 
 def shingle_sets(df: DataFrame, k: int) -> DataFrame:
@@ -236,7 +236,7 @@ def shingle_sets(df: DataFrame, k: int) -> DataFrame:
                 if len(s := shingle_set((text.as_py() or "").encode(), k)):
                     yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((set_node(s), s.tobytes()), arrow, strict=True)], schema=arrow)
 
-    return df.select("text").mapInArrow(run, "node long, shingles binary")
+    return df.select("text").mapInArrow(giving_back(run), "node long, shingles binary")
 
 
 def grouped(own: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ import functools
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import dealt
+from ledgerloom.llm.common import dealt, giving_back
 
 #: Labelled rows that the dictionaries and the calibration are fitted on, and code points of their texts, at most, by the hash of the id.
 SAMPLE_ROWS, SAMPLE_TEXT = 12_000, 12_000_000
@@ -27,7 +29,7 @@ TOXIC_WORDS, ORDINARY_WORDS = 2000, 6000
 STRAY_COUNT, STRAY = 5, 0.05
 #: Savings of a window, in bytes, from which it counts; it counts once for each. The first is what chance may save.
 GRADES = (3, 5, 8, 11, 16, 21)
-#: Savings that a worker remembers.
+#: Savings that a worker remembers within a task.
 KEPT_WINDOWS = 200_000
 #: Score of documents without a word.
 EMPTY_SCORE = 0.0
@@ -87,7 +89,7 @@ def _saver(toxic: bytes, ordinary: bytes):
 
 @functools.lru_cache(maxsize=2)
 def _word_saver(toxic: bytes, ordinary: bytes):
-    """The saving of a word's window; a worker compresses the same word once."""
+    """The saving of a word's window; a task compresses the same word once, as long as it is remembered."""
     saved = _saver(toxic, ordinary)
     kept = functools.lru_cache(maxsize=KEPT_WINDOWS)(lambda w: saved(_token(w)))
     return lambda w: kept(w) if len(w) <= 40 else saved(_token(w))
@@ -175,19 +177,23 @@ def score_texts(df: DataFrame, model: dict, text_col: str = "text", score_col: s
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # of bounded size: two dictionaries and a few numbers
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    def scored(batches):
         m = sent.value
-        if not m:
-            return pd.Series(0.0, index=texts.index)
-        mean, scale, w = (np.array(m[k]) for k in ("mean", "scale", "w"))
-        out = []
-        for t in texts:
-            f = features(t, *m["dictionaries"]) if t else None
-            out.append(EMPTY_SCORE if f is None else float(1 / (1 + np.exp(-np.clip((np.array(f) - mean) / scale @ w + m["b"], -30, 30)))))
-        return pd.Series(out, index=texts.index, dtype="float64")
+        mean, scale, w = (np.array(m[k]) for k in ("mean", "scale", "w")) if m else (None, None, None)
+        for texts in batches:
+            out = []
+            for t in texts:  # a text at a time leaves Arrow's batch
+                f = features(x, *m["dictionaries"]) if m and (x := t.as_py()) else None
+                out.append((EMPTY_SCORE if m else 0.0) if f is None else float(1 / (1 + np.exp(-np.clip((np.array(f) - mean) / scale @ w + m["b"], -30, 30)))))
+            yield pa.array(out, pa.float64())
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from giving_back(scored)(batches)
+        finally:  # the worker lives on through later stages, which have no use for these
+            _word_saver.cache_clear()
+            _compressor.cache_clear()
 
     return dealt(df).withColumn(score_col, score(F.col(text_col).cast("string")))
 

@@ -1,9 +1,13 @@
 import random
+import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import near
+from ledgerloom.llm.common import giving_back
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shingles import shingle_set, word_hashes
 
@@ -187,3 +191,21 @@ def test_members_far_from_every_head_are_settled_as_a_group(spark, monkeypatch):
     for r in near.grouped(own).collect():
         groups.setdefault(r["group"], []).append(r["node"])
     assert sorted(map(sorted, groups.values())) == [[10, 40], [20, 30]]
+
+
+def test_a_task_gives_back_what_arrow_held():
+    """At the end of a task its worker keeps none of the memory that Arrow's pool had for it."""
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+
+    def run(batches):
+        for n in batches:
+            parts = [pa.allocate_buffer(1 << 20) for _ in range(n)]
+            for b in parts:
+                np.frombuffer(b, np.uint8)[:] = 1
+            yield held()
+
+    before = held()
+    during = list(giving_back(run)(iter([96])))
+    assert during[0] >= before + 80 and held() < before + 30

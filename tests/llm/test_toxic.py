@@ -2,6 +2,7 @@ import gc
 import random
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import toxic
@@ -88,3 +89,17 @@ def test_the_driver_holds_the_bytes_of_a_window_once(spark):
     tracemalloc.stop()
     assert peak < 14_000_000, peak
     assert not toxic._word_saver.cache_info().currsize, left
+
+
+def test_workers_keep_no_words_after_scoring(spark, rows):
+    """Workers live on through later stages; what they remember would count against the executor there."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
+    model = toxic.train(df, df.select("doc_id", "toxic"))
+    assert model and toxic.score_texts(df.repartition(8), model).where("score IS NULL").count() == 0
+
+    def held(batches):
+        for batch in batches:
+            n = toxic._word_saver.cache_info().currsize + toxic._compressor.cache_info().currsize
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    assert spark.range(0, 64, 1, 8).mapInArrow(held, "n long").where("n > 0").count() == 0
