@@ -115,7 +115,13 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     Each text is encoded whole, the end id is appended, and each id lies in exactly one piece. Null texts are empty; a
     document of an empty text is its end id. Rows with equal ids are documents of their own. An empty table gives none.
     """
-    return harmonic_bins(stage(tokenized_pieces(df, path, id_col, text_col, end_id, capacity, with_ids)), capacity)
+    pieces = tokenized_pieces(df, path, id_col, text_col, end_id, capacity, with_ids)
+    if not with_ids:
+        return harmonic_bins(stage(pieces), capacity)
+    # ids are the bulk of a piece: they are shuffled once, to the places found without them
+    pieces = stage(pieces.withColumn("_ll_piece", F.monotonically_increasing_id()))
+    placed = harmonic_bins(pieces.drop("ids"), capacity).join(pieces.select("_ll_piece", "ids"), "_ll_piece")
+    return placed.select(*(c for c in pieces.columns if c != "_ll_piece"), "sequence_id", "offset", "sequence_tokens")
 
 
 def sequences(packed: DataFrame, capacity: int = 1024, pad_id: int = 0) -> DataFrame:
