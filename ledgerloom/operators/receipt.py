@@ -13,6 +13,7 @@ TOTAL_INLINE = TOTAL + r"\s*[:=]?\s*(\d{1,5})\s?[.,]\s?(\d{2})(?!\s*%)"
 NO_TOTAL = r"(?i)SUBTOTAL|TOTAL\s*TVA|TVA\s*TOTAL|IOTAL\s*TVA|SUMA\s*TVA|COTA\s*TVA|REST|RULAJ|TOTALTVA"
 NO_LOOKAHEAD = r"(?i)%|COTA\s*TVA"
 NO_FREQUENCY = r"CUI|CIF|FISCAL|COD\s*FISC|CLIENT|CNP|RC\s*:|AUTOR|TRX|POS\b|EJTRZ|TELEFON|IBAN"
+PAID = r"(?i)\b(?:CARD|NUMERAR|CASH|SUMA|PLATA|ACHITAT)\b"
 VAT_AMOUNT = r"(?i)TOTAL\s*TVA|TVA\s*TOTAL|IOTAL\s*TVA|TOTALTVA|SUMA\s*TVA"
 RATE = r"(?i)(?:COTA\s*)?(?:TOTAL\s*)?TVA\s*[A-E]?\s*[=:]?\s*(\d{1,2})(?:[.,]\d{1,2})?\s*[%X×x]"
 ITEM_END = r"(?i)(?:^|\s|-)\b[A-E]\b(?:\s+[A-E]\b)*\s*$"
@@ -56,21 +57,33 @@ def labelled_ids(upper: Column) -> Column:
     return F.when(~_is(BUYER, upper), found).otherwise(F.array().cast("array<string>"))
 
 
+def repeatable(amounts: Column, upper: Column) -> Column:
+    """Amounts of a line that tell a total by standing twice: of 10 or more and no rate; what a line says was paid, whatever it is."""
+    paid = _is(PAID) & ~_is(NO_TOTAL)
+    return F.when(~_is(NO_FREQUENCY, upper), F.filter(amounts, lambda v: ((v >= 10) & money.plausible_total(v)) | (paid & v.between(0.50, 99999))))
+
+
+def paid_rate(beside: Column, all_: Column) -> Column:
+    """An amount beside its label that equals a rate, if it was paid, too."""
+    return F.when(F.array_contains(all_, beside), beside)
+
+
 def receipt_totals(lines: DataFrame) -> DataFrame:
-    """doc_id and total: printed behind TOTAL, else on or within six lines after it, else the largest amount of 10 or more that stands twice."""
-    rows = lines.select("doc_id", "line_no", "text").withColumn("amounts", F.filter(money.amounts(F.col("text")), money.plausible_total))
+    """doc_id and total: printed behind TOTAL (a sum that equals a rate only if it was paid, too), else on or within six lines after it, else the largest amount that stands twice, of 10 or more or paid."""
+    rows = lines.select("doc_id", "line_no", "text").withColumn("any", money.amounts(F.col("text"))).withColumn("amounts", F.filter("any", money.plausible_total))
     rejected = _is(NO_TOTAL)
     inline = F.concat(_found(TOTAL_INLINE), F.lit("."), _found(TOTAL_INLINE, 2)).cast("double")
-    rows = rows.withColumn("inline", F.when(~rejected & inline.isNotNull() & money.plausible_total(inline), inline))
+    rows = rows.withColumn("beside", F.when(~rejected, inline)).withColumn("inline", F.when(money.plausible_total(F.col("beside")), F.col("beside")))
     large = F.filter("amounts", lambda v: v >= 30)
     offer = F.when(~rejected & ~_is(NO_LOOKAHEAD) & (F.size("amounts") > 0), F.coalesce(F.array_max(large), F.array_max("amounts")))
     rows = rows.withColumn("offer", offer).withColumn("next", F.collect_list("offer").over(_by().rowsBetween(1, 6)))
     labelled = F.when(_is(TOTAL) & ~rejected, F.coalesce(F.array_max("amounts"), F.get("next", F.lit(0))))
-    often = F.when(~_is(NO_FREQUENCY, F.upper("text")), F.filter("amounts", lambda v: v >= 10))
-    out = rows.groupBy("doc_id").agg(_first(F.col("inline")).alias("a"), _first(labelled).alias("b"), F.flatten(F.collect_list(often)).alias("all"))
+    often = repeatable(F.col("any"), F.upper("text"))
+    rate = F.when(money.is_rate(F.col("beside")), F.col("beside"))
+    out = rows.groupBy("doc_id").agg(_first(F.col("inline")).alias("a"), _first(rate).alias("r"), _first(labelled).alias("b"), F.flatten(F.collect_list(often)).alias("all"))
     sorted_ = F.array_sort(F.transform("all", lambda v: F.round(v * 100).cast("long")))
     twice = F.array_max(F.filter(F.transform(sorted_, lambda v, i: F.when(F.get(sorted_, i + 1) == v, v)), lambda v: v.isNotNull())) / 100
-    return out.select("doc_id", F.coalesce("a", "b", twice).alias("total"))
+    return out.select("doc_id", F.coalesce("a", paid_rate(F.col("r"), F.col("all")), "b", twice).alias("total"))
 
 
 def item_totals(lines: DataFrame) -> DataFrame:

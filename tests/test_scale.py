@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from ledgerloom import catalog
+from ledgerloom.operators import receipt
 
 
 def test_bytes_beyond_64_bits(spark, tmp_path):
@@ -11,3 +12,16 @@ def test_bytes_beyond_64_bits(spark, tmp_path):
     pq.write_table(pa.table({"p_partkey": pa.array([1, 4999, 5000, 1_048_576, 1_200_000, 3_000_000_000], pa.int64())}), tmp_path / "part.parquet")
     got = catalog.QUERIES["bytes_for_people"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, "8.0 B"), (4999, "931 GB")]
+
+
+SMALL = [
+    ["TOTAL 19.00", "TOTAL TVA A 19,00% 3.03", "DATA: 01.04.2022", "CARD 19.00"],
+    ["paine 1 X9.71 9.71 A", "TOTAL TVA A 21,00% 1.69", "CARD 9.71", "SUMA 9.71"],
+    ["paine 1 X10.00 10.00 A", "lapte 1 X9.00 9.00 A", "TOTAL 19.00", "TOTAL TVA A 19,00% 3.03", "DATA: 01.04.2022", "NUMERAR 19.00"],
+    ["paine 1 X9.71 9.71 A", "lapte 1 X9.71 9.71 A", "x 5.00", "TOTAL TVA 21,00%"],
+]
+
+
+def test_small_totals_and_totals_that_equal_a_rate(spark):
+    lines = spark.createDataFrame([(d, n, t) for d, doc in enumerate(SMALL) for n, t in enumerate(doc)], "doc_id long, line_no long, text string")
+    assert {r["doc_id"]: r["total"] for r in receipt.receipt_totals(lines).collect()} == {0: 19.0, 1: 9.71, 2: 19.0, 3: None}
