@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from ledgerloom import catalog
-from ledgerloom.operators import receipt
+from ledgerloom.operators import arbitration, receipt
 
 
 def test_bytes_beyond_64_bits(spark, tmp_path):
@@ -25,3 +25,5 @@ SMALL = [
 def test_small_totals_and_totals_that_equal_a_rate(spark):
     lines = spark.createDataFrame([(d, n, t) for d, doc in enumerate(SMALL) for n, t in enumerate(doc)], "doc_id long, line_no long, text string")
     assert {r["doc_id"]: r["total"] for r in receipt.receipt_totals(lines).collect()} == {0: 19.0, 1: 9.71, 2: 19.0, 3: None}
+    got = {r["doc_id"]: (r["total"], r["vat"], r["verified"], r["total_source"]) for r in arbitration.read_receipts(lines).where("doc_id < 3").collect()}
+    assert got == {0: (19.0, 3.03, True, "ocr"), 1: (9.71, 1.69, True, "ocr"), 2: (19.0, 3.03, True, "ocr")}
