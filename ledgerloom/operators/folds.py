@@ -9,13 +9,14 @@ from ledgerloom.functions import rects
 
 
 def upper_median(values: Column) -> Column:
-    """The element at n div 2 of the sorted values, 4 at least."""
-    return F.greatest(F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")), F.lit(4.0))
+    """The element at n div 2 of the sorted values, nulls last, 4 at least."""
+    return F.greatest(F.get(F.sort_array(F.filter(values, lambda v: v.isNotNull())), F.floor(F.size(values) / 2).cast("int")), F.lit(4.0))
 
 
-def _sorted_words(boxes: DataFrame, *keys: str) -> DataFrame:
-    word = F.struct((F.col("y") + F.col("h") / 2).alias("c"), "x", "box_id", "y", "w", "h", "text")
-    return boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("words"))
+def _sorted_words(boxes: DataFrame, *keys: str, by: tuple[Column, ...] = ()) -> DataFrame:
+    # sort_array has a compiled order where array_sort calls a lambda; no word is null, so both give one order
+    word = F.struct(*by, (F.col("y") + F.col("h") / 2).alias("c"), "x", "box_id", "y", "w", "h", "text")
+    return boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(word)).alias("words"))
 
 
 def dedupe_words(boxes: DataFrame, *keys: str) -> DataFrame:
@@ -24,30 +25,37 @@ def dedupe_words(boxes: DataFrame, *keys: str) -> DataFrame:
 
     def near(o, w):
         dx, dy = F.abs(centre(o) - centre(w)), F.abs(o["c"] - w["c"])
-        return (F.upper(o["text"]) == F.upper(w["text"])) & (dx < F.greatest(o["w"], w["w"], F.lit(8.0)) * 0.55) & (dy < F.greatest(o["h"], w["h"], F.lit(6.0)) * 0.7)
+        return (dx < F.greatest(o["w"], w["w"], F.lit(8.0)) * 0.55) & (dy < F.greatest(o["h"], w["h"], F.lit(6.0)) * 0.7)
 
-    rows = _sorted_words(boxes.withColumn("text", F.trim("text")).where(F.col("text") != ""), *keys)
-    kept = F.aggregate("words", F.slice("words", 1, 0), lambda acc, w: F.when(F.exists(acc, lambda o: near(o, w)), acc).otherwise(F.concat(acc, F.array(w))))
+    rows = _sorted_words(boxes.withColumn("text", F.trim("text")).where(F.col("text") != ""), *keys, by=(F.upper("text").alias("upper"),))
+    # words of one text follow each other, so each is held against the kept ones of its text alone
+    none = F.slice("words", 1, 0)
+    state = lambda upper, same, out: F.struct(upper.alias("upper"), same.alias("same"), out.alias("out"))
+
+    def step(s, w):
+        again = s["upper"] == w["upper"]
+        new = state(w["upper"], F.array(w), F.concat(s["out"], s["same"]))
+        return F.when(again & F.exists(s["same"], lambda o: near(o, w)), s).when(again, state(s["upper"], F.concat(s["same"], F.array(w)), s["out"])).otherwise(new)
+
+    kept = F.aggregate("words", state(F.lit(""), none, none), step, lambda s: F.concat(s["out"], s["same"]))
     return rows.select(*keys, F.explode(kept).alias("b")).select(*keys, "b.box_id", "b.text", "b.x", "b.y", "b.w", "b.h")
 
 
 def group_lines(boxes: DataFrame, *keys: str) -> DataFrame:
     """keys, line_no, text: words in order of their middles join the line whose running mean lies within 0.7 of the median height; equal neighbours on a line are read once."""
-    rows = _sorted_words(boxes, *keys).withColumn("mh", upper_median(F.transform("words", lambda w: w["h"])))
-    start = F.struct(F.lit(-1e18).alias("mean"), F.lit(0.0).alias("n"), F.lit(0).alias("line"), F.array().cast("array<struct<line:int,x:double,box_id:bigint,text:string>>").alias("out"))
+    rows = _sorted_words(boxes, *keys).withColumn("near", upper_median(F.transform("words", lambda w: w["h"])) * 0.7)
+    token = "struct<x:double,box_id:bigint,text:string>"
+    start = F.struct(F.lit(-1e18).alias("mean"), F.lit(0.0).alias("n"), F.array().cast(f"array<{token}>").alias("line"), F.array().cast(f"array<array<{token}>>").alias("out"))
 
     def step(s, w):
-        same = F.abs(w["c"] - s["mean"]) < F.col("mh") * 0.7
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(
-            F.when(same, (s["mean"] * s["n"] + w["c"]) / (s["n"] + 1)).otherwise(w["c"]).alias("mean"),
-            F.when(same, s["n"] + 1).otherwise(F.lit(1.0)).alias("n"),
-            line.alias("line"),
-            F.concat(s["out"], F.array(F.struct(line.alias("line"), w["x"].cast("double").alias("x"), w["box_id"].cast("long").alias("box_id"), w["text"].alias("text")))).alias("out"),
-        )
-
-    tokens = rows.select(*keys, F.explode(F.aggregate("words", start, step)["out"]).alias("t"))
-    lines = tokens.groupBy(*keys, F.col("t.line").alias("line_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("t.x", "t.box_id", "t.text"))), lambda x: x["text"]).alias("w"))
+        said = F.array(F.struct(w["x"].cast("double").alias("x"), w["box_id"].cast("long").alias("box_id"), w["text"].alias("text")))
+        state = lambda mean, n, line, out: F.struct(mean.alias("mean"), n.alias("n"), line.alias("line"), out.alias("out"))
+        longer = state((s["mean"] * s["n"] + w["c"]) / (s["n"] + 1), s["n"] + 1, F.concat(s["line"], said), s["out"])
+        return F.when(F.abs(w["c"] - s["mean"]) < F.col("near"), longer).otherwise(state(w["c"], F.lit(1.0), said, F.concat(s["out"], F.array(s["line"]))))
+
+    # the first of the lines is the empty one before them
+    lines = rows.select(*keys, F.posexplode(F.aggregate("words", start, step, lambda s: F.concat(s["out"], F.array(s["line"])))).alias("line_no", "line")).where("line_no > 0")
+    lines = lines.select(*keys, "line_no", F.transform(F.sort_array("line"), lambda x: x["text"]).alias("w"))
     once = F.filter("w", lambda x, i: (i == 0) | (F.upper(F.get(F.col("w"), i - 1)) != F.upper(x)))
     return lines.select(*keys, "line_no", F.array_join(once, " ").alias("text"))
 

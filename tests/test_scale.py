@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from ledgerloom import catalog, oracles
-from ledgerloom.operators import arbitration, receipt, segment
+from ledgerloom.operators import arbitration, folds, receipt, segment
 
 
 def test_bytes_beyond_64_bits(spark, tmp_path):
@@ -63,3 +63,13 @@ def test_pages_are_shuffled_once_and_may_lie_in_several_batches(spark):
         assert sorted(map(tuple, found.collect())) == sorted((p, 100 * c + i, c) for p in range(3) for c in range(2) for i in range(15))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_a_long_page_is_grouped_line_by_line(spark):
+    """Lines close as they are read: no second aggregate gathers the words of each line."""
+    rows = [(1, 10 * n + i, f"w{i}", 60.0 * i, 24.0 * n, 50.0, 12.0) for n in range(400) for i in range(3)] + [(2, 0, None, 0.0, 0.0, 5.0, None), (2, 1, "a", 9.0, 1.0, 5.0, 12.0)]
+    boxes = spark.createDataFrame(rows, "doc_id long, box_id long, text string, x double, y double, w double, h double")
+    found = folds.group_lines(boxes, "doc_id")
+    assert plan(found).count("ObjectHashAggregate") <= 2
+    got = sorted((r["doc_id"], r["line_no"], r["text"]) for r in found.where("doc_id = 1").collect())
+    assert got == [(1, n + 1, "w0 w1 w2") for n in range(400)]
