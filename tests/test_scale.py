@@ -65,6 +65,12 @@ def test_pages_are_shuffled_once_and_may_lie_in_several_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+def test_words_seen_twice_are_read_from_one_table(spark):
+    """The words that are seen again come from the rows they repeat: lines are printed and shuffled once."""
+    words = catalog.QUERIES["word_dedupe"](spark, "/root/testdata/sf0.001")
+    assert plan(words).count("Window [row_number()") == 1
+
+
 def test_a_long_page_is_grouped_line_by_line(spark):
     """Lines close as they are read: no second aggregate gathers the words of each line."""
     rows = [(1, 10 * n + i, f"w{i}", 60.0 * i, 24.0 * n, 50.0, 12.0) for n in range(400) for i in range(3)] + [(2, 0, None, 0.0, 0.0, 5.0, None), (2, 1, "a", 9.0, 1.0, 5.0, 12.0)]
