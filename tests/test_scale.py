@@ -79,3 +79,11 @@ def test_a_long_page_is_grouped_line_by_line(spark):
     assert plan(found).count("ObjectHashAggregate") <= 2
     got = sorted((r["doc_id"], r["line_no"], r["text"]) for r in found.where("doc_id = 1").collect())
     assert got == [(1, n + 1, "w0 w1 w2") for n in range(400)]
+
+
+def test_amounts_are_sorted_once_by_a_compiled_order(spark):
+    """Amounts that stand twice: the sorted array is bound once, not sorted anew for each of its elements; no order of evidence calls a lambda."""
+    lines = spark.createDataFrame([(1, n, f"CARD {n % 40 + 30}.25") for n in range(60)] + [(2, 0, None)], "doc_id long, line_no long, text string")
+    assert "array_sort" not in plan(arbitration.evidence(lines)) and "array_sort" not in plan(receipt.receipt_totals(lines))
+    assert {r["doc_id"]: r["total"] for r in receipt.receipt_totals(lines).collect()} == {1: 49.25, 2: None}
+    assert {r["doc_id"]: r["direct"] for r in arbitration.evidence(lines).collect()} == {1: 49.25, 2: None}
